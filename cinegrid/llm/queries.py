@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegrid.llm import bpe, packing, spans
+from cinegrid.llm import bpe, clusters, neighbours, packing, spans, subset
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,37 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(table(spark, folder, "clip_embedding"), "vec_id", "embedding")
+    return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+@query
+def p3_subset(spark: SparkSession, folder: str) -> DataFrame:
+    captioned = table(spark, folder, "manifest").where(F.col("caption").rlike(r"\S")).select("dataset", "video_name").distinct()
+    clips = table(spark, folder, "clip_embedding")
+    # the join moves keys only; vectors are picked by id afterwards
+    has = clips.select("vec_id", "dataset", "video_name").join(captioned, ["dataset", "video_name"], "left_semi").select("vec_id")
+    return subset.varied(clips, "vec_id", "embedding", among=has).withColumnRenamed("id", "vec_id")
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    anchors = table(spark, folder, "cluster_anchors").orderBy("anchor_id").select("cluster_label", "embedding").limit(clusters.UNREACHED + 1).collect()
+    given = [(r[0], np.array(r[1], np.float32)) for r in anchors if r[1] is not None]
+    made = clusters.tree(table(spark, folder, "clip_embedding"), "vec_id", "embedding", given, core=0, reach=0.42)
+    found = clusters.joined_to_anchors(made, 0.42)
+    return found.select(F.col("id").alias("vec_id"), F.col("label").alias("cluster_label"))
+
+
+@query
+def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """The clusters themselves, with size and most typical members."""
+    made = clusters.tree(table(spark, folder, "clip_embedding"), "vec_id", "embedding", core=2)
+    return clusters.described(clusters.clustered(made, min_size=25))
+
+
 @query
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), "doc_id", "text")
@@ -47,6 +79,31 @@ def p10_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.Spans(table(spark, folder, "documents"), "doc_id", "text").report().withColumnRenamed("doc", "doc_id")
 
 
+_UNIT = """
+WITH ok AS (
+  SELECT vec_id, embedding::DOUBLE[512] AS v FROM clip_embedding
+  WHERE embedding IS NOT NULL AND len(embedding) = 512 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+)
+"""
+SQL["p1_found"] = _UNIT + """
+, near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, array_cosine_similarity(a.v, b.v) AS c FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
+), best AS (
+  SELECT a, b FROM near WHERE c >= 0.8 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10
+)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM best
+"""
+SQL["p5_found"] = "WITH RECURSIVE" + _UNIT.strip().removeprefix("WITH") + """
+, links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND array_cosine_similarity(a.v, b.v) >= 0.42
+), joined AS (
+  SELECT vec_id, cluster_label FROM ok JOIN cluster_anchors k ON array_cosine_similarity(v, k.embedding::DOUBLE[512]) >= 0.42
+  UNION
+  SELECT b AS vec_id, cluster_label FROM joined JOIN links ON vec_id = a
+)
+SELECT vec_id, cluster_label FROM joined
+"""
 SQL["p10_found"] = """
 WITH w AS (
   SELECT DISTINCT doc_id, substring(text, i, 200) AS s

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegrid.llm import bpe, clusters, neighbours, packing, spans, subset
+from cinegrid.llm import bpe, clusters, neardup, neighbours, packing, spans, subset, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,18 @@ def p3_subset(spark: SparkSession, folder: str) -> DataFrame:
     return subset.varied(clips, "vec_id", "embedding", among=has).withColumnRenamed("id", "vec_id")
 
 
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neardup.NearDuplicates(table(spark, folder, "manifest"), "entry_id", "caption").pairs()
+    return pairs.select(F.col("a").alias("entry_a"), F.col("b").alias("entry_b"))
+
+
+@query
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per caption that is in a group, with the group and the number of its links."""
+    return neardup.NearDuplicates(table(spark, folder, "manifest"), "entry_id", "caption").groups().withColumnRenamed("id", "entry_id")
+
+
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     anchors = table(spark, folder, "cluster_anchors").orderBy("anchor_id").select("cluster_label", "embedding").limit(clusters.UNREACHED + 1).collect()
@@ -56,6 +68,17 @@ def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.described(clusters.clustered(made, min_size=25))
 
 
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.frequencies(table(spark, folder, "manifest"), "caption").where("mark is not null").select("term", "mark")
+
+
+@query
+def p6_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """All terms with their counts."""
+    return terms.frequencies(table(spark, folder, "manifest"), "caption")
+
+
 @query
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), "doc_id", "text")
@@ -104,6 +127,35 @@ SQL["p5_found"] = "WITH RECURSIVE" + _UNIT.strip().removeprefix("WITH") + """
 )
 SELECT vec_id, cluster_label FROM joined
 """
+_WORDS = r"""
+WITH said AS (
+  SELECT entry_id, regexp_extract_all(lower(coalesce(caption, '')), '[\p{L}\p{Nd}]+') AS words FROM manifest
+)
+"""
+_SETS = _WORDS + """
+, sets AS (
+  SELECT entry_id, list_distinct(words) AS w FROM said WHERE len(list_distinct(words)) >= 8
+), word AS (
+  SELECT entry_id, len(w) AS n, unnest(w) AS t FROM sets
+), linked AS (
+  SELECT a.entry_id AS x, b.entry_id AS y FROM word a JOIN word b ON a.t = b.t AND a.entry_id < b.entry_id
+  GROUP BY a.entry_id, b.entry_id, a.n, b.n HAVING count(*) >= 0.7 * (a.n + b.n - count(*))
+)
+"""
+SQL["p4_found"] = _SETS + "SELECT x AS entry_a, y AS entry_b FROM linked"
+_TERMS = _WORDS + """
+, held AS (
+  SELECT count(*) AS n FROM said WHERE len(words) > 0
+), term AS (
+  SELECT entry_id, unnest(words) AS term FROM said
+), counts AS (
+  SELECT term, count(*) AS occurrences, count(DISTINCT entry_id) AS rows FROM term GROUP BY term
+), marked AS (
+  SELECT term, occurrences, rows, CASE WHEN rows <= 2 THEN 'rare' WHEN rows > 0.1 * n THEN 'common' END AS mark FROM counts, held
+)
+"""
+SQL["p6_found"] = _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL"
+SQL["p6_terms"] = _TERMS + "SELECT * FROM marked"
 SQL["p10_found"] = """
 WITH w AS (
   SELECT DISTINCT doc_id, substring(text, i, 200) AS s

@@ -92,3 +92,18 @@ SELECT line_id, f[1] AS clip_id, f[2] AS brief_description, f[3] AS summarized_d
        TRY_CAST(trim(f[4]) AS DOUBLE) AS vtss_score, TRY_CAST(trim(f[5]) AS DOUBLE) AS motion_score,
        TRY_CAST(trim(f[6]) AS DOUBLE) AS video_clip_score FROM judged WHERE reason IS NULL
 """
+
+
+def ask(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its identifier, with its SQL."""
+
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+from cinegrid import catalogue_queries  # noqa: E402, F401  registers the catalogue's operators

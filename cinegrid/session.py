@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,17 @@ TUNED = {
 }
 
 
+def ready(spark: SparkSession) -> None:
+    """Sets what results depend on, and lets Python workers that this driver starts find the package."""
+    for key, value in REQUIRED.items():
+        spark.conf.set(key, value)
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", name: str = "cinegrid") -> SparkSession:
     """A session on this machine, for tests and benchmarks; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)

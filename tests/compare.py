@@ -24,7 +24,7 @@ def duck(folder: str, sql: str) -> pd.DataFrame:
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = df[c].map(lambda v: "∅" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else f"{v:.9g}" if isinstance(v, float) else f"{v}")
+        df[c] = df[c].map(lambda v: "∅" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else f"{v:.9g}" if isinstance(v, float) else f"{v}")
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 

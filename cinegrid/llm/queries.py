@@ -31,6 +31,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
+@query
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The search form: the nearest of every vector whose id is divisible by 100, against all rows."""
+    clips = table(spark, folder, "clip_embedding")
+    asked = clips.where("vec_id % 100 = 0").select("vec_id")
+    found = neighbours.similar(clips, "vec_id", "embedding", queries=asked)
+    return found.select(F.col("id").alias("vec_id"), "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 @query
 def p3_subset(spark: SparkSession, folder: str) -> DataFrame:
     captioned = table(spark, folder, "manifest").where(F.col("caption").rlike(r"\S")).select("dataset", "video_name").distinct()

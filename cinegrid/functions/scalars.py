@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,12 @@ UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 SPRITE_COLUMNS, SPRITE_ROWS = 5, 5
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once: a lambda's outer columns would be, once per element, where the optimizer
+    puts their expressions in their place."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def number(c: Column) -> Column:
     """A double without NaN: NaN counts as missing everywhere in the engine."""
     d = c.cast("double")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinegrid.functions.scalars import bound
+
 #: The forms a record must have.
 CLIP_FILE = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\.mp4\z"
 NUMBER = r"\A *(?:[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)? *\z"
@@ -73,10 +75,10 @@ def parsed(df: DataFrame, key: str, raw: str, layout: tuple[Field, ...] = SHORT_
     with ``columns``. Repeated rows stay. Columns of ``df`` besides the two are ignored.
     """
     pieces = F.split(F.coalesce(F.col("raw"), F.lit("")), '"', -1)
-    quoted, counted = F.col("quoted"), F.size("cells") == len(layout)
-    cells = df.select(F.col(key).alias("id"), F.col(raw).alias("raw")).withColumn("pieces", pieces)
-    cells = cells.withColumn("quoted", _quoting_holds(F.col("pieces")))
-    cells = cells.withColumn("cells", F.when(quoted, _fields(F.col("pieces"))))
+    read = bound(pieces, lambda p: F.when(_quoting_holds(p), _fields(p)))
+    # behind the explode nothing is evaluated a second time for a filter
+    cells = df.select(F.col(key).alias("id"), F.col(raw).alias("raw")).select("id", F.explode(F.array(read)).alias("cells"))
+    quoted, counted = F.col("cells").isNotNull(), F.size("cells") == len(layout)
 
     def error(when: Column, reason: str, column: str | None) -> Column:
         return F.when(when, F.struct(F.lit(reason).alias("reason"), F.lit(column).cast("string").alias("column")))
@@ -84,7 +86,8 @@ def parsed(df: DataFrame, key: str, raw: str, layout: tuple[Field, ...] = SHORT_
     rules = [error(~quoted, "quoting", None), error(quoted & ~counted, "columns", None)]
     rules += [error(quoted & counted & f.broken(F.get("cells", F.lit(i))), "value", f.name) for i, f in enumerate(layout) if f.broken]
     record = F.when(quoted & counted, F.struct(*(F.get("cells", F.lit(i)).alias(f.name) for i, f in enumerate(layout))))
-    return cells.select(F.col("id").alias(key), record.alias("record"), F.array_compact(F.array(*rules)).alias("errors"))
+    found = F.struct(record.alias("record"), F.array_compact(F.array(*rules)).alias("errors"))
+    return cells.select(F.col("id").alias(key), F.explode(F.array(found)).alias("found")).select(key, "found.record", "found.errors")
 
 
 def rejected(df: DataFrame, key: str, raw: str, layout: tuple[Field, ...] = SHORT_CSV) -> DataFrame:

@@ -145,7 +145,7 @@ _W = "string_split_regex(" + LOW + r""", '[\s,.;:!?''"()\[\]{}\-/\\]+')"""
 _STOP = "[" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + "]"
 _CONTENT = f"list_filter({_W}, lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
 ask("flt_18", f"{BASE} SELECT ordinal FROM e WHERE list_contains({_CONTENT}, 'glow')")(lambda s, d: slim(entries(s, d).where(Q.holds_word(F.col("caption"), "Glow"))))
-ask("flt_17", "SELECT vec_id FROM embeddings WHERE vec_id % 400 = 3")(
+ask("flt_17", "SELECT vec_id FROM embeddings WHERE vec_id % 400 = 3 AND vec_id IN (SELECT entry_id FROM manifest)")(
     lambda s, d: R.selected(vectors(s, d), table(s, d, "manifest").where("entry_id % 400 = 3").select(F.col("entry_id").cast("string").alias("video_name")), "video_name").select("vec_id"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegrid.functions.scalars import content_words, log_scaled, number
+from cinegrid.functions.scalars import bound, content_words, log_scaled, number
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.DecimalType)
 BINS = 60
@@ -111,11 +111,13 @@ def widened(*ranges: DataFrame) -> DataFrame:
 def word_frequency(df: DataFrame, caption: str, top: int = 30) -> DataFrame:
     """(word, count, pct): content words by occurrences, ties by word; pct is the share of all rows (null captions too) that hold
     the word."""
-    # occurrences per row first: a row holds a word once in the second count
-    words = content_words(F.col(caption))
-    per = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.size(F.filter(words, lambda x: x == w)).alias("n")))
-    held = df.select(F.explode(per).alias("c")).select("c.*")
-    counts = held.groupBy("word").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
+    # one pass: every occurrence counts once, every distinct word of a row once
+    def cells(words: Column, n: int, rows: int) -> Column:
+        return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(n).alias("n"), F.lit(rows).alias("rows")))
+
+    both = bound(content_words(F.col(caption)), lambda words: F.concat(cells(words, 1, 0), cells(F.array_distinct(words), 0, 1)))
+    held = df.select(F.explode(both).alias("c")).select("c.*")
+    counts = held.groupBy("word").agg(F.sum("n").alias("count"), F.sum("rows").alias("rows"))
     total = df.agg(F.count("*").alias("total"))
     best = counts.orderBy(F.desc("count"), "word").limit(top)
     return best.crossJoin(F.broadcast(total)).select("word", "count", (F.col("rows") / F.col("total")).alias("pct"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinegrid.functions.scalars import bound
+
 #: From this width on a matrix product over Arrow batches is faster than an expression.
 WIDE = 256
 
@@ -24,8 +26,7 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Unit length in double; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return bound(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def literal(q: Sequence[float]) -> Column:
@@ -96,7 +97,9 @@ def diversity(vectors: DataFrame, group: str, vector: str = "embedding", decimal
     With unit vectors the sum of all cosines is the squared length of their sum, so the pairs need not be made: one
     aggregation per position."""
     n_of = vectors.where(F.col(vector).isNotNull())
-    unit_of = n_of.select(group, F.transform(vector, lambda x: x.cast("double") / F.greatest(norm(F.col(vector)), F.lit(1e-8))).alias("u"), norm(F.col(vector)).alias("l"))
+    length = F.greatest(norm(F.col(vector)), F.lit(1e-8))
+    units = bound(length, lambda n: F.transform(vector, lambda x: x.cast("double") / n))
+    unit_of = n_of.select(group, units.alias("u"), norm(F.col(vector)).alias("l"))
     own = F.pow(F.col("l") / F.greatest(F.col("l"), F.lit(1e-8)), 2)
     counts = unit_of.groupBy(group).agg(F.count("*").alias("n"), F.sum(own).alias("own"))
     sums = unit_of.select(group, F.posexplode("u").alias("at", "x")).groupBy(group, "at").agg(F.sum("x").alias("s"))

@@ -132,7 +132,7 @@ def file_size(n: Column) -> Column:
         v = n.cast("double") / float(1024**i)
         text = F.when(v == F.floor(v), F.concat(F.floor(v).cast("string"), F.lit(unit))).otherwise(F.concat(F.format_string("%.1f", v), F.lit(unit)))
         out = text if out is None else F.when(F.abs(v) < 1024, text).otherwise(out)
-    return out
+    return F.when(n.isNotNull(), out)
 
 
 def shown(v: Column, decimals: int = 2) -> Column:

@@ -603,3 +603,72 @@ def inc_7(s: SparkSession, d: str) -> DataFrame:
     rows = s.readStream.schema("video_name string, ts timestamp, event_id long, value double").parquet(path)
     inc.stream(rows, view, ["ts", "event_id"], new_path(s, "checkpoint")).awaitTermination()
     return view.read()
+
+
+# -- registries and parsers, as small tables
+
+def _rows(names: str, rows) -> tuple:
+    """A query of fixed rows and the SQL that spells them out. ``rows``: made by the engine; the SQL holds literals."""
+    kinds = " ,".join(f"{n} string" for n in names.split())
+    return lambda s, d: s.createDataFrame([tuple(map(str, r)) for r in rows()], kinds)
+
+
+def _values_sql(names: str, rows: list[tuple]) -> str:
+    cells = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {cells}) v({', '.join(names.split())})"
+
+
+ask("src_14", "SELECT dataset, video_name FROM manifest WHERE FALSE")(lambda s, d: sinks.favourites(s.createDataFrame([], "dataset string, video_name string"), "d", table(s, d, "manifest").limit(0), "add"))
+ask("src_19", _values_sql("place x", [("0", "0.6"), ("1", "0.8")]))(_rows("place x", lambda: enumerate(model.Registry([model.Processor("e", space=("e", 2), encode=lambda q: [3.0, 4.0])]).encode("e", "q"))))
+ask("prj_8", _values_sql("field source", [("vtss_score", "ultravideo"), ("score", "clip"), ("fps", "ingest")]))(
+    _rows("field source", lambda: [(f, src_) for f, (src_, _) in model.standard().field_catalogue("ultravideo").items() if f in ("vtss_score", "score", "fps")]))
+ask("prj_9", _values_sql("artifact kind", [("metadata.json", "data"), ("thumb_middle.jpg", "image"), ("compress_480p.mp4", "image"), ("phash.json", "data"), ("raft_flow.json", "data")]))(
+    _rows("artifact kind", lambda: [(a, k) for k, names in model.standard().artifact_catalogue().items() for a in names if not a.startswith(("clip", "siglip", "gve"))]))
+ask("prj_10", _values_sql("place label", [("0", "first"), ("1", "plain"), ("2", "own")]))(
+    _rows("place label", lambda: enumerate(x.label for x in model.Registry([model.Processor("a", sections=(model.Section("t", "plain"), model.Section("t", "first", 1)))], [model.Dataset("d", sections=(model.Section("t", "own"),))]).sections("d"))))
+for _name in ("prj_11", "udf_5"):
+    ask(_name, _values_sql("prefix width", [("clip", "512"), ("siglip", "1152"), ("gve", "2048")]))(_rows("prefix width", lambda: [(p, w) for p, (_, w) in model.standard().spaces().items()]))
+ask("prj_12", _values_sql("name value", [("sprite_columns", "5"), ("sprite_rows", "5"), ("sprite_frames", "25")]))(_rows("name value", lambda: model.config().items()))
+ask("flt_12", _values_sql("name", [("clip",), ("phash",)]))(_rows("name", lambda: [(n,) for n in model.standard().known(["clip", "phash"])]))
+for _name in ("udf_1", "udf_2", "udf_3"):
+    ask(_name, _values_sql("place name", [(str(i), n) for i, n in enumerate(("compress", "ingest", "clip", "phash"))]))(_rows("place name", lambda: enumerate(model.standard().order(["phash", "clip"]))))
+ask("udf_4", _values_sql("kind name", [("vector_index", n) for n in ("clip", "gve", "siglip")]))(_rows("kind name", lambda: [("vector_index", n) for n, _ in model.standard().rules()["vector_index"]]))
+ask("udf_6", "SELECT entry_id AS ordinal FROM manifest")(
+    lambda s, d: slim(model.Registry(datasets=[model.Dataset("m", entries=entries)]).datasets["m"].entries(s, d)))
+_PARSED = [("exact", "blue sky"), ("not", "rain"), ("or", "cat/dog"), ("and", "bird")]
+for _name in ("s_3", "s_4"):
+    ask(_name, _values_sql("kind words", _PARSED))(_rows("kind words", lambda: [(t.kind, "/".join(t.words)) for t in Q.tokens("cat|DOG !rain 'Blue sky'  bird")]))
+ask("s_17", _values_sql("field direction", [("file_size_mb", "asc"), ("random", "desc"), ("plain", "desc")]))(_rows("field direction", lambda: [S.sort_key(k) for k in ("file_size_mb_asc", "random", "plain")]))
+ask("s_29", _values_sql("text", [("dataset=d&q=a+b&page=2&sort=fps_asc&min_fps=24.0",)]))(_rows("text", lambda: [(plan.Request.parse("q=a+b&dataset=d&page=2&sort=fps_asc&min_fps=24&max_fps=").text(),)]))
+ask("jn_13", BASE + f"SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings, qv")(
+    lambda s, d: V.scored(vectors(s, d), first_vector(s, d)).select(F.col("video_name").cast("long").alias("vec_id"), F.round("score", 6).alias("score")))
+for _name in ("srt_13", "udf_8"):
+    ask(_name, "SELECT least(p // (n // 8), 7)::INT AS device, count(*) AS rows FROM (SELECT row_number() OVER (ORDER BY entry_id) - 1 AS p, count(*) OVER () AS n FROM manifest) GROUP BY ALL")(
+        lambda s, d: R.split(entries(s, d), ["ordinal"], 8, "device").groupBy("device").agg(F.count("*").alias("rows")))
+
+
+@ask("inc_8", "SELECT 'values' AS key, count(DISTINCT user_id) FILTER (event_id <= m) AS before, count(DISTINCT user_id) AS after FROM events, (SELECT min(event_id) + 20 AS m FROM events) HAVING before <> after")
+def inc_8(s: SparkSession, d: str) -> DataFrame:
+    """What a poll sees between two batches."""
+    rows, view = _events(s, d), inc.View(s, new_path(s, "view"))
+    first = rows.agg(F.min("event_id").alias("m")).first()["m"] + 20
+    seen = []
+    for part in (rows.where(F.col("event_id") <= first), rows.where(F.col("event_id") > first)):
+        view.take(part, ["ts", "event_id"])
+        seen.append(s.createDataFrame(list(inc.status({"values": view}).items()), "key string, n long"))
+    return P.status_changed(*seen)
+
+
+_FRAMES = "SELECT user_id, bit_count(xor(event_id, lag(event_id) OVER w)) AS step, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@ask("udf_11", f"""SELECT user_id::VARCHAR AS sample_id, round(round(coalesce(avg(step), 0), 4), 2) AS phash_mean_change, coalesce(max(step), 0)::DOUBLE AS phash_max_change,
+  round(round(coalesce(stddev_pop(step), 0), 4), 2) AS phash_std_change, round(round(avg(value), 4), 2) AS flow_mean_magnitude, round(round(stddev_pop(value), 4), 2) AS flow_std_magnitude FROM ({_FRAMES}) GROUP BY user_id""")
+def udf_11(s: SparkSession, d: str) -> DataFrame:
+    """The steps that need no model, over one sequence per user, run by the registry in their order."""
+    rows = table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("frames"))
+    rows = rows.select("sample_id", F.col("frames.event_id").alias("hashes"), F.col("frames.value").alias("magnitudes"))
+    out = model.standard().run(rows, ["phash", "raft_flow"])
+    both = out["phash"].join(out["raft_flow"], "sample_id")
+    return both.select("sample_id", F.round("phash_mean_change", 2).alias("phash_mean_change"), "phash_max_change", F.round("phash_std_change", 2).alias("phash_std_change"),
+                       F.round("flow_mean_magnitude", 2).alias("flow_mean_magnitude"), F.round("flow_std_magnitude", 2).alias("flow_std_magnitude"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegrid.functions.scalars import FIELD_ORDER, SPRITE_COLUMNS, SPRITE_ROWS
+from cinegrid.operators import processors
 
 #: Columns that every entry has; the caption may be null.
 REQUIRED = ("video_name", "caption", "source_path")
@@ -226,11 +227,12 @@ def _flow(names: str, labels: str) -> dict[str, Field]:
 def _encoder(name: str, human: str, score: str, width: int, top: float) -> Processor:
     data = f"{name}.json"
     fields = {f"{name}_std": Field(f"{human} spread"), score: Field(f"{human} score", dynamic=True, range=(0.0, top))}
-    return Processor(name, human, ("ingest",), {data: "data", f"{name}_embedding.npy": "data"}, fields, (Rule("json_dict", data, "video_stats"), Rule("vector_index", f"{name}_embedding.npy", name)), (name, width))
+    return Processor(name, human, ("ingest",), {data: "data", f"{name}_embedding.npy": "data"}, fields, (Rule("json_dict", data, "video_stats"), Rule("vector_index", f"{name}_embedding.npy", name)), (name, width), transform=processors.spread_field(name))
 
 
 def standard() -> Registry:
-    """The known steps, with the fields they give. Decoders and encoders are injected by who has them."""
+    """The known steps, with the fields they give. Decoders and encoders are injected by who has them; what follows from their
+    sequences and vectors is computed here."""
     media = {"width": Field("Width", dtype="int"), "height": Field("Height", dtype="int"), "fps": Field("FPS"), "num_frames": Field("Frames", dtype="int"), "duration": Field("Duration"), "file_size_mb": Field("Size (MB)")}
     hashes = _flow("phash_mean_change phash_max_change phash_std_change phash_temporal_std", "Mean change,Max change,Std of change,Temporal std")
     flow = _flow("flow_mean_magnitude flow_max_magnitude flow_min_magnitude flow_std_magnitude flow_temporal_std", "Mean flow,Max flow,Min flow,Std of flow,Temporal std")
@@ -240,8 +242,8 @@ def standard() -> Registry:
         _encoder("clip", "CLIP", "score", 512, 1.0),
         _encoder("siglip", "SigLIP", "siglip_score", 1152, 1.0),
         _encoder("gve", "GVE", "gve_score", 2048, 1.0),
-        Processor("phash", "Perceptual hash", ("ingest",), {"phash.json": "data"}, hashes, (Rule("json_dict", "phash.json", "video_stats"),)),
-        Processor("raft_flow", "Optical flow", ("ingest",), {"raft_flow.json": "data"}, flow, (Rule("json_dict", "raft_flow.json", "video_stats"),)),
+        Processor("phash", "Perceptual hash", ("ingest",), {"phash.json": "data"}, hashes, (Rule("json_dict", "phash.json", "video_stats"),), transform=processors.hash_fields),
+        Processor("raft_flow", "Optical flow", ("ingest",), {"raft_flow.json": "data"}, flow, (Rule("json_dict", "raft_flow.json", "video_stats"),), transform=processors.flow_fields),
     ], [
         Dataset("openhumanvid", "OpenHumanVid", {n: Field(n) for n in "luminance_min luminance_max blur_min blur_max aesthetic technical_score global_motion".split()}),
         Dataset("ultravideo", "UltraVideo", {n: Field(n) for n in "vtss_score motion_score video_clip_score".split()}),

@@ -153,6 +153,13 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
     return parted.withColumn("within", within).join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("within")).drop("part", "within", "before")
 
 
+def split(df: DataFrame, order: list[str], parts: int, name: str) -> DataFrame:
+    """Numbers equal consecutive shares in a column ``name``; what is left over goes to the last."""
+    n = F.lit(df.count())
+    share = F.greatest(F.floor(n / parts), F.lit(1))
+    return positions(df, order).withColumn(name, F.least(F.floor(F.col("position") / share), F.lit(parts - 1)).cast("int")).drop("position")
+
+
 # -- sets
 
 def toggled(selection: DataFrame, names: DataFrame, key: str) -> DataFrame:

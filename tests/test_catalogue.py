@@ -234,6 +234,19 @@ def test_processors_run_in_order(spark):
     assert {r.sample_id: r.m for r in out["b"].collect()} == {"xy": 4, "z": 2}
 
 
+def test_steps_over_sequences(spark):
+    from cinegrid.operators import processors as A
+
+    rows = [("a", [1.0, 3.0, 2.0], [0, 1, 3], [[1.0, 0.0], [0.0, 2.0]]), ("b", [], [5], [[1.0, 1.0]]), ("c", None, None, None), ("d", [4.0], [7, 7], [[1.0, 0.0], [3.0, 0.0], [2.0, 0.0]])]
+    df = spark.createDataFrame(rows, "sample_id string, magnitudes array<double>, hashes array<long>, frames array<array<double>>")
+    got = {r[0]: tuple(r)[1:] for r in A.flow_fields(df).collect()}
+    assert got["a"] == (2.0, 3.0, 1.0, 0.8165, 1.5) and got["b"] == got["c"] == (0.0, 0.0, 0.0, 0.0, 0.0) and got["d"] == (4.0, 4.0, 4.0, 0.0, 0.0)
+    got = {r[0]: tuple(r)[1:] for r in A.hash_fields(df).collect()}
+    assert got["a"] == (1.0, 1.0, 0.0, 0.0) and got["b"] == (0.0, 0.0, 0.0, 0.0) and got["d"] == (0.0, 0.0, 0.0, 0.0)
+    got = {r[0]: r[1] for r in A.spread_field("clip")(df).collect()}
+    assert got == {"a": 1.0, "b": None, "c": None, "d": 0.0}
+
+
 def test_validation(spark):
     with pytest.raises(ValueError, match="caption"):
         model.validated(spark.createDataFrame([("a",)], "video_name string"))

@@ -4,7 +4,7 @@ Lengths are whole numbers up to the capacity, so equal items are interchangeable
 (gaps). The state of the packing is therefore two sorted lists of runs, (length, how many items) and (gap, how many
 containers), whose size the capacity bounds, whatever the number of rows. In each step one run of items, from the longest
 down, meets its successors among the gaps: the smallest gap that holds it, then the next one. Where a run of items
-is longer than the run of gaps, the items of lower rank win and the rest goes to the next gap, at last to new
+is longer than a run of gaps can take, the items of lower rank win and the rest goes to the next gap, at last to new
 containers; the gaps are updated; and so on. The steps give a plan of runs "items of this length with ranks from a to b
 go to containers from c on". The rows are ranked by a distributed sort (per bucket, with offsets) and find their run in
 the plan by their length and rank.
@@ -46,24 +46,30 @@ def plan(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int,
         rank, left = 0, sizes[size]
         while left:
             at = bisect.bisect_left(gaps, size)
-            if at == len(gaps):
-                # no gap holds it: new containers, as many as the rest needs when each takes all it can
-                n = -(-left // (capacity // size))
-                add(capacity, containers, n)
-                containers += n
-                continue
-            gap = gaps[at]
-            first, n = runs[gap].pop()
-            # a container takes as many items of this length as fit before the next one is its better fit
-            took = min(n, left)
-            steps.append((size, rank, took, first, capacity - gap))
-            rank, left = rank + took, left - took
-            if n > took:
-                runs[gap].append((first + took, n - took))
-            if not runs[gap]:
-                del runs[gap], gaps[at]
-            if gap > size:
-                add(gap - size, first, took)
+            if at < len(gaps):
+                gap = gaps[at]
+                first, n = runs[gap].pop()
+                if not runs[gap]:
+                    del runs[gap], gaps[at]
+            else:  # no gap holds it: new containers, as many as the rest can need
+                gap, first, n = capacity, containers, left
+            # what is left in a container is the next item's best fit, so each is filled before the next one is begun
+            each = gap // size
+            full = min(n, left // each)
+            rest = left - full * each if full < n else 0
+            for some, items in ((full, each), (1, rest)):
+                if not some or not items:
+                    continue
+                for k in range(items):
+                    steps.append((size, rank, some, first, capacity - gap + k * size))
+                    rank += some
+                if gap > items * size:
+                    add(gap - items * size, first, some)
+                first, n, left = first + some, n - some, left - some * items
+            if gap == capacity:
+                containers = first
+            elif n:
+                add(gap, first, n)
     return steps
 
 

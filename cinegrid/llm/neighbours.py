@@ -7,6 +7,10 @@ is bounded whatever the number of rows, and near copies, which share long paths,
 second bucket of each table, that of its least certain axis (multiprobe). Rows of a bucket are compared by the signs of a
 turned vector; pairs that may be similar enough are reranked by the exact cosine, in double.
 
+A row that has k neighbours then may have nearer ones that the cut of a bucket or the rank by codes left out (in a large group
+of near copies all differences are smaller than the code's error). Each such row is compared with all rows, in blocks,
+by the exact cosine, so its k nearest are the true ones.
+
 Only codes (some hundred bytes a vector) are shuffled for the search; vectors move only for pairs to be reranked. Equal
 vectors are searched once and joined back.
 """
@@ -42,6 +46,12 @@ BITS = 512
 SLACK = 1.3
 #: Up to so many ids of vectors to be reranked are broadcast, so that only those vectors are shuffled.
 BROADCAST_ROWS = 500_000
+#: Rows that are compared with all rows in one pass over these; rows and asking rows that are multiplied at a time.
+ASKED = 32_768
+BLOCK = 12_288
+TILE = 1024
+#: More than the error of a cosine in single precision.
+ROUNDING = 4e-6
 SEED = 20260101
 
 
@@ -233,15 +243,125 @@ def _searched(depth: int, most_differ: int, keep: int, bucket: int, every: bool)
     return run
 
 
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    for m in (x, y):
+        m /= np.abs(m).max(axis=1, keepdims=True)
+    dot = np.einsum("ij,ij->i", x, y)
+    return dot / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+
+
 def _cosines(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (unpacked(batch.column(i), width).astype(np.float64) for i in (2, 3))
-            for m in (x, y):
-                m /= np.abs(m).max(axis=1, keepdims=True)
-            dot = np.einsum("ij,ij->i", x, y)
-            length = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dot / length)], names=["a", "b", "cosine"])
+            cosine = _cosine(*(unpacked(batch.column(i), width) for i in (2, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], names=["a", "b", "cosine"])
+
+    return run
+
+
+def _top(group: np.ndarray, value: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the k greatest values of each group, on a tie of the smaller ``tie``, and their ranks from 0."""
+    order = np.lexsort((tie, -value, group))
+    g = group[order]
+    new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
+    rank = np.arange(len(g)) - np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+    return order[rank < k], rank[rank < k]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of up to about BLOCK usable rows."""
+    held, n = [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(lo, BLOCK)
+            rows, at = matrix(part.column(1), width)
+            held.append((part.column(0).to_numpy()[at], rows))
+            n += len(at)
+            if n >= BLOCK:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _against(asked, width: int, k: int):
+    """(x, y, cosine): of each asked row the k most similar rows of the partition among those with at least its bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, cells, bounds = asked.value
+        vectors = unpacked(cells, width)
+        turned_to, least = unit(vectors), bounds - ROUNDING
+        x, y, c = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for ids, rows in _blocks(batches, width):
+            units = unit(rows)
+            mine = np.searchsorted(keys, ids)
+            mine[mine == len(keys)] = 0
+            same = np.flatnonzero(keys[mine] == ids)
+            found = [(x, y, c)]
+            for lo in range(0, len(keys), TILE):
+                sims = turned_to[lo : lo + TILE] @ units.T
+                here = same[(mine[same] >= lo) & (mine[same] < lo + TILE)]
+                sims[mine[here] - lo, here] = -np.inf
+                floor = least[lo : lo + TILE].astype(np.float32)
+                # the k-th greatest of the maxima of many parts is at most the k-th greatest of all
+                parts = 16 * k
+                if (size := len(ids) // parts) > 1:
+                    maxima = sims[:, : parts * size].reshape(len(sims), parts, size).max(axis=2)
+                    floor = np.maximum(floor, np.partition(maxima, -k, axis=1)[:, -k] - np.float32(2 * ROUNDING))
+                i, j = np.nonzero(sims >= floor[:, None])
+                if not len(i):
+                    continue
+                # of what is left, the k greatest and those within the error of the k-th
+                s = sims[i, j]
+                at, rank = _top(i, s, j, k)
+                kth = np.full(len(sims), -np.inf, np.float32)
+                kth[i[at[rank == k - 1]]] = s[at[rank == k - 1]]
+                good = s >= kth[i] - np.float32(2 * ROUNDING)
+                i, j = i[good] + lo, j[good]
+                for p in range(0, len(i), 8192):
+                    a, b = i[p : p + 8192], j[p : p + 8192]
+                    found.append((a, ids[b], _cosine(vectors[a], rows[b])))
+            x, y, c = (np.concatenate(m) for m in zip(*found))
+            at, rank = _top(x, c, y, k)
+            last = at[rank == k - 1]
+            least[x[last]] = np.maximum(least[x[last]], c[last] - ROUNDING)
+            x, y, c = x[at], y[at], c[at]
+        good = c >= bounds[x]
+        yield from pa.Table.from_arrays([pa.array(keys[x[good]]), pa.array(y[good]), pa.array(c[good])], names=["x", "y", "cosine"]).to_batches(max_chunksize=65536)
+
+    return run
+
+
+def _all_rows(rows: DataFrame, asked: DataFrame, k: int, width: int) -> DataFrame:
+    """(x, y, cosine): the k most similar of ``rows`` (id, v) for each row of ``asked`` (id, least), of those with a cosine of
+    at least ``least``. The asking rows are broadcast part by part; every part is multiplied with all rows."""
+    spark = rows.sparkSession
+    parts = max(1, -(-asked.count() // ASKED))
+    schema, out = "x long, y long, cosine double", None
+    for part in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        got = rows.join(F.broadcast(some), "id").select("id", "v", "least").mapInArrow(_bounded(width), "id long, vector binary, least double").toArrow()
+        if not got.num_rows:
+            continue
+        got = got.sort_by("id").combine_chunks()
+        cells = [got.column(i).combine_chunks() for i in range(3)]
+        shared = spark.sparkContext.broadcast((cells[0].to_numpy(), cells[1], cells[2].to_numpy()))
+        found = written(rows.select("id", "v").mapInArrow(_against(shared, width, k), schema), "compared")
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    best = Window.partitionBy("x").orderBy(F.desc("cosine"), "y")
+    return out.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+
+def _bounded(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at = matrix(batch.column(1), width)
+            at = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(packed(rows), pa.binary()), batch.column(2).take(at)], names=["id", "vector", "least"])
 
     return run
 
@@ -257,7 +377,7 @@ def _packed(width: int):
 
 def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float = 0.8, queries: DataFrame | None = None, width: int = WIDTH, tables: int = TABLES, depth: int = DEPTH, bucket: int | None = None, rerank: int = 3) -> DataFrame:
     """(id, other, cosine, rank): for each usable vector, of the others with a cosine of at least ``min_cosine`` the ``k`` most
-    similar that the tables find; on a tie the smaller key. ``key`` is a unique integer.
+    similar that the tables find; on a tie the smaller key. A row for which they find k has the true k most similar. ``key`` is a unique integer.
 
     ``queries``: the keys (in its first column) that ask, against all rows; all if None. As few rows ask then, buckets may be
     larger (QUERY_BUCKET). ``rerank``: so many times k candidates of a row are reranked. Unusable vectors (null, another length, a value that is null or not finite, all zero) take no part. Vectors of any length
@@ -300,12 +420,23 @@ def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("differ", "y"))).where(F.col("r") <= rerank * k)
     asked = written(ranked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "asked")
     needed = written(asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct(), "needed")
+    reps = rows.where(F.size("v") == width).join(members.where("id <> rep").select("id"), "id", "left_anti")
     if needed.count() <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(needed), "id", "left_semi")
     # both joins read one shuffle of the vectors
     vectors = rows.mapInArrow(_packed(width), "id long, vector binary")
     scored = asked.join(vectors.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
     scored = scored.select("a", "b", "va", "vb").mapInArrow(_cosines(width), "a long, b long, cosine double").where(F.col("cosine") >= min_cosine)
+    scored = written(scored, "scored")
+    # rows with k neighbours, and the cosine of the k-th: nearer ones may have been left out
+    sides = scored.select("cosine", F.explode(F.array("a", "b")).alias("id"))
+    if queries is not None:
+        sides = sides.join(asking, "id", "left_semi")
+    full = sides.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine")))).where(F.col("r") == k)
+    full = written(full.select("id", F.col("cosine").alias("least")), "full")
+    nearer = _all_rows(reps, full, k, width)
+    nearer = nearer.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+    scored = scored.unionByName(nearer).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     return _with_copies(scored, members, k, queries)
 
 

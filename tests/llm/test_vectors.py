@@ -178,3 +178,14 @@ def test_empty_tables(spark):
     assert clusters.joined_to_anchors(only, 0.4).count() == 0
     bad = table(spark, [None, np.zeros(W)])
     assert neighbours.similar(bad, "vec_id", "embedding").count() == 0 and subset.varied(bad, "vec_id", "embedding").count() == 0
+
+
+def test_nearest_of_near_copies_that_no_hash_cuts(spark, rng):
+    """A third of the rows are near copies of one vector, or it in other lengths: their nearest are the true ones."""
+    one = unit(rng.normal(size=W))
+    near = [(one + 0.02 * unit(rng.normal(size=W))) * rng.uniform(0.5, 2) for _ in range(700)]
+    rows = list(unit(rng.normal(size=(1400, W)))) + near
+    rows = [np.float32(v) for v in rows]
+    want = exact(rows, 4, 0.8)
+    got = {tuple(r) for r in neighbours.similar_pairs(table(spark, rows), "vec_id", "embedding", k=4).collect()}
+    assert len(want & got) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)

@@ -9,7 +9,7 @@ turned vector; pairs that may be similar enough are reranked by the exact cosine
 
 A row that has k neighbours then may have nearer ones that the cut of a bucket or the rank by codes left out (in a large group
 of near copies all differences are smaller than the code's error). Each such row is compared with all rows, in blocks,
-by the exact cosine, so its k nearest are the true ones.
+by the exact cosine, so its k nearest are the true ones. ``every`` does that with every asking row, without tables.
 
 Only codes (some hundred bytes a vector) are shuffled for the search; vectors move only for pairs to be reranked. Equal
 vectors are searched once and joined back.
@@ -47,9 +47,9 @@ SLACK = 1.3
 #: Up to so many ids of vectors to be reranked are broadcast, so that only those vectors are shuffled.
 BROADCAST_ROWS = 500_000
 #: Rows that are compared with all rows in one pass over these; rows and asking rows that are multiplied at a time.
-ASKED = 32_768
-BLOCK = 12_288
-TILE = 1024
+ASKED = 16_384
+BLOCK = 8192
+TILE = 512
 #: More than the error of a cosine in single precision.
 ROUNDING = 4e-6
 SEED = 20260101
@@ -341,7 +341,7 @@ def _all_rows(rows: DataFrame, asked: DataFrame, k: int, width: int) -> DataFram
     schema, out = "x long, y long, cosine double", None
     for part in range(parts):
         some = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        got = rows.join(F.broadcast(some), "id").select("id", "v", "least").mapInArrow(_bounded(width), "id long, vector binary, least double").toArrow()
+        got = rows.join(F.broadcast(some), "id").select("id", "v", "least").mapInArrow(_with_bounds(width), "id long, vector binary, least double").toArrow()
         if not got.num_rows:
             continue
         got = got.sort_by("id").combine_chunks()
@@ -356,7 +356,7 @@ def _all_rows(rows: DataFrame, asked: DataFrame, k: int, width: int) -> DataFram
     return out.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def _bounded(width: int):
+def _with_bounds(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at = matrix(batch.column(1), width)
@@ -375,12 +375,13 @@ def _packed(width: int):
     return run
 
 
-def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float = 0.8, queries: DataFrame | None = None, width: int = WIDTH, tables: int = TABLES, depth: int = DEPTH, bucket: int | None = None, rerank: int = 3) -> DataFrame:
+def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float = 0.8, queries: DataFrame | None = None, width: int = WIDTH, tables: int = TABLES, depth: int = DEPTH, bucket: int | None = None, rerank: int = 3, every: bool = False) -> DataFrame:
     """(id, other, cosine, rank): for each usable vector, of the others with a cosine of at least ``min_cosine`` the ``k`` most
     similar that the tables find; on a tie the smaller key. A row for which they find k has the true k most similar. ``key`` is a unique integer.
 
     ``queries``: the keys (in its first column) that ask, against all rows; all if None. As few rows ask then, buckets may be
-    larger (QUERY_BUCKET). ``rerank``: so many times k candidates of a row are reranked. Unusable vectors (null, another length, a value that is null or not finite, all zero) take no part. Vectors of any length
+    larger (QUERY_BUCKET). ``every``: each asking row is compared with all rows, so the result is exact whatever ``min_cosine`` is, and the
+    work is quadratic. ``rerank``: so many times k candidates of a row are reranked. Unusable vectors (null, another length, a value that is null or not finite, all zero) take no part. Vectors of any length
     are compared by direction. Equal vectors are neighbours with cosine 1. An empty input gives no rows; columns besides
     the two are ignored. Recall against brute force is measured in the tests and stands in the README.
     """
@@ -400,6 +401,11 @@ def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float
         coded = coded.join(asking.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     bucket = bucket or (BUCKET if queries is None else QUERY_BUCKET)
     single = coded.join(members.where("id <> rep").select("id"), "id", "left_anti")
+    reps = rows.where(F.size("v") == width).join(members.where("id <> rep").select("id"), "id", "left_anti")
+    if every:
+        found = _all_rows(reps, single.where("asks").select("id", F.lit(float(min_cosine)).alias("least")), k, width)
+        found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+        return _with_copies(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), members, k, queries)
     # only rows that ask look into a second bucket
     both = F.array(F.struct("paths", F.lit(True).alias("own")), F.struct(F.col("others").alias("paths"), F.lit(False).alias("own")))
     probes = single.select("id", "sketch", "asks", F.explode(both).alias("p")).where("asks or p.own")
@@ -420,7 +426,6 @@ def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("differ", "y"))).where(F.col("r") <= rerank * k)
     asked = written(ranked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "asked")
     needed = written(asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct(), "needed")
-    reps = rows.where(F.size("v") == width).join(members.where("id <> rep").select("id"), "id", "left_anti")
     if needed.count() <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(needed), "id", "left_semi")
     # both joins read one shuffle of the vectors

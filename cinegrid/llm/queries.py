@@ -33,10 +33,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The search form: the nearest of every vector whose id is divisible by 100, against all rows."""
-    clips = table(spark, folder, "clip_embedding")
-    asked = clips.where("vec_id % 100 = 0").select("vec_id")
-    found = neighbours.similar(clips, "vec_id", "embedding", queries=asked)
+    """The ten nearest of every usable vector, whatever their cosine, against all rows."""
+    found = neighbours.similar(table(spark, folder, "clip_embedding"), "vec_id", "embedding", min_cosine=-1, every=True)
     return found.select(F.col("id").alias("vec_id"), "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinegrid.functions.words import runs
-from cinegrid.operators.copies import EXPAND, class_pairs
+from cinegrid.operators.copies import class_pairs
 from cinegrid.scratch import written
 
 SIMILARITY = 0.7
@@ -206,8 +206,9 @@ class NearDuplicates:
         scored = pairs.select("a", "b", "wa", "wb").mapInArrow(_similarity, "a long, b long, similarity double")
         return scored.where(F.col("similarity") >= self.similarity - 1e-12)
 
-    def pairs(self, expand: int = EXPAND) -> DataFrame:
-        """(a, b), a < b: rows linked, each pair once. Copies: see ``class_pairs``."""
+    def pairs(self, expand: int | None = None) -> DataFrame:
+        """(a, b), a < b: rows linked, each pair once. Equal word sets may be different texts, so all their pairs come out unless
+        ``expand`` is given: see ``class_pairs``."""
         links = written(self.links(), "links")
         return class_pairs(self.members, links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b")), expand)
 

@@ -7,8 +7,8 @@ compared with each other, left and right of the window. So every shared stretch
 nothing else. Stretches of a text are merged into maximal intervals.
 
 The rows of a window that stands very often (boilerplate) are not compared with each other: each is re-keyed by the hashes
-of all stretches of the wanted length around it, which spreads them, and rows with the same stretch form a class. A class
-of many rows comes out as a star (each row with the first), others as all their pairs.
+of all stretches of the wanted length around it, which spreads them, and rows with the same stretch form a class. Classes of
+the same rows are one. A class comes out as all its pairs, a large one in parts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinegrid.llm.bpe import chunks
-from cinegrid.operators.copies import EXPAND, class_pairs
+from cinegrid.operators.copies import class_pairs, paired
 from cinegrid.scratch import written
 
 MIN_LENGTH = 200
@@ -307,21 +307,23 @@ class Spans:
         self.around = around.select(*order).repartition("hash").sortWithinPartitions("hash", "doc", "pos")
         self.docs = df.select(F.col(key).cast("long").alias("doc"), F.length(text).alias("n_chars"))
 
-    def links(self, expand: int = EXPAND) -> DataFrame:
-        """(rep_a, rep_b): different texts, by their representatives, with a stretch in common; each pair once. Of a hot stretch
-        that more texts share than have ``expand`` pairs, each with the first one."""
+    def links(self) -> DataFrame:
+        """(rep_a, rep_b): different texts, by their representatives, with a stretch in common; each pair once."""
         pairs = self.around.mapInArrow(_compared(self.min_length, False), "rep_a long, rep_b long")
         if self.hot is not None:
-            whole = F.col("n") * (F.col("n") - 1) / 2 <= expand
-            few = self.hot.where(whole)
-            every = few.select("key", F.col("doc").alias("rep_a")).join(few.select("key", F.col("doc").alias("rep_b")), "key").where("rep_a < rep_b")
-            star = self.hot.where(~whole).where("first < doc").select(F.col("first").alias("rep_a"), F.col("doc").alias("rep_b"))
-            pairs = pairs.unionByName(every.drop("key")).unionByName(star)
+            rows = self.hot.select("key", "doc").distinct()
+            # the stretches inside a longer one have the same rows, which two sums of hashes, the count and the ends tell
+            sums = [F.sum(F.xxhash64("doc", F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
+            same = rows.groupBy("key").agg(*sums, F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+            same = same.groupBy("s1", "s2", "n", "first", "last").agg(F.min("key").alias("key")).select("key", "n")
+            rows = written(rows.join(same, "key"), "hot")
+            every = paired(rows.withColumnRenamed("doc", "rep_a"), rows.withColumnRenamed("doc", "rep_b"), "key", "n")
+            pairs = pairs.unionByName(every.where("rep_a < rep_b").select("rep_a", "rep_b"))
         return pairs.distinct()
 
-    def pairs(self, expand: int = EXPAND) -> DataFrame:
-        """(a, b): rows with a stretch in common. Copies: see ``class_pairs``."""
-        return class_pairs(self.members, self.links(expand), expand)
+    def pairs(self, expand: int | None = None) -> DataFrame:
+        """(a, b): rows with a stretch in common. Copies come out as all their pairs unless ``expand`` is given: see ``class_pairs``."""
+        return class_pairs(self.members, self.links(), expand)
 
     def intervals(self) -> DataFrame:
         """(doc, start, end): the maximal stretches of each text that also stand in another row, end exclusive."""

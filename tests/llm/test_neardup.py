@@ -68,3 +68,12 @@ def test_components(spark):
 def test_empty(spark):
     near = neardup.NearDuplicates(spark.createDataFrame([], "entry_id long, caption string"), "entry_id", "caption")
     assert near.pairs().count() == 0 and near.groups().count() == 0
+
+
+def test_all_pairs_of_equal_word_sets(spark, words):
+    """720 different texts of the same words, and one that is near to them: every pair comes out."""
+    some = words[:12]
+    texts = [" ".join(some[i % 12 :] + some[: i % 12]) + "!" * (i // 12) for i in range(720)] + [" ".join(some[:11])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = neardup.NearDuplicates(df, "id", "text").pairs()
+    assert got.count() == got.distinct().count() == 721 * 720 // 2

@@ -71,3 +71,15 @@ def test_shuffled_joins_give_the_same(spark, words, monkeypatch):
 def test_empty(spark):
     found = spans.Spans(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text")
     assert found.pairs().count() == 0 and found.report().count() == 0
+
+
+def test_all_pairs_of_a_stretch_in_many_documents(spark, words):
+    """One stretch in 720 different documents, and one document 720 times: every pair comes out."""
+    r = random.Random(5)
+    own = lambda n: " ".join(r.choice(words) for _ in range(n))
+    shared = own(12)
+    docs = list(enumerate([own(5) + shared + own(5) for _ in range(720)] + [own(20)] * 720))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = spans.Spans(df, "doc_id", "text", 40).pairs()
+    assert got.count() == got.distinct().count() == 720 * 719
+    assert got.where("a < 720 and b >= 720").count() == 0

@@ -30,7 +30,7 @@ from cinegrid.scratch import written
 WIDTH = 512
 K = 10
 #: Tables, and the hashes of a path. A hash has 8 bits: one of 128 axes and its sign.
-TABLES = 10
+TABLES = 12
 DEPTH = 6
 #: A bucket is at least so many hashes deep; the second bucket differs in one of so many.
 START = 1
@@ -40,10 +40,10 @@ AXES = 128
 BUCKET = 256
 QUERY_BUCKET = 1024
 #: Bits of the sign code.
-BITS = 512
+BITS = 1024
 #: Standard deviations of the code's estimate by which a pair may miss the least cosine and still be reranked: at the
-#: least cosine itself 90 of 100 pairs pass, at 0.02 above it 97, at 0.05 above it 99.8.
-SLACK = 1.3
+#: least cosine itself 99.5 of 100 pairs pass (normal approximation).
+SLACK = 2.6
 #: Up to so many ids of vectors to be reranked are broadcast, so that only those vectors are shuffled.
 BROADCAST_ROWS = 500_000
 #: Rows that are compared with all rows in one pass over these; rows and asking rows that are multiplied at a time.

@@ -189,3 +189,14 @@ def test_nearest_of_near_copies_that_no_hash_cuts(spark, rng):
     want = exact(rows, 4, 0.8)
     got = {tuple(r) for r in neighbours.similar_pairs(table(spark, rows), "vec_id", "embedding", k=4).collect()}
     assert len(want & got) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
+def test_pairs_just_above_the_least_cosine(spark, rng):
+    """500 pairs with cosines from 0.8 to 0.82: the filter by codes may not drop them."""
+    rows = []
+    for c in rng.uniform(0.8005, 0.82, 500):
+        a, b = unit(rng.normal(size=(2, W)))
+        rows += [a, c * a + np.sqrt(1 - c * c) * unit(b - a * (a @ b))]
+    got = {tuple(r) for r in neighbours.similar_pairs(table(spark, rows), "vec_id", "embedding").collect()}
+    want = {(i, i + 1) for i in range(0, 1000, 2)}
+    assert not got - want and len(got) >= 0.97 * len(want), len(got)

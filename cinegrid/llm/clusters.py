@@ -33,6 +33,9 @@ UNREACHED = 4096
 #: Forests merged by one task, and steps of a cosine in the histogram of heights.
 MERGED = 32
 STEPS = 200
+#: Vectors left over that are compared with the joined ones in one pass over these; more than the error of a cosine in single precision.
+ASKED = 16_384
+ROUNDING = 4e-6
 
 
 def forest(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,6 +152,8 @@ class Tree:
     n: int
     links: tuple[np.ndarray, np.ndarray, np.ndarray]
     anchored: dict[int, str]
+    rows: DataFrame  # (id, v)
+    width: int
 
     def cut(self, least: float) -> np.ndarray:
         """The component of each landmark when only links of at least ``least`` count."""
@@ -201,7 +206,7 @@ def tree(df: DataFrame, key: str, vector: str, anchors: list[tuple[str, np.ndarr
     marks = share(ids, base)
     if not n:
         none = spark.createDataFrame([], "id long, mark int, weight double")
-        return Tree(spark, none, 0, (np.empty(0, int), np.empty(0, int), np.empty(0)), {})
+        return Tree(spark, none, 0, (np.empty(0, int), np.empty(0, int), np.empty(0)), {}, rows, width)
     out = written(rows.mapInArrow(_attached(marks, width, core, True), schema), "attached")
     links = out.where("other >= 0").select("mark", "other", "weight")
     while (size := links.count()) > MERGED * n:
@@ -215,20 +220,78 @@ def tree(df: DataFrame, key: str, vector: str, anchors: list[tuple[str, np.ndarr
     whole = np.maximum(_dense(n, *(t.column(i).to_numpy() for i in range(3))), among)
     np.fill_diagonal(whole, -np.inf)
     labels = {len(ids) + i: l for i, (l, _) in enumerate(anchors)}
-    return Tree(spark, out.where("other < 0").select("id", "mark", "weight"), n, forest(whole), labels)
+    return Tree(spark, out.where("other < 0").select("id", "mark", "weight"), n, forest(whole), labels, rows, width)
 
 
 def joined_to_anchors(t: Tree, least: float) -> DataFrame:
-    """(id, label): the vectors that a chain of links of at least ``least`` joins to an anchor. If a chain joins two
-    anchors, the one given first counts."""
+    """(id, label): the vectors that a chain of links of at least ``least`` joins to an anchor. If vectors next to each other
+    are joined to two anchors, the one given first counts.
+
+    The tree gives those whose chains lead over landmarks. The vectors left over are then compared with all joined ones, in
+    blocks, those newly joined with the rest, and so on until no vector is added; so no chain is lost, however few landmarks
+    there are. The work is the left over times the joined vectors.
+    """
     component = t.cut(least)
-    labels: dict[int, str] = {}
+    labels: dict[int, int] = {}
     for mark in sorted(t.anchored):
-        labels.setdefault(int(component[mark]), t.anchored[mark])
+        labels.setdefault(int(component[mark]), mark)
     rows = [(i, labels[int(c)]) for i, c in enumerate(component) if int(c) in labels]
-    of = t.spark.createDataFrame(rows, "mark int, label string")
+    of = t.spark.createDataFrame(rows, "mark int, label int")
     # at most LANDMARKS + UNREACHED + anchors rows
-    return t.attached.where(F.col("weight") >= least).join(F.broadcast(of), "mark").select("id", "label")
+    new = written(t.attached.where(F.col("weight") >= least).join(F.broadcast(of), "mark").select("id", "label"), "joined")
+    found = new
+    while new.limit(1).count():
+        left = written(t.rows.select("id").join(found.select("id"), "id", "left_anti"), "left")
+        parts = -(-left.count() // ASKED)
+        step = None
+        for part in range(parts):
+            asked = left.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+            got = t.rows.join(F.broadcast(asked), "id", "left_semi").select("id", "v").toArrow()
+            if not got.num_rows:
+                continue
+            held, at = matrix(got.column("v").combine_chunks(), t.width)
+            shared = t.spark.sparkContext.broadcast((got.column("id").to_numpy()[at], held))
+            near = t.rows.join(new, "id").select("id", "v", "label").mapInArrow(_next_to(shared, t.width, least), "id long, label int")
+            near = written(near.groupBy("id").agg(F.min("label").alias("label")), "near")
+            shared.destroy()
+            step = near if step is None else step.unionByName(near)
+        if step is None:
+            break
+        new = step
+        found = found.unionByName(new)
+    names = t.spark.createDataFrame(sorted(t.anchored.items()), "label int, name string")
+    return found.join(F.broadcast(names), "label").select("id", F.col("name").alias("label"))
+
+
+def _next_to(shared, width: int, least: float):
+    """(id, label): the broadcast vectors that have a link of at least ``least`` to a row, with the smallest label of such rows. Cosines
+    within the error of single precision are taken again in double."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, vectors = shared.value
+        asked = unit(vectors)
+        best = np.full(len(keys), np.iinfo(np.int32).max, np.int32)
+        for batch in batches:
+            rows, at = matrix(batch.column(1), width)
+            label = batch.column(2).to_numpy()[at]
+            for lo in range(0, len(rows), 2048):
+                part, own = unit(rows[lo : lo + 2048]), label[lo : lo + 2048]
+                for q in range(0, len(keys), 2048):
+                    sims = asked[q : q + 2048] @ part.T
+                    linked = sims >= least
+                    i, j = np.nonzero(np.abs(sims - least) < ROUNDING)
+                    x, y = vectors[q + i].astype(np.float64), rows[lo + j].astype(np.float64)
+                    for m in (x, y):
+                        m /= np.abs(m).max(axis=1, keepdims=True)
+                    length = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+                    linked[i, j] = np.einsum("ij,ij->i", x, y) / length >= least
+                    for l in np.unique(own):
+                        hit = q + np.flatnonzero(linked[:, own == l].any(axis=1))
+                        best[hit] = np.minimum(best[hit], l)
+        hit = np.flatnonzero(best < np.iinfo(np.int32).max)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(best[hit])], names=["id", "label"])
+
+    return run
 
 
 def _density(s: np.ndarray | float):

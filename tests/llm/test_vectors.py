@@ -200,3 +200,12 @@ def test_pairs_just_above_the_least_cosine(spark, rng):
     got = {tuple(r) for r in neighbours.similar_pairs(table(spark, rows), "vec_id", "embedding").collect()}
     want = {(i, i + 1) for i in range(0, 1000, 2)}
     assert not got - want and len(got) >= 0.97 * len(want), len(got)
+
+
+def test_chains_between_vectors_that_are_no_landmarks(spark, rng):
+    """Chains of thin links, with few landmarks and a second pass that takes only two of those they don't reach."""
+    axes = np.linalg.qr(rng.normal(size=(W, 200)))[0].T
+    chain = [unit(axes[i] + axes[i + 1]) for i in range(12)]
+    rows = chain + list(axes[20:])
+    t = clusters.tree(table(spark, rows), "vec_id", "embedding", [("one", chain[0])], reach=0.42, landmarks=2, unreached=2)
+    assert {(r.id, r.label) for r in clusters.joined_to_anchors(t, 0.42).collect()} == {(i, "one") for i in range(12)}

@@ -124,6 +124,19 @@ def codes(rows: np.ndarray, tables: int = TABLES, depth: int = DEPTH) -> tuple[n
     return paths, others, np.concatenate(sketch, axis=1).copy().view(np.uint64)
 
 
+def paths(rows: np.ndarray, tables: int, depth: int) -> np.ndarray:
+    """Of unit vectors only the path of each table (n, tables)."""
+    n, need, hashes = len(rows), tables * depth, []
+    for x in turned(rows, rotations(rows.shape[1], need)[1]):
+        for block in range(0, x.shape[1], AXES):
+            part = x[:, block : block + AXES]
+            top = np.abs(part).argmax(axis=1)
+            hashes.append((top * 2 + (part[np.arange(n), top] < 0)).astype(np.uint64))
+        if len(hashes) >= need:
+            break
+    return np.stack([_path(np.array(hashes[t * depth : (t + 1) * depth])) for t in range(tables)], axis=1)
+
+
 def _path(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(hashes.shape[1], np.uint64)
     for h in hashes:

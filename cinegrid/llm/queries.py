@@ -61,17 +61,17 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    anchors = table(spark, folder, "cluster_anchors").orderBy("anchor_id").select("cluster_label", "embedding").limit(clusters.UNREACHED + 1).collect()
+    anchors = table(spark, folder, "cluster_anchors").orderBy("anchor_id").select("cluster_label", "embedding").limit(clusters.ANCHORS + 1).collect()
     given = [(r[0], np.array(r[1], np.float32)) for r in anchors if r[1] is not None]
-    made = clusters.tree(table(spark, folder, "clip_embedding"), "vec_id", "embedding", given, core=0, reach=0.42)
-    found = clusters.joined_to_anchors(made, 0.42)
+    made = clusters.graph(table(spark, folder, "clip_embedding"), "vec_id", "embedding", given, core=0, reach=0.42)
+    found = clusters.joined_to_anchors(made)
     return found.select(F.col("id").alias("vec_id"), F.col("label").alias("cluster_label"))
 
 
 @query
 def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """The clusters themselves, with size and most typical members."""
-    made = clusters.tree(table(spark, folder, "clip_embedding"), "vec_id", "embedding", core=2)
+    made = clusters.graph(table(spark, folder, "clip_embedding"), "vec_id", "embedding", core=2)
     return clusters.described(clusters.clustered(made, min_size=25))
 
 

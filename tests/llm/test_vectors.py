@@ -105,8 +105,8 @@ def test_chains_to_anchors(spark, made, rng):
     chain = [np.cos(t) * a + np.sin(t) * b for t in np.arange(0, 6.0, 0.9)]
     rows = rows + chain
     anchors = [("first", rows[0]), ("second", rows[200]), ("chain", chain[0]), ("bad", np.zeros(W))]
-    t = clusters.tree(table(spark, rows), "vec_id", "embedding", anchors, reach=0.42, landmarks=16)
-    got = {r.id: r.label for r in clusters.joined_to_anchors(t, 0.42).collect()}
+    t = clusters.graph(table(spark, rows), "vec_id", "embedding", anchors, reach=0.42, landmarks=16, block=64)
+    got = {r.id: r.label for r in clusters.joined_to_anchors(t).collect()}
     ok, near = links(rows, 0.42)
     want = {}
     for name, v in anchors[:3]:
@@ -119,23 +119,117 @@ def test_chains_to_anchors(spark, made, rng):
     assert got == want
 
 
-def test_forest_is_a_spanning_tree_of_greatest_weight(rng):
-    w = np.round(rng.uniform(size=(40, 40)), 1)  # many ties
+def weights(rng, n, decimals):
+    w = np.round(rng.uniform(size=(n, n)), decimals)
     w = np.maximum(w, w.T)
     np.fill_diagonal(w, -np.inf)
-    a, b, weight = clusters.forest(w.astype(np.float32))
-    assert len(a) == 39
+    return w
+
+
+def greatest_tree(w):
     done, total = {0}, 0.0
-    while len(done) < 40:
-        x, y = max(((i, j) for i in done for j in range(40) if j not in done), key=lambda p: w[p])
+    while len(done) < len(w):
+        x, y = max(((i, j) for i in done for j in range(len(w)) if j not in done), key=lambda p: w[p])
         total += w[x, y]
         done.add(y)
-    assert abs(weight.sum() - total) < 1e-4
+    return total
+
+
+def test_spanning_trees_of_greatest_weight(rng):
+    w = weights(rng, 40, 1)  # many ties
+    a, b = clusters.spanning(w.astype(np.float32))
+    assert len(a) == 39 and abs(w[a, b].sum() - greatest_tree(w)) < 1e-6
+    i, j = np.triu_indices(40, 1)
+    root, _, used = clusters.rounds(40, i, j, w[i, j])
+    assert len(used) == 39 and len(set(root)) == 1 and abs(w[i[used], j[used]].sum() - greatest_tree(w)) < 1e-6
+    assert clusters.spanning(np.zeros((1, 1)))[0].size == 0
+
+
+def plain_hierarchy(rows, core, min_size):
+    """(clusters as sets, noise excluded) of density clustering, written down as its definition says, over all pairs."""
+    x = unit(np.array(rows, np.float64))
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    of = np.sort(s, axis=1)[:, -core]
+    w = np.floor(np.minimum(np.minimum(s, of[:, None]), of[None, :]) * clusters.GRID) / clusters.GRID
+    density = lambda v: 1 / max(1 - v, 1e-3)
+
+    def parts(inside, above):
+        left, out = set(inside), []
+        while left:
+            todo, part = [left.pop()], []
+            while todo:
+                i = todo.pop()
+                part.append(i)
+                near = [j for j in left if w[i, j] > above]
+                left -= set(near)
+                todo += near
+            out.append(part)
+        return out
+
+    def walk(inside, birth, top):
+        """(stability, chosen sets) of a cluster and what is below it."""
+        gone, level_of, now = 0.0, {}, list(inside)
+        while True:
+            level = max_min(now)
+            found = parts(now, level)
+            big = [p for p in found if len(p) >= min_size]
+            if len(big) == 1:
+                for p in found:
+                    if p is not big[0]:
+                        level_of.update(dict.fromkeys(p, level))
+                now = big[0]
+                continue
+            level_of.update(dict.fromkeys(now, level))
+            break
+        gone = sum(density(min(v, 1)) - density(max(birth, -1)) for v in level_of.values())
+        if not big:
+            return gone, [set(inside)]
+        below = [walk(p, level, False) for p in big]
+        if top or sum(b[0] for b in below) > gone:
+            return sum(b[0] for b in below), [c for b in below for c in b[1]]
+        return gone, [set(inside)]
+
+    def max_min(now):
+        """The greatest weight at which all of ``now`` hang together (links of at least it)."""
+        done, low, best = {now[0]}, np.inf, w[now[0]].copy()
+        left = set(now[1:])
+        while left:
+            j = max(left, key=lambda q: best[q])
+            low = min(low, best[j])
+            left.remove(j)
+            best = np.maximum(best, w[j])
+        return low
+
+    return [c for p in parts(range(len(rows)), -2) for c in walk(p, -2.0, True)[1]]
+
+
+@pytest.fixture(scope="module")
+def lumps(rng):
+    """Two clusters, one of them of two lumps, and noise."""
+    a, b, c = unit(rng.normal(size=(3, W)))
+    near = unit(b + 0.8 * c)
+    rows = [unit(m + s * unit(rng.normal(size=W))) for m, s, n in ((a, 0.7, 70), (b, 0.5, 50), (near, 0.5, 40)) for _ in range(n)]
+    return rows + list(unit(rng.normal(size=(30, W))))
+
+
+@pytest.mark.parametrize("core", [1, 3])
+@pytest.mark.parametrize("min_size", [6, 15])
+def test_clusters_equal_the_definition(spark, lumps, core, min_size):
+    want = sorted(map(sorted, plain_hierarchy(np.float32(lumps), core, min_size)))
+    df = table(spark, lumps)
+    for local in (clusters.LOCAL, 1):  # in one task, and by rounds over tables
+        found = clusters.clustered(clusters.graph(df, "vec_id", "embedding", core=core, local=local), min_size).collect()
+        by = {}
+        for r in found:
+            by.setdefault(r.cluster, []).append(r.id)
+        assert sorted(map(sorted, by.values())) == want and all(k == min(v) for k, v in by.items())
 
 
 def test_clusters(spark, made):
     rows, label = made
-    t = clusters.tree(table(spark, rows), "vec_id", "embedding", core=2)
+    # blocks of a few rows, so that the graph is put together from many
+    t = clusters.graph(table(spark, rows), "vec_id", "embedding", core=2, block=64)
     found = clusters.clustered(t, min_size=15).collect()
     for c, n in enumerate((200, 80, 40)):
         inside = [r.cluster for r in found if label[r.id] == c]
@@ -145,6 +239,24 @@ def test_clusters(spark, made):
     assert all(len(r["exemplars"]) == 5 and len(set(r["exemplars"])) == 5 for r in sizes.values())
 
 
+def test_a_third_are_equal_clusters(spark, rng):
+    """Equal vectors, more than a block holds, are one cluster; those of another length too."""
+    one, two = unit(rng.normal(size=(2, W)))
+    rows = [one * (1 + i % 3) for i in range(150)] + [unit(two + 0.3 * unit(rng.normal(size=W))) for _ in range(100)] + list(unit(rng.normal(size=(200, W))))
+    found = clusters.clustered(clusters.graph(table(spark, rows), "vec_id", "embedding", core=2, block=32), 20).collect()
+    by = {r.id: r.cluster for r in found}
+    assert {by.get(i) for i in range(150)} == {0} and {by.get(i) for i in range(150, 250)} == {150}
+
+
+def test_blocks_cover_all_rows(rng):
+    path = np.sort(np.r_[rng.integers(0, 1 << 49, 500), np.full(300, 1 << 40)]).astype(np.uint64)
+    cut = list(clusters.blocks(path, 6, 64))
+    assert all(0 < b - a <= 64 for a, b in cut) and cut[0][0] == 0 and cut[-1][1] == 800
+    assert all(y[0] in (x[1], x[1] - 1) for x, y in zip(cut, cut[1:]))
+    assert all(np.ptp(path[a:b] >> np.uint64(48)) == 0 for a, b in cut)
+    assert list(clusters.blocks(path[:0], 6, 64)) == []
+
+
 def test_subset_covers_and_does_not_repeat(spark, made):
     rows, label = made
     df = table(spark, rows)
@@ -172,10 +284,10 @@ def test_empty_tables(spark):
     df = table(spark, [])
     assert neighbours.similar(df, "vec_id", "embedding").count() == 0
     assert subset.varied(df, "vec_id", "embedding").count() == 0
-    t = clusters.tree(df, "vec_id", "embedding")
-    assert clusters.joined_to_anchors(t, 0.4).count() == 0 and clusters.clustered(t, 5).count() == 0 and clusters.described(clusters.clustered(t, 5)).count() == 0
-    only = clusters.tree(df, "vec_id", "embedding", [("a", np.ones(W))])
-    assert clusters.joined_to_anchors(only, 0.4).count() == 0
+    t = clusters.graph(df, "vec_id", "embedding")
+    assert clusters.joined_to_anchors(t).count() == 0 and clusters.clustered(t, 5).count() == 0 and clusters.described(clusters.clustered(t, 5)).count() == 0
+    only = clusters.graph(df, "vec_id", "embedding", [("a", np.ones(W))])
+    assert clusters.joined_to_anchors(only).count() == 0
     bad = table(spark, [None, np.zeros(W)])
     assert neighbours.similar(bad, "vec_id", "embedding").count() == 0 and subset.varied(bad, "vec_id", "embedding").count() == 0
 
@@ -202,10 +314,22 @@ def test_pairs_just_above_the_least_cosine(spark, rng):
     assert not got - want and len(got) >= 0.97 * len(want), len(got)
 
 
-def test_chains_between_vectors_that_are_no_landmarks(spark, rng):
-    """Chains of thin links, with few landmarks and a second pass that takes only two of those they don't reach."""
+@pytest.mark.parametrize("block, local", [(2048, clusters.LOCAL), (32, clusters.LOCAL), (32, 1)])
+def test_chains_between_vectors_that_are_no_landmarks(spark, rng, block, local):
+    """Chains of thin links, with two landmarks and small blocks."""
     axes = np.linalg.qr(rng.normal(size=(W, 200)))[0].T
     chain = [unit(axes[i] + axes[i + 1]) for i in range(12)]
     rows = chain + list(axes[20:])
-    t = clusters.tree(table(spark, rows), "vec_id", "embedding", [("one", chain[0])], reach=0.42, landmarks=2, unreached=2)
-    assert {(r.id, r.label) for r in clusters.joined_to_anchors(t, 0.42).collect()} == {(i, "one") for i in range(12)}
+    t = clusters.graph(table(spark, rows), "vec_id", "embedding", [("one", chain[0])], landmarks=2, block=block, local=local)
+    assert {(r.id, r.label) for r in clusters.joined_to_anchors(t).collect()} == {(i, "one") for i in range(12)}
+
+
+def test_many_chains(spark, rng):
+    """400 chains of four, 0.9 apart, each with an anchor at one end; and 4,500 vectors that nothing reaches."""
+    a, b = unit(rng.normal(size=(2, 400, W)))
+    b = unit(b - a * np.einsum("ij,ij->i", a, b)[:, None])
+    rows = [np.cos(t) * a[i] + np.sin(t) * b[i] for i in range(400) for t in (0, 0.9, 1.8, 2.7)]
+    rows += list(unit(rng.normal(size=(4500, W))))
+    g = clusters.graph(table(spark, rows), "vec_id", "embedding", [(str(i), a[i]) for i in range(400)])
+    got = {r.id: r.label for r in clusters.joined_to_anchors(g).collect()}
+    assert got == {i: str(i // 4) for i in range(1600)}

@@ -7,9 +7,10 @@ is bounded whatever the number of rows, and near copies, which share long paths,
 second bucket of each table, that of its least certain axis (multiprobe). Rows of a bucket are compared by the signs of a
 turned vector; pairs that may be similar enough are reranked by the exact cosine, in double.
 
-A row that has k neighbours then may have nearer ones that the cut of a bucket or the rank by codes left out (in a large group
-of near copies all differences are smaller than the code's error). Each such row is compared with all rows, in blocks,
-by the exact cosine, so its k nearest are the true ones. ``every`` does that with every asking row, without tables.
+A row for which the tables find more candidates than are reranked may have nearer ones that the cut of a bucket or the rank by
+codes left out (in a large group of near copies all differences are smaller than the code's error). Each such row is compared
+with all rows, in blocks, by the exact cosine, with its k-th cosine so far as the bound; so its k nearest are the true ones.
+Without a least cosine every asking row is such a row.
 
 Only codes (some hundred bytes a vector) are shuffled for the search; vectors move only for pairs to be reranked. Equal
 vectors are searched once and joined back.
@@ -44,8 +45,6 @@ BITS = 1024
 #: Standard deviations of the code's estimate by which a pair may miss the least cosine and still be reranked: at the
 #: least cosine itself 99.5 of 100 pairs pass (normal approximation).
 SLACK = 2.6
-#: Up to so many ids of vectors to be reranked are broadcast, so that only those vectors are shuffled.
-BROADCAST_ROWS = 500_000
 #: Rows that are compared with all rows in one pass over these; rows and asking rows that are multiplied at a time.
 ASKED = 16_384
 BLOCK = 8192
@@ -388,16 +387,19 @@ def _packed(width: int):
     return run
 
 
-def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float = 0.8, queries: DataFrame | None = None, width: int = WIDTH, tables: int = TABLES, depth: int = DEPTH, bucket: int | None = None, rerank: int = 3, every: bool = False) -> DataFrame:
-    """(id, other, cosine, rank): for each usable vector, of the others with a cosine of at least ``min_cosine`` the ``k`` most
-    similar that the tables find; on a tie the smaller key. A row for which they find k has the true k most similar. ``key`` is a unique integer.
+def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float | None = None, queries: DataFrame | None = None, width: int = WIDTH, tables: int = TABLES, depth: int = DEPTH, bucket: int | None = None, rerank: int = 3) -> DataFrame:
+    """(id, other, cosine, rank): for each usable vector the ``k`` most similar others, of those with a cosine of at least
+    ``min_cosine`` if it is given; on a tie the smaller key. ``key`` is a unique integer.
 
     ``queries``: the keys (in its first column) that ask, against all rows; all if None. As few rows ask then, buckets may be
-    larger (QUERY_BUCKET). ``every``: each asking row is compared with all rows, so the result is exact whatever ``min_cosine`` is, and the
-    work is quadratic. ``rerank``: so many times k candidates of a row are reranked. Unusable vectors (null, another length, a value that is null or not finite, all zero) take no part. Vectors of any length
-    are compared by direction. Equal vectors are neighbours with cosine 1. An empty input gives no rows; columns besides
-    the two are ignored. Recall against brute force is measured in the tests and stands in the README.
+    larger (QUERY_BUCKET). ``rerank``: so many times k candidates of a row are reranked; a row with as many or more is compared
+    with all rows, as is, without ``min_cosine``, each asking row: those have the true k most similar, and that work is the
+    product of both numbers. The other rows rest on the tables alone. Unusable vectors (null, another length, a value that is
+    null or not finite, all zero) take no part. Vectors of any length are compared by direction. Equal vectors are neighbours
+    with cosine 1. An empty input gives no rows; columns besides the two are ignored. Recall against brute force is measured in
+    the tests and stands in the README.
     """
+    least = -1.0 if min_cosine is None else float(min_cosine)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
     coded = rows.where("id is not null and v is not null").where(F.size("v") == width)
     coded = coded.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
@@ -415,10 +417,6 @@ def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float
     bucket = bucket or (BUCKET if queries is None else QUERY_BUCKET)
     single = coded.join(members.where("id <> rep").select("id"), "id", "left_anti")
     reps = rows.where(F.size("v") == width).join(members.where("id <> rep").select("id"), "id", "left_anti")
-    if every:
-        found = _all_rows(reps, single.where("asks").select("id", F.lit(float(min_cosine)).alias("least")), k, width)
-        found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
-        return _with_copies(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), members, k, queries)
     # only rows that ask look into a second bucket
     both = F.array(F.struct("paths", F.lit(True).alias("own")), F.struct(F.col("others").alias("paths"), F.lit(False).alias("own")))
     probes = single.select("id", "sketch", "asks", F.explode(both).alias("p")).where("asks or p.own")
@@ -428,7 +426,7 @@ def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float
     path = (F.col("table").cast("long") * (1 << 8 * depth) + F.col("path")).alias("path")
     probes = probes.select(path, "id", "sketch", "own", "asks").repartitionByRange("path", "id").sortWithinPartitions("path", "id")
     # the share of differing bits estimates the angle; its deviation sets the slack
-    share = float(np.arccos(np.clip(min_cosine, -1, 1)) / np.pi)
+    share = float(np.arccos(np.clip(least, -1, 1)) / np.pi)
     most = int(np.ceil(BITS * (share + SLACK * np.sqrt(share * (1 - share) / BITS))))
     found = probes.mapInArrow(_searched(depth, most, rerank * k, bucket, queries is None), "x long, y long, differ int")
     found = found.groupBy("x", "y").agg(F.min("differ").alias("differ"))
@@ -437,22 +435,22 @@ def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float
         sides = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
         found = found.select("differ", sides.alias("s")).select("s.x", "s.y", "differ")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("differ", "y"))).where(F.col("r") <= rerank * k)
-    asked = written(ranked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "asked")
-    needed = written(asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct(), "needed")
-    if needed.count() <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(needed), "id", "left_semi")
+    ranked = written(ranked.select("x", "y", "r"), "ranked")
+    asked = ranked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     # both joins read one shuffle of the vectors
     vectors = rows.mapInArrow(_packed(width), "id long, vector binary")
     scored = asked.join(vectors.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
-    scored = scored.select("a", "b", "va", "vb").mapInArrow(_cosines(width), "a long, b long, cosine double").where(F.col("cosine") >= min_cosine)
+    scored = scored.select("a", "b", "va", "vb").mapInArrow(_cosines(width), "a long, b long, cosine double").where(F.col("cosine") >= least)
     scored = written(scored, "scored")
-    # rows with k neighbours, and the cosine of the k-th: nearer ones may have been left out
+    # rows with as many candidates as are reranked, and the cosine of the k-th: nearer ones may have been left out
+    if min_cosine is None:
+        crowded = single.where("asks").select("id")
+    else:
+        crowded = ranked.where(F.col("r") == rerank * k).select(F.col("x").alias("id"))
     sides = scored.select("cosine", F.explode(F.array("a", "b")).alias("id"))
-    if queries is not None:
-        sides = sides.join(asking, "id", "left_semi")
-    full = sides.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine")))).where(F.col("r") == k)
-    full = written(full.select("id", F.col("cosine").alias("least")), "full")
-    nearer = _all_rows(reps, full, k, width)
+    kth = sides.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine")))).where(F.col("r") == k)
+    crowded = written(crowded.join(kth.select("id", F.col("cosine").alias("kth")), "id", "left").select("id", F.coalesce("kth", F.lit(least)).alias("least")), "crowded")
+    nearer = _all_rows(reps, crowded, k, width)
     nearer = nearer.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
     scored = scored.unionByName(nearer).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     return _with_copies(scored, members, k, queries)

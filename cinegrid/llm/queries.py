@@ -27,14 +27,15 @@ def query(f: Query) -> Query:
 
 @query
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = neighbours.similar_pairs(table(spark, folder, "clip_embedding"), "vec_id", "embedding")
+    pairs = neighbours.similar_pairs(table(spark, folder, "clip_embedding"), "vec_id", "embedding", min_cosine=0.8)
     return pairs.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
 
 
 @query
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten nearest of every usable vector, whatever their cosine, against all rows."""
-    found = neighbours.similar(table(spark, folder, "clip_embedding"), "vec_id", "embedding", min_cosine=-1, every=True)
+    """The ten nearest, whatever their cosine, of every usable vector whose id is divisible by 100, against all rows."""
+    clips = table(spark, folder, "clip_embedding")
+    found = neighbours.similar(clips, "vec_id", "embedding", queries=clips.where("vec_id % 100 = 0").select("vec_id"))
     return found.select(F.col("id").alias("vec_id"), "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
@@ -124,6 +125,11 @@ SQL["p1_found"] = _UNIT + """
 )
 SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM best
 """
+SQL["p1_neighbours"] = _UNIT + """
+SELECT a.vec_id, b.vec_id AS other, round(array_cosine_similarity(a.v, b.v), 6) AS cosine,
+       CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY array_cosine_similarity(a.v, b.v) DESC, b.vec_id) AS INT) AS rank
+FROM ok a JOIN ok b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 10
+"""
 SQL["p5_found"] = "WITH RECURSIVE" + _UNIT.strip().removeprefix("WITH") + """
 , links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND array_cosine_similarity(a.v, b.v) >= 0.42

@@ -25,17 +25,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinegrid.functions.vectors import matrix, packed, unit, unpacked
-from cinegrid.llm.neighbours import paths
+from cinegrid.llm.neighbours import _packed, paths
 from cinegrid.scratch import written
 
 WIDTH = 512
 LANDMARKS = 384
 ANCHORS = 4096
-#: Tables of the neighbour graph, the hashes of a path, the rows of a block, and about so many rows of a cell.
+#: Tables of the neighbour graph, the hashes of a path, the rows of a block, about so many rows of a cell, and cells of a task.
 TABLES = 2
 DEPTH = 6
 BLOCK = 2048
-CELL = 16_384
+CELL = 8192
+CELLS = 4
 #: Sampled paths per cell, from which the cells' bounds are taken.
 SAMPLED = 20
 #: Tables of links of at most so many rows are contracted by one task; larger ones by rounds over tables. The result is the same.
@@ -267,7 +268,9 @@ def graph(df: DataFrame, key: str, vector: str, anchors: list[tuple[str, np.ndar
         bounds = np.sort(found)[np.linspace(0, max(len(found) - 1, 0), cells + 1).astype(int)[1:-1]] if len(found) else bounds
     share = spark.sparkContext.broadcast
     made = rows.mapInArrow(_placed(share(bounds), width), "cell int, path long, id long, vector binary")
-    made = made.repartition("cell").sortWithinPartitions("cell", "path", "id")
+    # as many tasks as the rows ask for, whatever the session's number is
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells // CELLS))
+    made = made.repartition(tasks, "cell").sortWithinPartitions("cell", "path", "id")
     made = made.mapInArrow(_compared(share((keys, land, given)), width, core, reach, block), "kind byte, a long, b long, weight double")
     made = written(made, "graph")
     edges = made.where(F.col("kind").isin(TREE, STAR)).select("a", "b", "weight")
@@ -457,11 +460,10 @@ def joined_to_anchors(g: Graph) -> DataFrame:
         step = None
         for part in range(parts):
             asked = left.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-            got = g.rows.join(F.broadcast(asked), "id", "left_semi").select("id", "v").toArrow()
+            got = g.rows.join(F.broadcast(asked), "id", "left_semi").select("id", "v").mapInArrow(_packed(g.width), "id long, vector binary").toArrow()
             if not got.num_rows:
                 continue
-            held, at = matrix(got.column("v").combine_chunks(), g.width)
-            shared = spark.sparkContext.broadcast((got.column("id").to_numpy()[at], held))
+            shared = spark.sparkContext.broadcast((got.column("id").to_numpy(), got.column("vector").combine_chunks()))
             near = g.rows.join(new, "id").select("id", "v", "label").mapInArrow(_next_to(shared, g.width, g.reach), "id long, label int")
             near = written(near.groupBy("id").agg(label), "near")
             shared.destroy()
@@ -480,7 +482,8 @@ def _next_to(shared, width: int, least: float):
     """(id, label): the broadcast vectors that have a link of at least ``least`` to a row, with the smallest label of such rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, vectors = shared.value
+        keys, cells = shared.value
+        vectors = unpacked(cells, width)
         asked = unit(vectors)
         best = np.full(len(keys), np.iinfo(np.int32).max, np.int32)
         for batch in batches:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from cinegrid.functions.scalars import number, sort_key
 from cinegrid.operators import profile, relational, textquery, vectors
 from cinegrid.operators.relational import Range
+from cinegrid.scratch import written
 
 #: Scores of the vector spaces by prefix, and their declared range.
 SCORES = {"clip": "score", "siglip": "siglip_score", "gve": "gve_score"}
@@ -63,19 +65,29 @@ class Catalogue:
     stats: DataFrame | None = None
     vectors: DataFrame | None = None
     favourites: DataFrame | None = None
+    #: The vector spaces there are, where that is known; asking for another one is an error.
+    prefixes: tuple[str, ...] = ()
 
     def own_fields(self) -> list[str]:
         return profile.numeric_fields(self.entries, "ordinal")
 
-    def enriched(self, rows: DataFrame) -> DataFrame:
+    def enriched(self, rows: DataFrame, only: Collection[str] | None = None, names: DataFrame | None = None) -> DataFrame:
         """Rows with the fields of all sources. Of a name that several sources have, the entries' value counts, then the stats',
-        then the metadata's."""
+        then the metadata's. ``only``: the fields that are wanted; a source with none of them is not joined. ``names``: a few
+        rows with the video_names of ``rows``, by which the sources are cut down first."""
+        own = self.own_fields()
         sources = [(s, df) for s, df in (("stats", self.stats), ("metadata", self.metadata)) if df is not None]
+        sides = {s: profile.numeric_fields(df, "video_name") for s, df in sources}
+        rows = rows.drop(*({f for fs in sides.values() for f in fs} - set(own)))  # from an enrichment before
         for name, df in sources:
-            fields = profile.numeric_fields(df, "video_name")
+            fields = [f for f in sides[name] if only is None or f in only]
+            if not fields:
+                continue
+            if names is not None:
+                df = df.join(F.broadcast(names.select("video_name").distinct()), "video_name", "left_semi")
             side = df.select("video_name", *(number(F.col(f)).alias(f"{name}${f}") for f in fields))
             rows = rows.join(side, "video_name", "left")
-        fields: dict[str, list[Column]] = {f: [number(F.col(f))] for f in self.own_fields() if f in rows.columns}
+        fields: dict[str, list[Column]] = {f: [number(F.col(f))] for f in own if f in rows.columns}
         for c in rows.columns:
             source, mark, f = c.partition("$")
             if mark:
@@ -83,57 +95,71 @@ class Catalogue:
         kept = [c for c in rows.columns if "$" not in c and c not in fields]
         return rows.select(*kept, *(F.coalesce(*cs).alias(f) for f, cs in fields.items()))
 
-    def axes(self) -> DataFrame:
-        """(field, min, max, count) over the whole dataset: the axes of every histogram."""
+    @cached_property
+    def _axes(self) -> list[tuple]:
         parts = [profile.tall(self.entries.drop("ordinal"), "video_name")]
         parts += [profile.tall(df, "video_name") for df in (self.metadata, self.stats) if df is not None]
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
-        return profile.field_stats(every)
+        return [tuple(r) for r in profile.field_stats(every).collect()]  # one row per field
+
+    def axes(self) -> DataFrame:
+        """(field, min, max, count) over the whole dataset: the axes of every histogram, computed once for a catalogue."""
+        return self.entries.sparkSession.createDataFrame(self._axes, "field string, min double, max double, count long")
 
     def index(self, prefix: str) -> DataFrame:
         if self.vectors is None:
             raise ValueError(f"{self.name} has no vectors")
+        if self.prefixes and prefix not in self.prefixes:
+            raise ValueError(f"{self.name} has no vectors named {prefix!r}; there are {sorted(self.prefixes)}")
         return self.vectors.where(F.col("prefix") == prefix)
 
 
 @dataclass(frozen=True)
 class Result:
-    """``rows``: everything that is left, sorted keys ready; ``page``, ``total`` and ``histograms`` derive from it when asked."""
+    """``slim``: everything that is left, with the fields that ranges and order need; ``page``, ``total``, ``rows``, ``histograms`` and
+    ``export`` derive from it when asked. Only a page's rows are enriched for a page."""
 
     catalogue: Catalogue
     request: Request
-    rows: DataFrame
+    slim: DataFrame
     order: list[Column]
     score: str | None = None
 
+    @property
+    def rows(self) -> DataFrame:
+        """All that is left, with the fields of all sources."""
+        return self.catalogue.enriched(self.slim)
+
     @property
     def page(self) -> DataFrame:
-        return relational.page(self.rows, self.order, self.request.page, self.request.page_size)
+        some = written(relational.page(self.slim, self.order, self.request.page, self.request.page_size), "page")
+        return self.catalogue.enriched(some, names=some).orderBy(*self.order)
 
     @property
     def total(self) -> int:
-        return self.rows.count()
+        return self.slim.count()
 
     def histograms(self, bins: int = profile.BINS) -> DataFrame:
         """Over all rows before paging, on the dataset's axes, so that the shape does not depend on the query; a score's
         axis is its declared range."""
-        fields = profile.numeric_fields(self.rows, "ordinal", "base_order")
+        rows = self.rows
+        fields = profile.numeric_fields(rows, "ordinal", "base_order")
         axes = self.catalogue.axes().select("field", "min", "max").where(F.col("field").isin(fields))
         if self.score:
-            axes = axes.unionByName(self.rows.sparkSession.createDataFrame([(self.score, *SCORE_RANGE)], "field string, min double, max double"))
-        return profile.histograms(profile.tall(self.rows, "video_name", fields), axes, bins)
+            axes = axes.unionByName(rows.sparkSession.createDataFrame([(self.score, *SCORE_RANGE)], "field string, min double, max double"))
+        return profile.histograms(profile.tall(rows, "video_name", fields), axes, bins)
 
     def export(self) -> DataFrame:
         """Names and paths of all pages in the same order."""
-        return self.rows.orderBy(*self.order).select("video_name", "source_path")
+        return self.slim.orderBy(*self.order).select("video_name", "source_path")
 
 
 def finished(catalogue: Catalogue, request: Request, rows: DataFrame, score: str | None = None) -> Result:
-    """The part that all kinds of search share: enrich, ranges (the query's own score too), thumbs, favourites, order.
-    ``rows`` has base_order: the order that counts where nothing else does."""
-    rows = catalogue.enriched(rows)
+    """The part that all kinds of search share: ranges (the query's own score too), thumbs, favourites, order. Only the sources that
+    ranges or order name are joined. ``rows`` has base_order: the order that counts where nothing else does."""
+    rows = catalogue.enriched(rows, {*request.ranges, request.sort})
     rows = rows.where(relational.in_ranges(request.ranges, rows.columns))
     for choice, members in ((request.thumbs, catalogue.metadata), (request.favourites, catalogue.favourites)):
         if choice != "any":
@@ -178,4 +204,4 @@ def centroid_search(catalogue: Catalogue, request: Request, selection: DataFrame
 def detail(catalogue: Catalogue, name: str) -> DataFrame:
     """One record with all it has: the first entry of the name; no row if there is none."""
     rows = catalogue.entries.where(F.col("video_name") == name).orderBy("ordinal").limit(1)
-    return catalogue.enriched(rows)
+    return catalogue.enriched(rows, names=rows)

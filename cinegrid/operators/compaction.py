@@ -1,8 +1,9 @@
 """Many small JSON files into a few sorted ones, each record once.
 
 Steps: a digest of what a body says (not how it is spelt), one row per record, range partitioning by the clustering keys
-with sampled boundaries and as many parts as the target bytes ask for, sorted files in a staging folder, a
-reconciliation of counts between input and what the staged files hold, and only then the swap of the folders.
+with sampled boundaries and as many parts as the target bytes ask for, sorted files in a staging folder, and beside them which
+row of the input went into which record; a reconciliation of counts between the input and what the staged files hold, and
+only then the swap of the folder as a whole.
 """
 
 from __future__ import annotations
@@ -75,19 +76,17 @@ def records(files: DataFrame) -> DataFrame:
     return rows.withColumns({"video_name": F.when(good, name), "fps": F.when(good & ~F.isnan(fps), fps)})
 
 
-def membership(rows: DataFrame) -> DataFrame:
-    """(file_id, rep, n): the smallest file_id with the same sample, artifact and digest, and how many rows share it.
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``rep``, the smallest file_id with the same sample, artifact and digest, and ``copies``, how many rows share it.
 
     Bodies that are no JSON object stand for themselves. The count is pre-aggregated before the shuffle and joined
     back, so a sample that holds a third of all rows is spread by its digests.
     """
-    keyed = rows.select("file_id", "sample_id", "artifact", "digest").where("digest is not null")
     key = [F.col("sample_id").eqNullSafe(F.col("s")), F.col("artifact").eqNullSafe(F.col("t")), F.col("digest") == F.col("d")]
-    first = keyed.groupBy(F.col("sample_id").alias("s"), F.col("artifact").alias("t"), F.col("digest").alias("d")).agg(
-        F.min("file_id").alias("rep"), F.count("*").alias("n"))
-    same = keyed.join(first, key).select("file_id", "rep", "n")
-    alone = rows.where("digest is null").select("file_id", F.col("file_id").alias("rep"), F.lit(1).cast("long").alias("n"))
-    return same.unionByName(alone)
+    first = rows.where("digest is not null").groupBy(F.col("sample_id").alias("s"), F.col("artifact").alias("t"), F.col("digest").alias("d")).agg(
+        F.min("file_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    found = rows.join(first, key, "left").drop("s", "t", "d")
+    return found.withColumns({"rep": F.coalesce("rep", "file_id"), "copies": F.coalesce("copies", F.lit(1))})
 
 
 @dataclass(frozen=True)
@@ -103,32 +102,34 @@ class Report:
 
 
 def compact(files: DataFrame, path: str, target_bytes: int = TARGET_BYTES, keys: tuple[str, ...] = KEYS) -> Report:
-    """Writes the records of ``files`` to the folder ``path`` as sorted files of about ``target_bytes`` of bodies, with the
-    column ``copies`` (rows of the input that hold the record) and, beside it, ``path``-members (file_id, rep).
+    """Writes the records of ``files`` below the folder ``path``: in ``records`` sorted files of about ``target_bytes`` of bodies, with
+    the column ``copies`` (rows of the input that hold the record), and in ``members`` (file_id, rep, copies) of every row of the
+    input, sorted likewise.
 
     Each record of a sample (equal digests) stands once, under its smallest file_id. Bodies that are no JSON object are
-    kept as they are, one row each, with a null digest: none is lost. Null keys sort first. An empty input gives one
-    empty file. The swap happens only if the staged rows and the sum of their copies equal the input's, else
-    ValueError is raised and ``path`` stays as it was.
+    kept as they are, one row each, with a null digest: none is lost. Null keys sort first. An empty input gives
+    empty folders. Both parts are staged and swapped in together, and only if the staged records and the sum of their copies equal
+    the input's and each row of the input is a member of a staged record; else ValueError is raised and ``path`` stays as it was.
     """
     spark = files.sparkSession
-    rows = written(records(files), "records")
-    of = written(membership(rows), "members")
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("b"), F.count_if(F.expr("digest is null")).alias("broken")).first()
-    kept = of.where("file_id = rep").select("file_id", F.col("n").alias("copies"))
+    rows = written(placed(records(files)), "records")
+    own = F.expr("file_id = rep")
+    size = rows.agg(F.count("*").alias("c"), F.sum(F.when(own, F.octet_length("body"))).alias("b"), F.count_if(own).alias("n"), F.count_if(F.expr("digest is null")).alias("broken")).first()
     parts = max(1, -(-(size.b or 0) // target_bytes))
     order = [k if k in rows.columns else "file_id" for k in keys]
     staged = f"{path}.staging-{uuid.uuid4().hex}"
-    rows.join(kept, "file_id").repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(staged)
-    there = spark.read.parquet(staged).agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("c"), F.count_if(F.expr("digest is null")).alias("broken")).first()
-    expected = of.agg(F.count_if(F.expr("file_id = rep")).alias("n"), F.count("*").alias("c")).first()
-    if (there.n, there.c, there.broken) != (expected.n, size.n, size.broken) or expected.c != size.n:
+    rows.where(own).drop("rep").repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(f"{staged}/records")
+    # ids are a tenth of the bodies or less
+    members = rows.select("file_id", "rep", "copies", *(k for k in order if k != "file_id")).repartitionByRange(max(1, parts // 4), *order).sortWithinPartitions(*order)
+    members.select("file_id", "rep", "copies").write.parquet(f"{staged}/members")
+    there = spark.read.parquet(f"{staged}/records").agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("c"), F.count_if(F.expr("digest is null")).alias("broken")).first()
+    kept = spark.read.parquet(f"{staged}/members").groupBy(F.col("rep").alias("file_id")).agg(F.count("*").alias("held"))
+    wrong = kept.join(spark.read.parquet(f"{staged}/records").select("file_id", "copies"), "file_id", "full_outer").where("not (held <=> copies)").limit(1).count()
+    if (there.n, there.c, there.broken) != (size.n, size.c, size.broken) or wrong:
         drop(spark, staged)
-        raise ValueError(f"staged {there} but read {size} and expected {expected}; nothing was swapped")
-    drop(spark, f"{path}-members")
-    of.select("file_id", "rep", "n").write.parquet(f"{path}-members")
+        raise ValueError(f"staged {there} but read {size}; nothing was swapped")
     swap(spark, staged, path)
-    return Report(path, size.n, there.n, size.n - there.n, size.broken, parts)
+    return Report(path, size.c, there.n, size.c - there.n, size.broken, parts)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -153,9 +154,9 @@ def swap(spark: SparkSession, staged: str, path: str) -> None:
         fs.delete(old, True)
 
 
-def copies(files: DataFrame, expand: int = EXPAND) -> DataFrame:
-    """(file_a, file_b): rows of ``files`` that hold the same record, from the membership that a compaction wrote."""
-    report = compact(files, new_path(files.sparkSession, "compacted"))
-    members = files.sparkSession.read.parquet(f"{report.path}-members").where("n > 1")
+def copies(files: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES, expand: int | None = EXPAND) -> DataFrame:
+    """(file_a, file_b): rows of ``files`` that hold the same record, as the members of the compacted folder say."""
+    report = compact(files, path or new_path(files.sparkSession, "compacted"), target_bytes)
+    members = files.sparkSession.read.parquet(f"{report.path}/members").where("copies > 1")
     pairs = class_pairs(members.select("rep", F.col("file_id").alias("id")), expand=expand)
     return pairs.select(F.col("a").alias("file_a"), F.col("b").alias("file_b"))

@@ -23,9 +23,13 @@ def query(f: Query) -> Query:
     return f
 
 
+#: Bytes of bodies of a file in the queries: small beside a production file, so that the test tables too give several.
+FILE_BYTES = 4 << 20
+
+
 @query
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return compaction.copies(table(spark, folder, "sample_files"))
+    return compaction.copies(table(spark, folder, "sample_files"), target_bytes=FILE_BYTES)
 
 
 @query
@@ -33,8 +37,8 @@ def p2_compacted(spark: SparkSession, folder: str) -> DataFrame:
     """The compacted records themselves, as read back from the swapped folder."""
     from cinegrid.scratch import new_path
 
-    report = compaction.compact(table(spark, folder, "sample_files"), new_path(spark, "compacted"))
-    return spark.read.parquet(report.path).select("file_id", "sample_id", "artifact", "video_name", "fps", "copies")
+    report = compaction.compact(table(spark, folder, "sample_files"), new_path(spark, "compacted"), FILE_BYTES)
+    return spark.read.parquet(f"{report.path}/records").select("file_id", "sample_id", "artifact", "video_name", "fps", "copies")
 
 
 @query
@@ -70,6 +74,16 @@ SELECT a.file_id AS file_a, b.file_id AS file_b FROM bodies a JOIN bodies b
 ON a.sample_id = b.sample_id AND a.artifact = b.artifact AND a.said = b.said AND a.file_id < b.file_id
 """
 
+SQL["p2_compacted"] = _FILES + """
+, one AS (
+  SELECT min(file_id) AS file_id, count(*) AS copies FROM bodies GROUP BY sample_id, artifact, said
+), every AS (
+  FROM one UNION ALL SELECT file_id, 1 AS copies FROM sample_files WHERE file_id NOT IN (SELECT file_id FROM bodies)
+)
+SELECT file_id, sample_id, artifact, copies, j->>'$.video_name' AS video_name, CAST(j->>'$.fps' AS DOUBLE) AS fps
+FROM every JOIN sample_files USING (file_id) LEFT JOIN (SELECT file_id, j FROM ok) USING (file_id)
+"""
+
 _RECORDS = r"""
 WITH said AS (
   SELECT line_id, coalesce(raw_line, '') AS s FROM short_csv

@@ -32,7 +32,12 @@ def test_compaction_keeps_each_record_once(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     for _ in range(2):  # the second one replaces the first
         report = C.compact(df, path, target_bytes=100)
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(f"{path}/records")
+    assert len(list((tmp_path / "out" / "records").glob("*.parquet"))) > 1
+    order = [r.file_id for f in sorted((tmp_path / "out" / "records").glob("*.parquet")) for r in spark.read.parquet(f"file://{f}").select("file_id").collect()]
+    assert order == sorted(order)  # one sample and artifact, so the files are in the order of the ids
+    members = spark.read.parquet(f"{path}/members").collect()
+    assert sorted(r.file_id for r in members) == list(range(1, report.rows_in + 1)) and {r.rep for r in members} == {r.file_id for r in rows.collect()}
     assert report.rows_in == 3 * len(BODIES) and report.records + report.copies == report.rows_in
     assert rows.agg({"copies": "sum"}).first()[0] == report.rows_in
     assert rows.where("digest is null").count() == report.broken == 3 * 7
@@ -48,10 +53,11 @@ def test_empty(spark, tmp_path):
 def test_failed_reconciliation_leaves_the_old_files(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/out"
     C.compact(files(spark, BODIES), path)
-    monkeypatch.setattr(C, "membership", lambda rows: rows.selectExpr("file_id", "file_id as rep", "cast(2 as long) as n"))
+    before = spark.read.parquet(f"{path}/records").count()
+    monkeypatch.setattr(C, "placed", lambda rows: rows.selectExpr("*", "file_id as rep", "cast(2 as long) as copies"))
     with pytest.raises(ValueError):
         C.compact(files(spark, BODIES), path)
-    assert spark.read.parquet(path).count() > 0 and not [p for p in tmp_path.iterdir() if "staging" in p.name]
+    assert spark.read.parquet(f"{path}/records").count() == before > 0 and spark.read.parquet(f"{path}/members").count() == len(BODIES) and not [p for p in tmp_path.iterdir() if "staging" in p.name]
 
 
 def test_class_pairs(spark):

@@ -45,6 +45,8 @@ BITS = 1024
 #: Standard deviations of the code's estimate by which a pair may miss the least cosine and still be reranked: at the
 #: least cosine itself 99.5 of 100 pairs pass (normal approximation).
 SLACK = 2.6
+#: Up to so many ids of vectors to be reranked (16 bytes each, so 8 MB) are broadcast, so that only those vectors are shuffled.
+BROADCAST_IDS = 500_000
 #: Rows that are compared with all rows in one pass over these; rows and asking rows that are multiplied at a time.
 ASKED = 16_384
 BLOCK = 8192
@@ -436,7 +438,10 @@ def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float
         found = found.select("differ", sides.alias("s")).select("s.x", "s.y", "differ")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("differ", "y"))).where(F.col("r") <= rerank * k)
     ranked = written(ranked.select("x", "y", "r"), "ranked")
-    asked = ranked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    asked = written(ranked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "asked")
+    needed = written(asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct(), "needed")
+    if needed.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(needed), "id", "left_semi")
     # both joins read one shuffle of the vectors
     vectors = rows.mapInArrow(_packed(width), "id long, vector binary")
     scored = asked.join(vectors.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +20,7 @@ from cinegrid.operators import textquery as Q
 from cinegrid.operators import vectors as V
 from cinegrid.plans import search as plan
 from cinegrid.queries import _RECORDS, ask, table
-from cinegrid.scratch import new_path
+from cinegrid.scratch import hadoop_path, new_path, written
 from cinegrid.sources import catalogue as src
 from cinegrid.streaming import incremental as inc
 
@@ -46,7 +52,9 @@ def favourites(s: SparkSession, d: str) -> DataFrame:
     return entries(s, d).where("ordinal % 7 = 0").select("video_name").distinct()
 
 
+@lru_cache(maxsize=8)
 def catalogue(s: SparkSession, d: str) -> plan.Catalogue:
+    """One catalogue per folder, as a server holds it: its axes are computed once."""
     return plan.Catalogue("manifest", entries(s, d), metadata(s, d), stats(s, d), vectors(s, d), favourites(s, d))
 
 
@@ -116,7 +124,7 @@ RANGES = {"aesthetic": (4.0, 7.5), "width": (720.0, None)}
 ask("flt_7", BASE + "SELECT ordinal FROM x WHERE aesthetic >= 4 AND aesthetic <= 7.5 AND width >= 720")(
     lambda s, d: slim(plan.finished(catalogue(s, d), plan.Request(ranges=RANGES), entries(s, d).withColumn("base_order", F.col("ordinal"))).rows))
 ask("jn_12", BASE + "SELECT ordinal, text_chars, fps FROM x WHERE text_chars >= 300 AND fps <= 30")(
-    lambda s, d: catalogue(s, d).enriched(entries(s, d)).where(R.in_ranges({"text_chars": (300, None), "fps": (None, 30)}, ["text_chars", "fps"])).select("ordinal", "text_chars", "fps"))
+    lambda s, d: catalogue(s, d).enriched(entries(s, d), ["text_chars", "fps"]).where(R.in_ranges({"text_chars": (300, None), "fps": (None, 30)}, ["text_chars", "fps"])).select("ordinal", "text_chars", "fps"))
 ask("flt_8", BASE + "SELECT ordinal FROM e WHERE global_motion >= 2.5")(
     lambda s, d: slim(entries(s, d).where(R.in_ranges(R.parse_ranges({"min_global_motion": "2.5", "max_global_motion": "", "sort": "x"}), ["global_motion"]))))
 ask("flt_15", BASE + "SELECT ordinal FROM e WHERE aesthetic <= 6")(
@@ -163,8 +171,8 @@ ask("jn_5", BASE + f"SELECT ordinal, round({_DOT}, 6) AS score FROM e LEFT JOIN
     lambda s, d: plan.text_search(by_number(s, d), plan.Request(query="the"), first_vector(s, d)).rows.select("ordinal", F.round("score", 6).alias("score")))
 ask("jn_6", "SELECT vec_id, label FROM embeddings, range(2) WHERE vec_id % 50 = 0")(
     lambda s, d: R.selected(vectors(s, d), vectors(s, d).where("vec_id % 50 = 0").select("video_name", F.explode(F.array(F.lit(1), F.lit(2)))).select("video_name"), "video_name").select("vec_id", "label"))
-ask("jn_9", "SELECT DISTINCT sample_id FROM origins WHERE sample_id NOT IN (SELECT sample_id FROM sample_files WHERE sample_id IS NOT NULL)")(
-    lambda s, d: table(s, d, "origins").select("sample_id").distinct().join(table(s, d, "sample_files").select("sample_id"), "sample_id", "left_anti"))
+ask("jn_9", "SELECT DISTINCT sample_id FROM sample_files WHERE sample_id NOT IN (SELECT sample_id FROM origins WHERE seen_at < TIMESTAMP '2024-07-01' AND sample_id IS NOT NULL)")(
+    lambda s, d: table(s, d, "sample_files").select("sample_id").distinct().join(table(s, d, "origins").where("seen_at < timestamp'2024-07-01'").select("sample_id"), "sample_id", "left_anti"))
 ask("jn_14", "SELECT event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events QUALIFY step IS NOT NULL")(
     lambda s, d: P.consecutive(table(s, d, "events"), "user_id", ["ts", "event_id"], "event_id", lambda a, b: b - a).select("event_id", F.col("distance").alias("step")))
 ask("prj_1", "SELECT entry_id AS ordinal, caption, '/thumbnails/' || dataset || '/' || video_name || '/thumb_middle.jpg' AS thumb_url FROM manifest")(
@@ -291,7 +299,7 @@ ask("jn_17", _TIER)(_tiers)
 ask("agg_22", BASE + "SELECT field, min(value) AS min, max(value) AS max, count(*) AS count FROM tall GROUP BY field")(
     lambda s, d: P.widened(catalogue(s, d).axes(), P.field_stats(_values(s, d).where("source = 'm'"))))
 ask("agg_24", "SELECT json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT' AS ok, count(*) AS count FROM (SELECT coalesce(body, '') AS body FROM sample_files) GROUP BY ok")(
-    lambda s, d: src.mapped(table(s, d, "sample_files").select("file_id", "body"), "file_id", _must_parse).groupBy("ok").count())
+    lambda s, d: src.parsed_objects(table(s, d, "sample_files"), "file_id", "body").groupBy("ok").count())
 for _name in ("agg_25", "win_3"):
     ask(_name, "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1")(
         lambda s, d: R.first_wins(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_linenumber", "l_partkey").alias("place")), ["l_orderkey"], "place").drop("place"))
@@ -320,8 +328,37 @@ ask("vec_4", BASE + _CENTROID + "SELECT vec_id, round(list_cosine_similarity(emb
     lambda s, d: plan.centroid_search(by_number(s, d), plan.Request(), _picked(s, d)).rows.select(F.col("video_name").cast("long").alias("vec_id"), F.round("score", 6).alias("score")))
 ask("vec_5", BASE + f"SELECT ordinal, round({_DOT}, 6) AS score FROM e LEFT JOIN embeddings ON vec_id = ordinal, qv WHERE contains({LOW}, 'glow')")(
     lambda s, d: plan.text_search(by_number(s, d), plan.Request(query="glow"), first_vector(s, d)).rows.select("ordinal", F.round("score", 6).alias("score")))
-for _name in ("vec_6", "src_12"):
-    ask(_name, "SELECT vec_id FROM embeddings")(lambda s, d: by_number(s, d).index("clip").select("vec_id"))
+
+
+def _stored_vectors(s: SparkSession, d: str) -> str:
+    """Two spaces written as views, and a folder that was never finished."""
+    path = new_path(s, "vectors")
+    sinks.vector_view(vectors(s, d).drop("prefix"), f"{path}/clip")
+    sinks.vector_view(vectors(s, d).where("vec_id % 2 = 0").drop("prefix"), f"{path}/siglip")
+    where, fs = hadoop_path(s, f"{path}/gve")
+    fs.mkdirs(where)
+    return path
+
+
+@ask("src_12", "SELECT 'clip' AS prefix, vec_id, label FROM embeddings UNION ALL SELECT 'siglip', vec_id, label FROM embeddings WHERE vec_id % 2 = 0")
+def src_12(s: SparkSession, d: str) -> DataFrame:
+    return src.vector_index(s, _stored_vectors(s, d))[0].select("prefix", "vec_id", "label")
+
+
+@ask("vec_6", "SELECT 'siglip' AS index, 'found' AS answer, count(*) AS n FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'gve', 'stored has no vectors named ''gve''; there are [''clip'', ''siglip'']', 0")
+def vec_6(s: SparkSession, d: str) -> DataFrame:
+    """An index that is there, and one that is not: the answer says which there are."""
+    found, prefixes = src.vector_index(s, _stored_vectors(s, d))
+    c = plan.Catalogue("stored", entries(s, d), vectors=found, prefixes=prefixes)
+    rows = []
+    for name in ("siglip", "gve"):
+        try:
+            rows.append((name, "found", c.index(name).count()))
+        except ValueError as e:
+            rows.append((name, str(e), 0))
+    return s.createDataFrame(rows, "index string, answer string, n long")
+
+
 ask("vec_7", BASE + f"SELECT vec_id, round({_DOT}, 6) AS siglip_score FROM embeddings, qv")(
     lambda s, d: plan.semantic_search(plan.Catalogue("x", by_number(s, d).entries, vectors=vectors(s, d).withColumn("prefix", F.lit("siglip"))), plan.Request(index="siglip"), first_vector(s, d)).rows
     .select(F.col("video_name").cast("long").alias("vec_id"), F.round("siglip_score", 6).alias("siglip_score")))
@@ -330,12 +367,16 @@ ask("vec_8", "SELECT l_suppkey, round(avg(sqrt(l_discount * l_discount + l_tax *
 for _name in ("vec_9", "win_2"):
     ask(_name, "SELECT event_id, bit_count(xor(event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::INT AS distance FROM events QUALIFY distance IS NOT NULL")(
         lambda s, d: P.consecutive(table(s, d, "events"), "user_id", ["ts", "event_id"], "event_id", P.hamming).select("event_id", "distance"))
-ask("vec_11", "SELECT vec_id, 64 AS width FROM embeddings")(lambda s, d: _encoded(vectors(s, d)))
 
 
-def _encoded(df: DataFrame) -> DataFrame:
-    bytes_of = df.select("vec_id", F.encode(F.to_json("embedding"), "utf-8").alias("image"))
-    return src.encode_images(bytes_of, "vec_id", "image", _json_model).select("vec_id", F.size("embedding").alias("width"))
+@ask("vec_11", "SELECT vec_id, len(embedding)::INT AS width, true AS unit, true AS same FROM embeddings WHERE vec_id % 17 <> 0")
+def vec_11(s: SparkSession, d: str) -> DataFrame:
+    """Images in batches through a model: unit vectors in half precision; every seventeenth image is broken and left out."""
+    images = vectors(s, d).select("vec_id", "embedding", F.encode(F.when(F.col("vec_id") % 17 == 0, F.lit("broken")).otherwise(F.to_json("embedding")), "utf-8").alias("image"))
+    found = src.encode_images(images, "vec_id", "image", _json_model).join(images.select("vec_id", F.col("embedding").alias("given")), "vec_id")
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    dot = F.aggregate(F.zip_with("embedding", V.normalised(F.col("given")), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return found.select("vec_id", F.size("embedding").alias("width"), (F.abs(length - 1) < 1e-3).alias("unit"), (F.abs(dot - 1) < 2e-3).alias("same"))
 
 
 def _json_model():
@@ -361,15 +402,18 @@ ask("srt_1", _page("aesthetic DESC NULLS LAST, ordinal", 50, 300))(_sorted("aest
 ask("srt_2", _page("video_name DESC, ordinal", 40, 40))(_sorted("name", "desc", 2, 40))
 ask("srt_3", _page("md5('7_' || video_name), ordinal", 40, 0))(_sorted("random", "desc", 1, 40, 7))
 ask("srt_4", _page("ordinal", 30, 30))(_sorted("", "desc", 2, 30))
-for _name in ("srt_6", "win_5"):
-    ask(_name, _page("duration ASC NULLS LAST, ordinal", 100, 1400))(_sorted("duration", "asc", 15, 100))
+ask("srt_6", _page("duration ASC NULLS LAST, ordinal", 100, 1400))(_sorted("duration", "asc", 15, 100))
+ask("win_5", BASE + "SELECT ordinal, CAST((row_number() OVER (ORDER BY duration ASC NULLS LAST, ordinal) - 1) // 100 + 1 AS INT) AS page FROM x")(
+    lambda s, d: R.numbered(catalogue(s, d).enriched(entries(s, d), ["duration"]), [F.col("duration").asc_nulls_last(), F.col("ordinal")], 100).select("ordinal", "page"))
 ask("win_6", BASE + f"SELECT ordinal, count(*) OVER () AS total FROM e WHERE contains({LOW}, 'glow') ORDER BY ordinal LIMIT 10")(
     lambda s, d: slim(Q.search(entries(s, d), "glow", limit=10)).crossJoin(F.broadcast(Q.search(entries(s, d), "glow").agg(F.count("*").alias("total")))))
 ask("win_4", "SELECT dataset || '_' || video_name AS video_name, caption FROM manifest QUALIFY row_number() OVER (PARTITION BY dataset || '_' || video_name ORDER BY entry_id DESC) = 1")(
     lambda s, d: R.last_wins(entries(s, d).select("video_name", "ordinal", "caption"), ["video_name"], ["ordinal"]).select("video_name", "caption"))
 ask("srt_5", f"SELECT sample_id, tier FROM ({_TIER}) ORDER BY tier DESC, md5('3_' || sample_id) LIMIT 100")(lambda s, d: _tiers(s, d).orderBy(F.desc("tier"), S.random_key(3, F.col("sample_id"))).limit(100))
 ask("srt_7", BASE + "SELECT ordinal FROM e ORDER BY ordinal LIMIT 12")(lambda s, d: slim(Q.search(entries(s, d), " ", limit=12)))
-for _name in ("srt_10", "srt_11"):
+ask("srt_11", BASE + "SELECT ordinal, row_number() OVER (ORDER BY md5('9_' || video_name), ordinal) - 1 AS place FROM e")(
+    lambda s, d: R.positions(entries(s, d).withColumn("key", S.random_key(9, F.col("video_name"))), ["key", "ordinal"]).select("ordinal", F.col("position").alias("place")))
+for _name in ("srt_10",):
     ask(_name, BASE + "SELECT ordinal FROM x WHERE aesthetic IS NOT NULL AND width IS NOT NULL AND ordinal IN (SELECT ordinal FROM e ORDER BY md5('5_' || ordinal), ordinal LIMIT 500)")(
         lambda s, d: slim(catalogue(s, d).enriched(R.sample(entries(s, d), 500, 5, "ordinal", "ordinal")).where("aesthetic is not null and width is not null")))
 ask("srt_12", BASE + "SELECT ordinal, CAST((row_number() OVER (ORDER BY ordinal) - 1) // 500 AS INT) AS batch FROM e")(lambda s, d: R.chunked(entries(s, d), ["ordinal"], 500).select("ordinal", "batch"))
@@ -404,7 +448,7 @@ _scalar("s_7", "x", html=(lambda: S.highlighted(_C("caption"), "'warm golden' gl
 _scalar("s_8", "x", shard=(lambda: S.shard(_C("video_name")), "sha256(video_name)[1:2] || '/' || sha256(video_name)[3:4]"))
 _scalar("s_9", "x", key=(lambda: S.random_key(7, _C("video_name")), "md5('7_' || video_name)"))
 _scalar("s_10", "x", name=(lambda: S.without_prefix(_C("video_name")), "CASE WHEN instr(video_name, '_') > 0 THEN video_name[instr(video_name, '_') + 1:] ELSE video_name END"))
-_scalar("s_11", "x", r=(lambda: F.round("aesthetic", 1), "round(aesthetic, 1)"))
+_scalar("s_11", "x", r=(lambda: S.half_even(_C("aesthetic"), 1), "round_even(aesthetic, 1)"), half=(lambda: S.half_even(_C("ordinal") / 2, 0), "round_even(ordinal / 2, 0)"))
 _scalar("s_12", "x", q=(lambda: S.quantised(_C("aesthetic"), F.lit(0.0), F.lit(10.0)), "CASE WHEN aesthetic IS NOT NULL THEN greatest(0, least(255, round_even(aesthetic / 10 * 255, 0)))::INT END"))
 _scalar("s_13", "x", v=(lambda: F.round(S.dequantised((_C("ordinal") % 256), F.lit(-5.0), F.lit(20.0)), 9), "round(-5 + (ordinal % 256) / 255.0::DOUBLE * 25, 9)"))
 _scalar("s_14", "x", v=(lambda: F.round(S.log_scaled(_C("text_chars")), 9), "CASE WHEN text_chars > 0 THEN round(log10(text_chars), 9) WHEN text_chars IS NOT NULL THEN 0 END"), p=(lambda: F.round(F.log1p("num_frames"), 9), "round(ln(1 + num_frames), 9)"))
@@ -416,7 +460,12 @@ _scalar("s_16", "x", text=(lambda: S.shown(_C("aesthetic"), 3), _SHOWN.format("a
 _scalar("s_18", "x", c=(lambda: S.bin_centre(_C("ordinal") % 60, F.lit(0.0), F.lit(30.0), 60), "(ordinal % 60 + 0.5::DOUBLE) * 30 / 60"), snap=(lambda: S.snapped(_C("aesthetic"), 0.1), "round(aesthetic, 1)"))
 _scalar("s_19", "x", i=(lambda: S.clamped((_C("ordinal") - 20).cast("int"), 25), "least(24, greatest(0, ordinal - 20))::INT"))
 _scalar("s_20", "x", x=(lambda: S.sprite_cell(_C("ordinal") % 25)["x"], "(ordinal % 25 % 5 * 25)::DOUBLE"), y=(lambda: S.sprite_cell(_C("ordinal") % 25)["y"], "(ordinal % 25 // 5 * 25)::DOUBLE"))
-_scalar("s_21", "x", w=(lambda: S.contained(_C("width"), _C("height"), 320, 180)["width"], "CASE WHEN width IS NOT NULL AND height IS NOT NULL THEN greatest(1, trunc(width * least(320::DOUBLE / width, 180::DOUBLE / height)))::INT END"))
+_scalar("s_21", "x", cells=(lambda: F.aggregate(S.grid_cells(_C("width").cast("int"), _C("height").cast("int")), F.lit(0).cast("long"), lambda a, c: a + c["x"] * 3 + c["y"] * 5 + c["width"] * c["height"]),
+        "CASE WHEN width IS NOT NULL AND height IS NOT NULL THEN list_sum(list_transform(range(25), lambda i: (i % 5) * (width // 5) * 3 + (i // 5) * (height // 5) * 5 + (width // 5) * (height // 5)))::BIGINT END"),
+        sprite=(lambda: S.composed((_C("ordinal") % 30).cast("int"), 160, 90)["height"], "CASE WHEN ordinal % 30 > 0 THEN (ceil(ordinal % 30 / 5) * 90)::INT END"),
+        last=(lambda: F.element_at(S.composed((_C("ordinal") % 30).cast("int"), 160, 90)["cells"], -1)["x"], "CASE WHEN ordinal % 30 > 0 THEN ((ordinal % 30 - 1) % 5 * 160)::INT END"),
+        x=(lambda: S.contained(_C("width"), _C("height"), 320, 180)["x"], "CASE WHEN width IS NOT NULL AND height IS NOT NULL THEN floor((320 - greatest(1, trunc(width * least(320::DOUBLE / width, 180::DOUBLE / height)))) / 2)::INT END"),
+        w=(lambda: S.contained(_C("width"), _C("height"), 320, 180)["width"], "CASE WHEN width IS NOT NULL AND height IS NOT NULL THEN greatest(1, trunc(width * least(320::DOUBLE / width, 180::DOUBLE / height)))::INT END"))
 _scalar("s_22", "x", small=(lambda: F.least(S.target_size(_C("width").cast("int"), _C("height").cast("int"), 480)["width"], S.target_size(_C("width").cast("int"), _C("height").cast("int"), 480)["height"]), "CASE WHEN width IS NOT NULL AND height IS NOT NULL THEN least(width, height, 480)::INT END"))
 _scalar("s_23", "x", path=(lambda: S.sample_path(_C("video_name"), F.lit("video.mp4")), "'samples/' || sha256(video_name)[1:2] || '/' || sha256(video_name)[3:4] || '/' || video_name || '/video.mp4'"), ext=(lambda: F.regexp_extract("source_path", r"(\.[^.]*)$", 1), "regexp_extract(source_path, '(\\.[^.]*)$', 1)"))
 _scalar("s_24", "x", c=(lambda: S.or_else(_C("caption"), F.lit("none")), "coalesce(nullif(caption, ''), 'none')"))
@@ -445,7 +494,19 @@ def src_2(s: SparkSession, d: str) -> DataFrame:
     return src.human_entries(src.csv(s, path)).select("video_name", F.coalesce("caption", F.lit("")).alias("caption"), "source_path", "aesthetic", "global_motion")
 
 
-for _name in ("src_3", "jn_11"):
+
+
+@ask("src_3", "SELECT entry_id, 'part_00' || entry_id % 10 AS part FROM manifest WHERE entry_id % 10 < 5")
+def src_3(s: SparkSession, d: str) -> DataFrame:
+    """Ten CSV parts on disk of which five are extracted: the other five are not opened."""
+    folder = new_path(s, "parts")
+    rows = table(s, d, "manifest").select("entry_id", "video_name", "caption")
+    for i in range(10):
+        rows.where(F.col("entry_id") % 10 == i).write.options(header=True, escape='"', quoteAll=True).csv(f"{folder}/OpenHumanVid_part_00{i}.csv")
+    return src.csv_parts(s, folder, [f"part_00{i}" for i in (*range(5), 77)]).select(F.col("entry_id").cast("long").alias("entry_id"), "part")
+
+
+for _name in ("jn_11",):
     ask(_name, "SELECT entry_id FROM manifest WHERE entry_id % 10 < 5")(
         lambda s, d: src.parted(table(s, d, "manifest").select("entry_id", F.concat(F.lit("OpenHumanVid_part_00"), F.col("entry_id") % 10, F.lit(".csv")).alias("file_name")),
                                 s.createDataFrame([(f"part_00{i}",) for i in range(5)], "part string")).select("entry_id"))
@@ -453,7 +514,28 @@ ask("src_4", _RECORDS + "SELECT regexp_replace(f[1], '\\.mp4$', '') AS video_nam
     lambda s, d: src.ultra_entries(rec.valid(table(s, d, "short_csv"), "line_id", "raw_line").withColumn("vtss_score", F.col("vtss_score").cast("string")).withColumns({c: F.col(c).cast("string") for c in ("motion_score", "video_clip_score")})).select("video_name", "caption", "vtss_score"))
 ask("src_5", "SELECT video_name, caption, '/web/' || video_name || '.mp4' AS source_path FROM manifest")(
     lambda s, d: src.web_entries(table(s, d, "manifest").select(F.col("video_name").alias("videoid"), F.col("caption").alias("name")), "/web"))
-for _name in ("src_6", "win_7"):
+
+
+def _touched(s: SparkSession, d: str, path: Callable) -> tuple[str, str]:
+    """A small tree of files, some for each row of the table nation (25 at every scale)."""
+    base = new_path(s, "tree")
+    for n in table(s, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect():
+        for name in path(n):
+            where, fs = hadoop_path(s, f"{base}/{name}")
+            out = fs.create(where, True)
+            out.write(bytearray(b"{}"))
+            out.close()
+    return base, "regexp_replace(path, '^.*/tree/', '')"
+
+
+@ask("src_6", "SELECT n_name AS video_name, CASE WHEN n_nationkey % 3 = 0 THEN 'clips_short_1920' WHEN n_nationkey % 2 = 0 THEN 'clips_short_960/nested' ELSE 'clips_short' END || '/' || n_name || '.mp4' AS path FROM nation")
+def src_6(s: SparkSession, d: str) -> DataFrame:
+    """Clips on disk, flat and nested, in up to three folders: the first folder wins."""
+    base, name = _touched(s, d, lambda n: [f"clips_short/{n.n_name}.mp4", *([f"clips_short_960/nested/{n.n_name}.mp4"] if n.n_nationkey % 2 == 0 else []), *([f"clips_short_1920/{n.n_name}.mp4"] if n.n_nationkey % 3 == 0 else []), f"other/{n.n_name}.mp4"])
+    return src.by_priority(src.listing(s, base, "*.mp4")).select(F.expr("replace(video_name, '%20', ' ')").alias("video_name"), F.expr(f"replace({name}, '%20', ' ')").alias("path"))
+
+
+for _name in ("win_7",):
     ask(_name, "SELECT 'v' || entry_id // 2 AS video_name, arg_min('/d/' || f || '/v' || entry_id // 2 || '.mp4', entry_id % 3) AS path FROM (SELECT entry_id, ['clips_short_1920', 'clips_short_960', 'clips_short'][entry_id % 3 + 1] AS f FROM manifest) GROUP BY ALL")(
         lambda s, d: src.by_priority(table(s, d, "manifest").select(F.concat(F.lit("/d/"), F.get(F.array(*map(F.lit, src.CLIP_FOLDERS)), (F.col("entry_id") % 3).cast("int")), F.lit("/v"), F.floor(F.col("entry_id") / 2).cast("string"), F.lit(".mp4")).alias("path"))))
 ask("jn_10", "SELECT entry_id FROM manifest WHERE source_path IN (SELECT source_path FROM origins)")(
@@ -463,12 +545,23 @@ ask("jn_10", "SELECT entry_id FROM manifest WHERE source_path IN (SELECT source_
 @ask("src_7", "SELECT video_name, coalesce(caption, '') AS caption, source_path FROM manifest WHERE video_name <> '' AND source_path <> '' QUALIFY row_number() OVER (PARTITION BY video_name ORDER BY dataset, lpad(entry_id::VARCHAR, 12, '0')) = 1")
 def src_7(s: SparkSession, d: str) -> DataFrame:
     leaf = F.struct("video_name", F.when(F.col("caption").isNotNull(), F.array("caption")).alias("video_caption"), F.col("source_path").alias("cleancode_pexels_path"))
-    text = table(s, d, "manifest").select(F.to_json(F.create_map("dataset", F.create_map(F.lpad(F.col("entry_id").cast("string"), 12, "0"), leaf))).alias("value"))
-    return src.nested_records(text).select("video_name", "caption", "source_path")
+    path = new_path(s, "nested")
+    table(s, d, "manifest").select(F.to_json(F.create_map("dataset", F.create_map(F.lpad(F.col("entry_id").cast("string"), 12, "0"), leaf))).alias("value")).write.text(path)
+    return src.nested(s, path, lines=True).select("video_name", "caption", "source_path")
+
+
+@ask("src_8", "SELECT 'd_' || n_name AS sample_id FROM nation WHERE n_nationkey % 3 > 0")
+def src_8(s: SparkSession, d: str) -> DataFrame:
+    """Sample folders on disk, by their hash; those without an origins.json, or not at this depth, are no samples."""
+    def files(n) -> list[str]:
+        sid = f"d_{n.n_name}"
+        h = hashlib.sha256(sid.encode()).hexdigest()
+        return [f"{h[:2]}/{h[2:4]}/{sid}/metadata.json", *([f"{h[:2]}/{h[2:4]}/{sid}/origins.json"] if n.n_nationkey % 3 else []), f"flat_{sid}/origins.json"]
+
+    base, _ = _touched(s, d, files)
+    return src.samples(src.listing(s, base)).select(F.expr("replace(sample_id, '%20', ' ')").alias("sample_id"))
 
 
-ask("src_8", r"SELECT DISTINCT regexp_extract(file_path, '([^/]+)/origins\.json$', 1) AS sample_id FROM sample_files WHERE regexp_matches(file_path, '/[0-9a-f]{2}/[0-9a-f]{2}/[^/]+/origins\.json$')")(
-    lambda s, d: src.samples(table(s, d, "sample_files").select(F.col("file_path").alias("path"))).select("sample_id").distinct())
 ask("src_9", "SELECT file_id AS sample_id, CAST(CASE WHEN json_valid(body) THEN body->>'$.width' END AS DOUBLE)::INT AS width, CAST(CASE WHEN json_valid(body) THEN body->>'$.fps' END AS DOUBLE) AS fps FROM sample_files WHERE artifact = 'metadata.json'")(
     lambda s, d: src.json_artifact(table(s, d, "sample_files").where("artifact = 'metadata.json'").select(F.col("file_id").alias("sample_id")), table(s, d, "sample_files").select(F.col("file_id").alias("sample_id"), "body"), "width double, fps double").withColumn("width", F.col("width").cast("int")))
 ask("src_10", "SELECT vec_id::VARCHAR AS sample_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings")(
@@ -493,18 +586,42 @@ def _as_npy(df: DataFrame) -> DataFrame:
     return df.select("video_name", "embedding").mapInArrow(run, "sample_id string, content binary")
 
 
-ask("src_13", "SELECT DISTINCT dataset FROM manifest")(lambda s, d: table(s, d, "manifest").select("dataset").distinct())
+
+
+@ask("src_13", "SELECT DISTINCT dataset FROM manifest UNION SELECT 'registered'")
+def src_13(s: SparkSession, d: str) -> DataFrame:
+    """Folders with a manifest on disk, and a registered dataset; a folder without a manifest is none."""
+    folder = new_path(s, "datasets")
+    for r in table(s, d, "manifest").select("dataset").distinct().collect():  # a handful of datasets
+        sinks.manifest(entries(s, d).where(F.col("video_name").startswith(f"{r.dataset}_")), f"{folder}/{r.dataset}/manifest.json")
+    where, fs = hadoop_path(s, f"{folder}/empty")
+    fs.mkdirs(where)
+    return s.createDataFrame([(n,) for n in src.datasets(s, folder, ["registered"])], "dataset string")
+
+
 ask("src_15", "SELECT num_frames AS raw, CASE WHEN coalesce(num_frames, 0) > 0 THEN num_frames ELSE floor(coalesce(duration, 0) * round(CASE WHEN fps > 0 AND NOT isnan(fps) THEN fps ELSE 30 END, 3)) END::INT AS num_frames, round(CASE WHEN fps > 0 AND NOT isnan(fps) THEN fps ELSE 30 END, 3) AS fps FROM metadata")(
     lambda s, d: src.probed(table(s, d, "metadata").select(F.col("num_frames").alias("raw"), S.number(F.col("fps")).alias("rate"), "duration", F.lit(1 << 20).alias("bytes")), "raw", "rate", "duration", "bytes").select("raw", "num_frames", "fps"))
 ask("src_16", "SELECT count(*) AS decoded, sum(f) AS total FROM (SELECT DISTINCT entry_id, f FROM (SELECT entry_id, unnest(list_concat([0, n // 2, greatest(0, n - 1)], list_transform(range(25), lambda i: i * (n - 1) // 24))) AS f FROM (SELECT entry_id, entry_id % 400 + 1 AS n FROM manifest)))")(
-    lambda s, d: src.frames(table(s, d, "manifest").select("entry_id", (F.col("entry_id") % 400 + 1).cast("int").alias("n")), "entry_id", "n").agg(F.count("*").alias("decoded"), F.sum("frame").alias("total")))
+    lambda s, d: src.decoded(src.frames(table(s, d, "manifest").select("entry_id", (F.col("entry_id") % 400 + 1).cast("int").alias("n")), "entry_id", "n").select("entry_id", "frame"), _decoder, "entry_id long, frame int, image binary")
+    .agg(F.count("*").alias("decoded"), F.sum(F.conv(F.hex("image"), 16, 10).cast("long")).alias("total")))
+
+
+def _decoder(batches):
+    """Stands in for a video decoder: the image of a frame is its number."""
+    import pyarrow as pa
+
+    for b in batches:
+        images = [int(f).to_bytes(4, "big") for f in b.column(1).to_numpy()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(images, pa.binary())], names=["entry_id", "frame", "image"])
+
+
 ask("udf_9", "SELECT entry_id, count(DISTINCT f) AS frames FROM (SELECT entry_id, unnest(list_concat([0, n // 2, greatest(0, n - 1)], list_transform(range(25), lambda i: i * (n - 1) // 24))) AS f FROM (SELECT entry_id, entry_id % 400 + 1 AS n FROM manifest)) GROUP BY entry_id")(
     lambda s, d: src.frames(table(s, d, "manifest").select("entry_id", (F.col("entry_id") % 400 + 1).cast("int").alias("n")), "entry_id", "n").groupBy("entry_id").agg(F.count("*").alias("frames")))
 ask("src_17", "SELECT entry_id, CASE WHEN entry_id % 5 > 0 THEN 'compress_480p.mp4' WHEN entry_id % 3 > 0 THEN 'compress_360p.mp4' WHEN entry_id % 2 = 0 THEN 'video.mp4' END AS source FROM manifest")(
     lambda s, d: table(s, d, "manifest").select("entry_id", src.chosen_source({480: F.col("entry_id") % 5, 360: F.when(F.col("entry_id") % 3 > 0, F.col("entry_id"))}, F.when(F.col("entry_id") % 2 == 0, 0)).alias("source")))
 ask("src_18", BASE + "SELECT ordinal FROM e")(lambda s, d: slim(model.validated(entries(s, d))))
 ask("udf_7", "SELECT file_id, NOT coalesce(json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT', FALSE) AS failed FROM sample_files")(
-    lambda s, d: src.mapped(table(s, d, "sample_files").select("file_id", "body"), "file_id", _must_parse).select("file_id", (~F.col("ok")).alias("failed")))
+    lambda s, d: src.mapped(table(s, d, "sample_files").select("file_id", "body"), "file_id", _must_parse).select("file_id", (~F.col("ok")).alias("failed")))  # the operator under test runs Python
 ask("udf_10", _PAIRS)(lambda s, d: V.diversity(table(s, d, "embeddings"), "label", decimals=5))
 
 
@@ -567,16 +684,49 @@ def _two_batches(s: SparkSession, d: str) -> inc.View:
     return view
 
 
-for _name in ("inc_2", "inc_4", "snk_3", "src_11"):
-    ask(_name, _LAST)(lambda s, d: _two_batches(s, d).read())
+ask("inc_2", _LAST)(lambda s, d: _two_batches(s, d).read())
+
+
+@ask("inc_4", _LAST)
+def inc_4(s: SparkSession, d: str) -> DataFrame:
+    """The last batch comes three times: the view stays as it is."""
+    view = _two_batches(s, d)
+    for _ in range(2):
+        view.take(_events(s, d).where("event_id % 3 > 0"), ["ts", "event_id"])
+        view.take(_events(s, d), ["ts", "event_id"])
+    return view.read()
+
+
+@ask("snk_3", "SELECT user_id::VARCHAR AS video_name, arg_max(value, {'t': ts, 'e': event_id}) FILTER (event_id % 2 = 0) AS value, arg_max(event_id, {'t': ts, 'e': event_id}) FILTER (event_id % 2 = 1) AS odd FROM events GROUP BY user_id")
+def snk_3(s: SparkSession, d: str) -> DataFrame:
+    """Two artifacts with fields of their own merge into one view, field by field."""
+    view, rows = inc.View(s, new_path(s, "view")), _events(s, d)
+    view.take(rows.where("event_id % 2 = 0"), ["ts", "event_id"])
+    view.take(rows.where("event_id % 2 = 1").select("video_name", "ts", F.col("event_id").alias("place"), F.col("event_id").alias("odd")), ["ts", "place"])
+    return view.read()
+
+
+@ask("src_11", _LAST.replace("SELECT", "SELECT 'video_stats' AS target,") + " UNION ALL " + _LAST.replace("SELECT", "SELECT 'extra.json',").replace("FROM events", "FROM events WHERE event_id % 2 = 0"))
+def src_11(s: SparkSession, d: str) -> DataFrame:
+    """Views found by their list of targets; one that is named but not there is left out, and without a list the fixed names count."""
+    folder, rows = new_path(s, "views"), _events(s, d)
+    for name, some in (("video_stats", rows), ("extra", rows.where("event_id % 2 = 0"))):
+        inc.View(s, f"{folder}/{name}").take(some, ["ts", "event_id"])
+    fixed = inc.load(s, folder)
+    inc.save_targets(s, folder, ["extra.json", "gone.json"])
+    named = inc.load(s, folder)
+    parts = [v.read().select(F.lit(n).alias("target"), "video_name", "value") for n, v in (fixed | named).items()]
+    return parts[0].unionByName(parts[1])
 
 
 @ask("inc_1", _LAST)
 def inc_1(s: SparkSession, d: str) -> DataFrame:
-    """A full scan takes in what is new: the second one finds nothing."""
-    view = inc.View(s, new_path(s, "view"))
+    """As a stream over a folder's files: what is new is taken in; the second run finds nothing."""
+    path, view = new_path(s, "incoming"), inc.View(s, new_path(s, "view"))
+    _events(s, d).repartitionByRange(4, "ts", "event_id").write.parquet(path)
+    rows, checkpoint = s.readStream.schema("video_name string, ts timestamp, event_id long, value double").parquet(path), new_path(s, "checkpoint")
     for _ in range(2):
-        inc.aggregate({"value": (view, ["ts", "event_id"])}, {"value": _events(s, d)})
+        inc.stream(rows, view, ["ts", "event_id"], checkpoint).awaitTermination()
     return view.read()
 
 
@@ -587,22 +737,52 @@ def inc_5(s: SparkSession, d: str) -> DataFrame:
     return view.included().agg(F.count("*").alias("included"))
 
 
-for _name in ("inc_6", "snk_5", "prj_14", "inc_3"):
-    @ask(_name, "SELECT 'values' AS name, count(DISTINCT user_id) AS count FROM events")
-    def inc_6(s: SparkSession, d: str) -> DataFrame:
-        view = _two_batches(s, d)
-        inc.aggregate({"values": (view, ["ts", "event_id"]), "other": (view, [])}, {"values": _events(s, d), "other": _events(s, d)}, only=["values"], rebuild=True)
-        return s.createDataFrame(list(inc.status({"values": view}).items()), "name string, count long")
+@ask("inc_3", f"SELECT 'values' AS name, * FROM ({_LAST}) UNION ALL SELECT 'other', * FROM ({_LAST.replace('FROM events', 'FROM events WHERE event_id % 5 = 0')})")
+def inc_3(s: SparkSession, d: str) -> DataFrame:
+    """Only the named rule takes in what is new: the other one keeps its view and its record of samples."""
+    rows = _events(s, d)
+    views = {n: (inc.View(s, new_path(s, n)), ["ts", "event_id"]) for n in ("values", "other")}
+    for view, order in views.values():
+        view.take(rows.where("event_id % 5 = 0"), order)
+    inc.aggregate(views, {n: rows for n in views}, only=["values"], rebuild=True)
+    parts = [v.read().select(F.lit(n).alias("name"), "video_name", "value") for n, (v, _) in views.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@ask("inc_6", _LAST.replace("FROM events", "FROM events WHERE value > 50"))
+def inc_6(s: SparkSession, d: str) -> DataFrame:
+    """A rebuild holds nothing of what was there before."""
+    view = _two_batches(s, d)
+    inc.aggregate({"values": (view, ["ts", "event_id"])}, {"values": _events(s, d).where("value > 50")}, rebuild=True)
+    return view.read()
+
+
+@ask("snk_5", "SELECT 2 AS version, user_id::VARCHAR AS video_name, (SELECT count(DISTINCT user_id) FROM events) AS count FROM events GROUP BY user_id")
+def snk_5(s: SparkSession, d: str) -> DataFrame:
+    """The checkpoint: version, count and the samples taken in, as another process reads them."""
+    view = inc.View(s, _two_batches(s, d).path)
+    state = view.state()
+    return view.included().select(F.lit(state["version"]).alias("version"), "video_name", F.lit(state["count"]).cast("long").alias("count"))
+
 
+@ask("prj_14", "SELECT 'total_samples' AS key, count(*) AS count FROM (SELECT user_id::VARCHAR FROM events UNION SELECT vec_id::VARCHAR FROM embeddings) UNION ALL SELECT 'video_stats', count(DISTINCT user_id) FROM events UNION ALL SELECT 'clip', count(*) FROM embeddings")
+def prj_14(s: SparkSession, d: str) -> DataFrame:
+    clip = inc.View(s, new_path(s, "clip"), "vector_index")
+    clip.take(vectors(s, d).select("video_name", "label"), [])
+    return inc.status_record(s, {"video_stats.json": _two_batches(s, d), "clip": clip})
 
-@ask("inc_7", _LAST)
+
+@ask("inc_7", "SELECT 'served' AS read, count(DISTINCT user_id) AS n FROM events WHERE event_id % 9 = 0 UNION ALL SELECT 'still', count(DISTINCT user_id) FROM events WHERE event_id % 9 = 0 UNION ALL SELECT 'reloaded', count(DISTINCT user_id) FROM events")
 def inc_7(s: SparkSession, d: str) -> DataFrame:
-    """As a stream over the table's files, once through."""
-    path, view = new_path(s, "incoming"), inc.View(s, new_path(s, "view"))
-    _events(s, d).repartitionByRange(4, "ts", "event_id").write.parquet(path)
-    rows = s.readStream.schema("video_name string, ts timestamp, event_id long, value double").parquet(path)
-    inc.stream(rows, view, ["ts", "event_id"], new_path(s, "checkpoint")).awaitTermination()
-    return view.read()
+    """A served view stays what it is while a batch is taken in, and is swapped by a reload."""
+    view, rows = inc.View(s, new_path(s, "view")), _events(s, d)
+    view.take(rows.where("event_id % 9 = 0"), ["ts", "event_id"])
+    served = inc.Served(view)
+    out = [("served", served.table.count())]
+    view.take(rows, ["ts", "event_id"])
+    out.append(("still", served.table.count()))
+    served.reload()
+    return s.createDataFrame([*out, ("reloaded", served.table.count())], "read string, n long")
 
 
 # -- registries and parsers, as small tables
@@ -618,19 +798,71 @@ def _values_sql(names: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {cells}) v({', '.join(names.split())})"
 
 
-ask("src_14", "SELECT dataset, video_name FROM manifest WHERE FALSE")(lambda s, d: sinks.favourites(s.createDataFrame([], "dataset string, video_name string"), "d", table(s, d, "manifest").limit(0), "add"))
-ask("src_19", _values_sql("place x", [("0", "0.6"), ("1", "0.8")]))(_rows("place x", lambda: enumerate(model.Registry([model.Processor("e", space=("e", 2), encode=lambda q: [3.0, 4.0])]).encode("e", "q"))))
+
+
+@ask("src_14", "SELECT DISTINCT dataset, video_name FROM manifest WHERE entry_id % 7 = 0")
+def src_14(s: SparkSession, d: str) -> DataFrame:
+    """Favourites saved and loaded; a file that is not there yet holds none."""
+    path, none = new_path(s, "favourites.json"), sinks.load_favourites(s, new_path(s, "none.json"))
+    sinks.save_favourites(table(s, d, "manifest").where("entry_id % 7 = 0").select("dataset", "video_name").distinct(), path)
+    return sinks.load_favourites(s, path).unionByName(none)
+
+
+_BANANA = [(str(i), str(round(x, 6))) for i, x in enumerate((3 / 14**0.5, 1 / 14**0.5, 0.0, 2 / 14**0.5))]
+
+
+def _letters() -> model.Registry:
+    return model.Registry([model.Processor("e", space=("e", 4), encode=lambda q: [float(q.count(c)) for c in "abcn"]), model.Processor("mute", space=("m", 2))])
+
+
+ask("src_19", _values_sql("place x", _BANANA))(_rows("place x", lambda: [(i, round(x, 6)) for i, x in enumerate(_letters().encode("e", "banana"))]))
+
+
+def _hooks() -> list[tuple[str, str]]:
+    """What a space with an encoder, one without, and an unknown one answer."""
+    out = []
+    for prefix in ("e", "m", "x"):
+        try:
+            out.append((prefix, str(len(_letters().encode(prefix, "text")))))
+        except ValueError as e:
+            out.append((prefix, str(e)))
+    return out
+
+
+ask("udf_5", _values_sql("prefix answer", [("e", "4"), ("m", "mute has no encoder of texts; give it one"), ("x", "no vectors named 'x'; there are ['e', 'm']")]))(_rows("prefix answer", _hooks))
 ask("prj_8", _values_sql("field source", [("vtss_score", "ultravideo"), ("score", "clip"), ("fps", "ingest")]))(
     _rows("field source", lambda: [(f, src_) for f, (src_, _) in model.standard().field_catalogue("ultravideo").items() if f in ("vtss_score", "score", "fps")]))
 ask("prj_9", _values_sql("artifact kind", [("metadata.json", "data"), ("thumb_middle.jpg", "image"), ("compress_480p.mp4", "image"), ("phash.json", "data"), ("raft_flow.json", "data")]))(
     _rows("artifact kind", lambda: [(a, k) for k, names in model.standard().artifact_catalogue().items() for a in names if not a.startswith(("clip", "siglip", "gve"))]))
 ask("prj_10", _values_sql("place label", [("0", "first"), ("1", "plain"), ("2", "own")]))(
     _rows("place label", lambda: enumerate(x.label for x in model.Registry([model.Processor("a", sections=(model.Section("t", "plain"), model.Section("t", "first", 1)))], [model.Dataset("d", sections=(model.Section("t", "own"),))]).sections("d"))))
-for _name in ("prj_11", "udf_5"):
+for _name in ("prj_11",):
     ask(_name, _values_sql("prefix width", [("clip", "512"), ("siglip", "1152"), ("gve", "2048")]))(_rows("prefix width", lambda: [(p, w) for p, (_, w) in model.standard().spaces().items()]))
 ask("prj_12", _values_sql("name value", [("sprite_columns", "5"), ("sprite_rows", "5"), ("sprite_frames", "25")]))(_rows("name value", lambda: model.config().items()))
 ask("flt_12", _values_sql("name", [("clip",), ("phash",)]))(_rows("name", lambda: [(n,) for n in model.standard().known(["clip", "phash"])]))
-for _name in ("udf_1", "udf_2", "udf_3"):
+ask("udf_1", _values_sql("name label after artifacts", [("clip", "CLIP", "ingest", "clip.json,clip_embedding.npy"), ("compress", "Compression", "", "compress_480p.mp4"), ("gve", "GVE", "ingest", "gve.json,gve_embedding.npy"), ("ingest", "Ingest", "compress", "metadata.json,thumb_middle.jpg"),
+    ("phash", "Perceptual hash", "ingest", "phash.json"), ("raft_flow", "Optical flow", "ingest", "raft_flow.json"), ("siglip", "SigLIP", "ingest", "siglip.json,siglip_embedding.npy")]))(
+    _rows("name label after artifacts", lambda: [(p.name, p.human_name, ",".join(p.depends_on), ",".join(sorted(p.artifacts))) for p in model.standard().processors.values()]))
+
+
+def _plugins() -> list[tuple[str, str]]:
+    """Two files dropped into a folder, found; then a third one that clashes with the first."""
+    out, head = [], "from cinegrid.model import Dataset, Field, Processor\n"
+    with tempfile.TemporaryDirectory() as folder:  # on the driver, which is where plugins are read
+        for name, text in (("a.py", "P = Processor('first', fields={'f': Field('F')})"), ("b.py", "D = Dataset('second')"), ("_c.py", "raise OSError")):
+            (Path(folder) / name).write_text(head + text)
+        found = model.discovered(folder)
+        out += [("processor", n) for n in found.processors] + [("dataset", n) for n in found.datasets]
+        (Path(folder) / "d.py").write_text(head + "P = Processor('third', fields={'f': Field('G')})")
+        try:
+            model.discovered(folder)
+        except ValueError as e:
+            out.append(("clash", str(e)))
+    return out
+
+
+ask("udf_2", _values_sql("kind name", [("processor", "first"), ("dataset", "second"), ("clash", "d.py: third and first share fields: ['f']")]))(_rows("kind name", _plugins))
+for _name in ("udf_3",):
     ask(_name, _values_sql("place name", [(str(i), n) for i, n in enumerate(("compress", "ingest", "clip", "phash"))]))(_rows("place name", lambda: enumerate(model.standard().order(["phash", "clip"]))))
 ask("udf_4", _values_sql("kind name", [("vector_index", n) for n in ("clip", "gve", "siglip")]))(_rows("kind name", lambda: [("vector_index", n) for n, _ in model.standard().rules()["vector_index"]]))
 ask("udf_6", "SELECT entry_id AS ordinal FROM manifest")(
@@ -642,7 +874,19 @@ ask("s_17", _values_sql("field direction", [("file_size_mb", "asc"), ("random",
 ask("s_29", _values_sql("text", [("dataset=d&q=a+b&page=2&sort=fps_asc&min_fps=24.0",)]))(_rows("text", lambda: [(plan.Request.parse("q=a+b&dataset=d&page=2&sort=fps_asc&min_fps=24&max_fps=").text(),)]))
 ask("jn_13", BASE + f"SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings, qv")(
     lambda s, d: V.scored(vectors(s, d), first_vector(s, d)).select(F.col("video_name").cast("long").alias("vec_id"), F.round("score", 6).alias("score")))
-for _name in ("srt_13", "udf_8"):
+
+
+def _on_device(number, batches):
+    """What a process of one device does: here it only counts."""
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b.num_rows], pa.int64()), pa.array([int(b.column(0).to_numpy().sum())], pa.int64())], names=["device", "rows", "total"])
+
+
+ask("udf_8", "SELECT device, count(*) AS rows, sum(entry_id)::BIGINT AS total FROM (SELECT entry_id, least(p // (n // 8), 7)::INT AS device FROM (SELECT entry_id, row_number() OVER (ORDER BY entry_id) - 1 AS p, count(*) OVER () AS n FROM manifest)) GROUP BY device")(
+    lambda s, d: src.per_device(R.split(entries(s, d), ["ordinal"], 8, "device").select("ordinal", "device"), "device", 8, _on_device, "device int, rows long, total long").groupBy("device").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total")))
+for _name in ("srt_13",):
     ask(_name, "SELECT least(p // (n // 8), 7)::INT AS device, count(*) AS rows FROM (SELECT row_number() OVER (ORDER BY entry_id) - 1 AS p, count(*) OVER () AS n FROM manifest) GROUP BY ALL")(
         lambda s, d: R.split(entries(s, d), ["ordinal"], 8, "device").groupBy("device").agg(F.count("*").alias("rows")))
 
@@ -662,13 +906,19 @@ def inc_8(s: SparkSession, d: str) -> DataFrame:
 _FRAMES = "SELECT user_id, bit_count(xor(event_id, lag(event_id) OVER w)) AS step, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 
 
-@ask("udf_11", f"""SELECT user_id::VARCHAR AS sample_id, round(round(coalesce(avg(step), 0), 4), 2) AS phash_mean_change, coalesce(max(step), 0)::DOUBLE AS phash_max_change,
+@ask("udf_11", f"""SELECT user_id::VARCHAR AS sample_id, least(500 + user_id % 7 * 100, 480)::INT AS small, greatest(user_id % 900, 0)::INT AS num_frames, len(list_distinct(list_concat([0, user_id % 900 // 2, greatest(0, user_id % 900 - 1)], list_transform(range(25), lambda i: i * (user_id % 900 - 1) // 24)))) * (user_id % 900 > 0)::INT AS n_frames, true AS unit, round(round(coalesce(avg(step), 0), 4), 2) AS phash_mean_change, coalesce(max(step), 0)::DOUBLE AS phash_max_change,
   round(round(coalesce(stddev_pop(step), 0), 4), 2) AS phash_std_change, round(round(avg(value), 4), 2) AS flow_mean_magnitude, round(round(stddev_pop(value), 4), 2) AS flow_std_magnitude FROM ({_FRAMES}) GROUP BY user_id""")
 def udf_11(s: SparkSession, d: str) -> DataFrame:
-    """The steps that need no model, over one sequence per user, run by the registry in their order."""
+    """All steps over one video per user, run by the registry in their order; the image model is a stand-in."""
     rows = table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("frames"))
-    rows = rows.select("sample_id", F.col("frames.event_id").alias("hashes"), F.col("frames.value").alias("magnitudes"))
-    out = model.standard().run(rows, ["phash", "raft_flow"])
-    both = out["phash"].join(out["raft_flow"], "sample_id")
-    return both.select("sample_id", F.round("phash_mean_change", 2).alias("phash_mean_change"), "phash_max_change", F.round("phash_std_change", 2).alias("phash_std_change"),
+    number = F.col("sample_id").cast("long")
+    rows = rows.select("sample_id", F.col("frames.event_id").alias("hashes"), F.col("frames.value").alias("magnitudes"), F.lit(1920).alias("width"), (500 + number % 7 * 100).cast("int").alias("height"), (number % 900).cast("int").alias("raw_frames"),
+                       F.lit(24.0).alias("rate"), F.lit(0.0).alias("seconds"), F.lit(1 << 20).alias("bytes"), F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: F.encode(F.to_json(F.array(i.cast("double"), number.cast("double"))), "utf-8")).alias("images"))
+    rows = written(rows, "videos")
+    out = model.standard({n: _json_model for n in ("clip", "siglip", "gve")}).run(rows)
+    both = out["phash"].join(out["raft_flow"], "sample_id").join(out["compress"], "sample_id").join(out["ingest"], "sample_id")
+    for n in ("clip", "siglip", "gve"):
+        both = both.join(out[n], "sample_id")
+    both = both.withColumns({"small": F.col("sizes")[480]["height"], "n_frames": F.size("frames").cast("long"), "unit": F.abs(F.aggregate("clip_embedding", F.lit(0.0), lambda a, x: a + x * x) - 1) < 1e-3})
+    return both.select("sample_id", "small", "num_frames", "n_frames", "unit", F.round("phash_mean_change", 2).alias("phash_mean_change"), "phash_max_change", F.round("phash_std_change", 2).alias("phash_std_change"),
                        F.round("flow_mean_magnitude", 2).alias("flow_mean_magnitude"), F.round("flow_std_magnitude", 2).alias("flow_std_magnitude"))

@@ -12,19 +12,22 @@ from cinegrid.functions.words import SEPARATORS
 
 #: Words that the profile panel leaves out.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from is it as was are were be been being have has had do does did "
-    "will would could should may might shall can not no nor so if then than that this these those which who whom what "
-    "where when how all each every both few more most other some such only own same too very just about up out into over "
-    "after before between under through during while its their his her my your our he she they we you i me him us them "
-    "also there here"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "it",
+    "as", "was", "are", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "shall", "can", "not", "no", "nor", "so", "if", "then", "than", "that",
+    "this", "these", "those", "which", "who", "whom", "what", "where", "when", "how", "all", "each", "every",
+    "both", "few", "more", "most", "other", "some", "such", "only", "own", "same", "too", "very", "just", "about",
+    "up", "out", "into", "over", "after", "before", "between", "under", "through", "during", "while", "its",
+    "their", "his", "her", "my", "your", "our", "he", "she", "they", "we", "you", "i", "me", "him", "us", "them",
+    "also", "there", "here",
+)
 
 #: The canonical order of fields; others follow by name.
 FIELD_ORDER = (
-    "height width duration num_frames file_size_mb fps clip_std score flow_mean_magnitude flow_max_magnitude "
-    "flow_min_magnitude flow_std_magnitude flow_temporal_std phash_mean_change phash_max_change phash_std_change "
-    "phash_temporal_std mean_volume max_volume"
-).split()
+    "height", "width", "duration", "num_frames", "file_size_mb", "fps", "clip_std", "score", "flow_mean_magnitude",
+    "flow_max_magnitude", "flow_min_magnitude", "flow_std_magnitude", "flow_temporal_std", "phash_mean_change",
+    "phash_max_change", "phash_std_change", "phash_temporal_std", "mean_volume", "max_volume",
+)
 
 #: Units of file sizes; frames of a sprite.
 UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
@@ -207,6 +210,26 @@ def contained(width: Column, height: Column, box_width: int, box_height: int) ->
     return F.when(width.isNotNull() & height.isNotNull(), F.struct(w.alias("width"), h.alias("height"), *offsets))
 
 
+def grid_cells(width: Column, height: Column, columns: int = SPRITE_COLUMNS, rows: int = SPRITE_ROWS) -> Column:
+    """The cells of an image cut into a grid, row by row: array of (x, y, width, height); what does not divide is left out."""
+    w, h = F.floor(width / columns).cast("int"), F.floor(height / rows).cast("int")
+    cell = lambda i: F.struct((i % columns * w).alias("x"), (F.floor(i / columns).cast("int") * h).alias("y"), w.alias("width"), h.alias("height"))
+    return F.when(width.isNotNull() & height.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(columns * rows - 1)), cell))
+
+
+def composed(count: Column, cell_width: int, cell_height: int, columns: int = SPRITE_COLUMNS) -> Column:
+    """The size of a sprite of ``count`` cells, and the offsets of its cells, row by row."""
+    across = F.least(count, F.lit(columns))
+    rows = F.ceil(count / columns).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((i % columns * cell_width).alias("x"), (F.floor(i / columns) * cell_height).cast("int").alias("y")))
+    return F.when(count > 0, F.struct((across * cell_width).alias("width"), (rows * cell_height).alias("height"), cells.alias("cells")))
+
+
+def half_even(v: Column, decimals: int) -> Column:
+    """Rounded with halves to the even digit, by the number's shortest decimal form."""
+    return F.bround(v, decimals)
+
+
 def media_fields(frames: Column, fps: Column, size: Column) -> tuple[Column, Column]:
     """Duration in seconds and size in MB, of a probe."""
     rate = F.when(fps.isNotNull(), F.greatest(fps, F.lit(1e-6)))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import graphlib
+import importlib.util
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegrid.functions.scalars import FIELD_ORDER, SPRITE_COLUMNS, SPRITE_ROWS
 from cinegrid.operators import processors
+from cinegrid.sources.catalogue import HUMAN_FIELDS, ULTRA_FIELDS
 
 #: Columns that every entry has; the caption may be null.
 REQUIRED = ("video_name", "caption", "source_path")
@@ -116,25 +120,24 @@ class Registry:
 
     def order(self, names: Iterable[str] | None = None) -> list[str]:
         """The named processors and all they depend on, dependencies first, ties by name."""
-        done: list[str] = []
-        open_: set[str] = set()
-
-        def visit(name: str) -> None:
-            if name in done:
-                return
-            if name in open_:
-                raise ValueError(f"dependencies of {name!r} run in a circle")
+        wanted, todo = {}, sorted(self.processors if names is None else names)
+        while todo:
+            name = todo.pop()
             if name not in self.processors:
                 raise ValueError(f"unknown processor {name!r}")
-            open_.add(name)
-            for other in sorted(self.processors[name].depends_on):
-                visit(other)
-            open_.discard(name)
-            done.append(name)
-
-        for name in sorted(self.processors if names is None else names):
-            visit(name)
-        return done
+            if name not in wanted:
+                wanted[name] = set(self.processors[name].depends_on)
+                todo += wanted[name]
+        sorter, out = graphlib.TopologicalSorter(wanted), []
+        try:
+            sorter.prepare()
+        except graphlib.CycleError as e:
+            raise ValueError(f"dependencies of {e.args[1][0]!r} run in a circle") from e
+        while sorter.is_active():
+            ready = sorted(sorter.get_ready())
+            out += ready
+            sorter.done(*ready)
+        return out
 
     def enabled(self, process: Iterable[str] | None, skip: Iterable[str]) -> list[str]:
         """What runs: the asked ones without the skipped; what those depend on comes back."""
@@ -191,7 +194,8 @@ class Registry:
             p, seen = self.processors[name], samples
             for other in p.depends_on:
                 if other in out:
-                    seen = seen.join(out[other], "sample_id")
+                    new = [c for c in out[other].columns if c == "sample_id" or c not in seen.columns]
+                    seen = seen.join(out[other].select(new), "sample_id")
             if p.transform:
                 out[name] = p.transform(seen)
         return out
@@ -220,31 +224,52 @@ def config() -> dict[str, int]:
     return {"sprite_columns": SPRITE_COLUMNS, "sprite_rows": SPRITE_ROWS, "sprite_frames": SPRITE_COLUMNS * SPRITE_ROWS}
 
 
-def _flow(names: str, labels: str) -> dict[str, Field]:
-    return {n: Field(l) for n, l in zip(names.split(), labels.split(","))}
+def discovered(folder: str) -> Registry:
+    """A registry of all processors and datasets that the Python files of a folder define, in the order of the files' names; files that
+    begin with an underscore are left out. A file that fails, or two that clash, raise ValueError with the file's name."""
+    found = Registry()
+    for path in sorted(Path(folder).glob("[!_]*.py")):
+        spec = importlib.util.spec_from_file_location(f"cinegrid_plugin_{path.stem}", path)
+        module = importlib.util.module_from_spec(spec)
+        try:
+            spec.loader.exec_module(module)
+            for value in vars(module).values():
+                if isinstance(value, Processor):
+                    found.add(value)
+                elif isinstance(value, Dataset):
+                    found.add_dataset(value)
+        except Exception as e:
+            raise ValueError(f"{path.name}: {e}") from e
+    return found
+
+
+def letters(width: int) -> Encoder:
+    """Stands in for a text encoder where no model is installed: how often each of the first ``width`` letters occurs."""
+    return lambda text: [float(text.lower().count(chr(97 + i))) for i in range(width)]
 
 
-def _encoder(name: str, human: str, score: str, width: int, top: float) -> Processor:
+def _encoder(name: str, human: str, score: str, width: int, top: float, model: processors.Loader | None) -> Processor:
     data = f"{name}.json"
     fields = {f"{name}_std": Field(f"{human} spread"), score: Field(f"{human} score", dynamic=True, range=(0.0, top))}
-    return Processor(name, human, ("ingest",), {data: "data", f"{name}_embedding.npy": "data"}, fields, (Rule("json_dict", data, "video_stats"), Rule("vector_index", f"{name}_embedding.npy", name)), (name, width), transform=processors.spread_field(name))
+    return Processor(name, human, ("ingest",), {data: "data", f"{name}_embedding.npy": "data"}, fields, (Rule("json_dict", data, "video_stats"), Rule("vector_index", f"{name}_embedding.npy", name)), (name, width), transform=processors.encoded(name, model) if model else processors.spread_field(name))
 
 
-def standard() -> Registry:
-    """The known steps, with the fields they give. Decoders and encoders are injected by who has them; what follows from their
-    sequences and vectors is computed here."""
+def standard(models: dict[str, processors.Loader] | None = None) -> Registry:
+    """The known steps, with the fields they give. ``models``: per vector space what loads its image model; without one a step takes
+    vectors of frames as they come. What follows from sizes, streams, sequences and vectors is computed here."""
+    models = models or {}
     media = {"width": Field("Width", dtype="int"), "height": Field("Height", dtype="int"), "fps": Field("FPS"), "num_frames": Field("Frames", dtype="int"), "duration": Field("Duration"), "file_size_mb": Field("Size (MB)")}
-    hashes = _flow("phash_mean_change phash_max_change phash_std_change phash_temporal_std", "Mean change,Max change,Std of change,Temporal std")
-    flow = _flow("flow_mean_magnitude flow_max_magnitude flow_min_magnitude flow_std_magnitude flow_temporal_std", "Mean flow,Max flow,Min flow,Std of flow,Temporal std")
+    hashes = {f"phash_{n}": Field(l) for n, l in (("mean_change", "Mean change"), ("max_change", "Max change"), ("std_change", "Std of change"), ("temporal_std", "Temporal std"))}
+    flow = {f"flow_{n}": Field(l) for n, l in (("mean_magnitude", "Mean flow"), ("max_magnitude", "Max flow"), ("min_magnitude", "Min flow"), ("std_magnitude", "Std of flow"), ("temporal_std", "Temporal std"))}
     return Registry([
-        Processor("compress", "Compression", artifacts={"compress_480p.mp4": "image"}),
-        Processor("ingest", "Ingest", ("compress",), {"metadata.json": "data", "thumb_middle.jpg": "image"}, media, (Rule("json_dict", "metadata.json", "video_metadata"),)),
-        _encoder("clip", "CLIP", "score", 512, 1.0),
-        _encoder("siglip", "SigLIP", "siglip_score", 1152, 1.0),
-        _encoder("gve", "GVE", "gve_score", 2048, 1.0),
+        Processor("compress", "Compression", artifacts={"compress_480p.mp4": "image"}, transform=processors.compressed_sizes),
+        Processor("ingest", "Ingest", ("compress",), {"metadata.json": "data", "thumb_middle.jpg": "image"}, media, (Rule("json_dict", "metadata.json", "video_metadata"),), transform=processors.ingested),
+        _encoder("clip", "CLIP", "score", 512, 1.0, models.get("clip")),
+        _encoder("siglip", "SigLIP", "siglip_score", 1152, 1.0, models.get("siglip")),
+        _encoder("gve", "GVE", "gve_score", 2048, 1.0, models.get("gve")),
         Processor("phash", "Perceptual hash", ("ingest",), {"phash.json": "data"}, hashes, (Rule("json_dict", "phash.json", "video_stats"),), transform=processors.hash_fields),
         Processor("raft_flow", "Optical flow", ("ingest",), {"raft_flow.json": "data"}, flow, (Rule("json_dict", "raft_flow.json", "video_stats"),), transform=processors.flow_fields),
     ], [
-        Dataset("openhumanvid", "OpenHumanVid", {n: Field(n) for n in "luminance_min luminance_max blur_min blur_max aesthetic technical_score global_motion".split()}),
-        Dataset("ultravideo", "UltraVideo", {n: Field(n) for n in "vtss_score motion_score video_clip_score".split()}),
+        Dataset("openhumanvid", "OpenHumanVid", {n: Field(n) for n in HUMAN_FIELDS}),
+        Dataset("ultravideo", "UltraVideo", {n: Field(n) for n in ULTRA_FIELDS}),
     ])

@@ -112,7 +112,7 @@ def compact(files: DataFrame, path: str, target_bytes: int = TARGET_BYTES, keys:
     the input's and each row of the input is a member of a staged record; else ValueError is raised and ``path`` stays as it was.
     """
     spark = files.sparkSession
-    rows = written(placed(records(files)), "records")
+    rows = written(placed(written(records(files), "digests")), "records")
     own = F.expr("file_id = rep")
     size = rows.agg(F.count("*").alias("c"), F.sum(F.when(own, F.octet_length("body"))).alias("b"), F.count_if(own).alias("n"), F.count_if(F.expr("digest is null")).alias("broken")).first()
     parts = max(1, -(-(size.b or 0) // target_bytes))

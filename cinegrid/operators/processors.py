@@ -1,4 +1,5 @@
-"""What the enrichment steps compute from a record's sequences, as expressions over arrays: no shuffle, no Python.
+"""What the enrichment steps compute from a record's sizes, stream and sequences, as expressions over arrays: no shuffle, and
+Python only where an image model is injected.
 
 Sequences are short (25 frames): an array per record. Fewer than two values have no differences.
 """
@@ -7,14 +8,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinegrid.functions.scalars import bound
+from cinegrid.functions.scalars import bound, sampled_frames, target_size
 from cinegrid.operators.profile import hamming
 from cinegrid.operators.vectors import normalised
 
 
+#: Loads an image model: a function from images to one vector each.
+Loader = Callable[[], Callable[[list[bytes]], np.ndarray]]
+#: The heights of the compressed copies.
+HEIGHTS = (144, 240, 360, 480, 720, 1080)
+
+
+def compressed_sizes(df: DataFrame) -> DataFrame:
+    """(sample_id, sizes map<int, struct<width, height>>): the sizes of the copies of a video with ``width`` and ``height``, smallest
+    first; none is larger than the video, and none where a side is not known."""
+    width, height = F.col("width").cast("int"), F.col("height").cast("int")
+    small = F.least(width, height)
+    cells = F.array_compact(F.array(*(F.when(small >= h, F.struct(F.lit(h).alias("k"), target_size(width, height, h).alias("v"))) for h in HEIGHTS)))
+    return df.select("sample_id", F.map_from_entries(F.when(width.isNotNull() & height.isNotNull(), cells).otherwise(F.slice(cells, 1, 0))).alias("sizes"))
+
+
+def ingested(df: DataFrame) -> DataFrame:
+    """(sample_id, width, height, fps, num_frames, duration, file_size_mb, frames): what is known of a video from its stream's figures
+    (``raw_frames``, ``rate``, ``seconds``, ``bytes``), and the frames to decode; none where there are none."""
+    from cinegrid.sources.catalogue import probed
+
+    rows = probed(df, "raw_frames", "rate", "seconds", "bytes")
+    frames = F.when(F.col("num_frames") > 0, sampled_frames(F.col("num_frames"))).otherwise(F.array().cast("array<int>"))
+    return rows.select("sample_id", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "fps", "num_frames", "duration", "file_size_mb", frames.alias("frames"))
+
+
+def encoded(name: str, load: Loader) -> Callable[[DataFrame], DataFrame]:
+    """A transform that gives (sample_id, {name}_embedding, {name}_std) from the images of a sample's frames in the column ``images``: the
+    unit mean of their unit vectors, and how far they differ. Samples none of whose images can be encoded have no row."""
+    from cinegrid.sources.catalogue import encode_images
+
+    def transform(df: DataFrame) -> DataFrame:
+        images = df.select("sample_id", F.explode("images").alias("image"))
+        vectors = encode_images(images, "sample_id", "image", load).groupBy("sample_id").agg(F.collect_list("embedding").alias("v"))  # a few frames a sample
+        total = F.aggregate(F.slice("v", 2, 1_000_000), F.get("v", F.lit(0)), lambda s, u: F.zip_with(s, u, lambda a, b: a + b))
+        return vectors.select("sample_id", normalised(total).alias(f"{name}_embedding"), spread(F.col("v")).alias(f"{name}_std"))
+
+    return transform
+
+
 def pairwise(values: Column, distance: Callable[[Column, Column], Column]) -> Column:
     """The distance of each value to the one before it; an array one shorter, empty for fewer than two values."""
     n = F.greatest(F.size(values) - 1, F.lit(0))

@@ -139,7 +139,7 @@ def chunked(df: DataFrame, order: list[str], size: int) -> DataFrame:
     return positions(df, order).withColumn("batch", F.floor(F.col("position") / size).cast("int")).drop("position")
 
 
-def positions(df: DataFrame, order: list[str]) -> DataFrame:
+def positions(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """Adds the column ``position``: each row's place, from 0, in the order. Two passes: parts are range-sorted and counted;
     each row's place is its place in the part plus the rows of the parts before."""
     from cinegrid.scratch import written
@@ -153,6 +153,11 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
     return parted.withColumn("within", within).join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("within")).drop("part", "within", "before")
 
 
+def numbered(df: DataFrame, order: list, size: int) -> DataFrame:
+    """Adds the column ``page``: on which page, from 1, each row stands in the order."""
+    return positions(df, order).withColumn("page", (F.floor(F.col("position") / size) + 1).cast("int")).drop("position")
+
+
 def split(df: DataFrame, order: list[str], parts: int, name: str) -> DataFrame:
     """Numbers equal consecutive shares in a column ``name``; what is left over goes to the last."""
     n = F.lit(df.count())

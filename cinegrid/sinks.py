@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegrid.functions.scalars import sample_path
 from cinegrid.operators.compaction import swap
+from cinegrid.scratch import hadoop_path
 
 
 def staged(df: DataFrame, path: str, format: str = "parquet", files: int | None = None) -> None:
@@ -42,6 +43,17 @@ def favourites(table: DataFrame, dataset: str, names: DataFrame, action: str) ->
     raise ValueError(f"unknown action {action!r}")
 
 
+def load_favourites(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, video_name) of the saved favourites; none if there is no such file yet."""
+    where, fs = hadoop_path(spark, path)
+    schema = "dataset string, video_name string"
+    return spark.read.schema(schema).json(path) if fs.exists(where) else spark.createDataFrame([], schema)
+
+
+def save_favourites(table: DataFrame, path: str) -> None:
+    staged(table.select("dataset", "video_name"), path, "json", 1)
+
+
 def export_paths(samples: DataFrame, artifact: str | None = None) -> DataFrame:
     """(video_name, path) sorted by name: the folder of each sample, or one artifact in it. ``samples``: dataset, video_name."""
     path = sample_path(F.concat_ws("_", "dataset", "video_name"), F.lit(artifact) if artifact else None)

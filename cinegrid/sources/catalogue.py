@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinegrid.functions.scalars import frame_indices, media_fields, or_else, parsed_number, sampled_frames
 from cinegrid.operators.relational import first_wins
+from cinegrid.scratch import hadoop_path
 
 #: Numeric columns of the two CSV layouts, folders of clips by priority, proxies by preference.
 HUMAN_FIELDS = ("luminance_min", "luminance_max", "blur_min", "blur_max", "aesthetic", "technical_score", "global_motion")
@@ -28,6 +30,7 @@ def manifest(spark: SparkSession, path: str, fields: Sequence[str] = (), ordinal
     of its own. ``ordinal`` names the member that holds the position; without one it is the place in the file as read.
     Broken files raise."""
     schema = "video_name string, caption string, source_path string" + "".join(f", `{f}` double" for f in fields) + (f", `{ordinal}` long" if ordinal else "")
+    # an array is one document and one task; large catalogues come as lines with their position as a member
     rows = spark.read.option("multiLine", not lines).option("mode", "FAILFAST").schema(schema).json(path)
     place = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
     return rows.select(place.alias("ordinal"), "video_name", "caption", "source_path", *fields)
@@ -38,6 +41,45 @@ def csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.options(header=True, multiLine=True, escape='"').csv(path)
 
 
+def csv_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``csv``, of files that are known to hold no line break in a field: large ones are split among tasks."""
+    return spark.read.options(header=True, escape='"').csv(path)
+
+
+def csv_parts(spark: SparkSession, folder: str, parts: Sequence[str], stem: str = "OpenHumanVid") -> DataFrame:
+    """The rows of the files ``{stem}_{part}.csv`` (or folders of that name) whose part is among ``parts``, with the part. Only the names
+    below ``folder`` are listed; files of other parts are never opened. No such file: no rows, no columns but the part."""
+    where, fs = hadoop_path(spark, folder)
+    there = {f.getPath().getName() for f in fs.listStatus(where)} if fs.exists(where) else set()
+    paths = [f"{folder}/{stem}_{p}.csv" for p in sorted(set(parts)) if f"{stem}_{p}.csv" in there]
+    if not paths:
+        return spark.createDataFrame([], "part string")
+    return csv(spark, paths).withColumn("part", F.regexp_extract(F.input_file_name(), r"_(part_\d+)\.csv", 1))
+
+
+def datasets(spark: SparkSession, folder: str, registered: Iterable[str] = ()) -> list[str]:
+    """Names of the datasets: the registered ones, and every folder below ``folder`` that holds a manifest."""
+    where, fs = hadoop_path(spark, folder)
+    below = [f.getPath() for f in fs.listStatus(where) if f.isDirectory()] if fs.exists(where) else []
+    found = {p.getName() for p in below if fs.exists(hadoop_path(spark, f"{p.toString()}/manifest.json")[0])}
+    return sorted({*registered, *found})
+
+
+def vector_index(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """The vectors of all spaces below ``folder`` (prefix, and the columns of the views), and the spaces' prefixes. A view lies in the
+    folder of its prefix; folders without a finished view are left out."""
+    where, fs = hadoop_path(spark, folder)
+    below = [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()] if fs.exists(where) else []
+    prefixes = tuple(sorted(n for n in below if fs.exists(hadoop_path(spark, f"{folder}/{n}/_SUCCESS")[0])))
+    if not prefixes:
+        raise ValueError(f"no vectors below {folder}")
+    parts = [spark.read.parquet(f"{folder}/{p}").withColumn("prefix", F.lit(p)) for p in prefixes]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    return every, prefixes
+
+
 def human_entries(rows: DataFrame) -> DataFrame:
     """path, clip_id, caption and the numbers that are there: an empty cell is missing, as is junk."""
     return rows.select(F.col("clip_id").alias("video_name"), "caption", F.col("path").alias("source_path"), *(parsed_number(F.col(f)).alias(f) for f in HUMAN_FIELDS))
@@ -64,7 +106,7 @@ def web_entries(rows: DataFrame, base: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, length): the files below a folder; their contents are not read."""
+    """(path, length): the files below a folder that are not empty; their contents are not read."""
     return spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob).load(path).select("path", "length")
 
 
@@ -77,10 +119,10 @@ def by_priority(files: DataFrame, folders: Sequence[str] = CLIP_FOLDERS) -> Data
     return named.groupBy("video_name").agg(F.min(F.struct("rank", "path"))["path"].alias("path"))
 
 
-def nested(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON object of objects of objects. Records without a name or a path are left out; the caption is the first of
+def nested(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Records of a JSON object of objects of objects, one per file or with ``lines`` one per line. Records without a name or a path are left out; the caption is the first of
     the list, or empty; of a repeated name the first counts, in the order of the keys."""
-    return nested_records(spark.read.option("wholetext", True).text(path))
+    return nested_records(spark.read.option("wholetext", not lines).text(path))
 
 
 def nested_records(text: DataFrame) -> DataFrame:
@@ -188,6 +230,25 @@ def encode_images(df: DataFrame, key: str, image: str, load: Callable[[], Callab
     return df.select(key, image).mapInArrow(run, f"key {kind}, embedding array<float>").withColumnRenamed("key", key)
 
 
+def parsed_objects(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, ok, error): whether each body is a JSON object; no Python."""
+    text = F.coalesce(F.col(body), F.lit(""))
+    kind = F.expr(f"schema_of_variant(try_parse_json(coalesce(`{body}`, '')))")
+    error = F.when(F.try_parse_json(text).isNull(), "no JSON").when(~kind.startswith("OBJECT"), "no object")
+    return df.select(key, error.isNull().alias("ok"), error.alias("error"))
+
+
+def per_device(df: DataFrame, device: str, devices: int, work: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Runs ``work(number, batches)`` over the rows of each device, in a process of its own; rows of a device stay together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.names.index(device)
+            for number in np.unique(b.column(at).to_numpy()).tolist():
+                yield from work(number, iter([b.filter(pa.compute.equal(b.column(at), number))]))
+
+    return df.repartition(devices, device).mapInArrow(run, schema)
+
+
 def mapped(df: DataFrame, key: str, work: Callable[[dict], object]) -> DataFrame:
     """(key, ok, error): a Python function over rows, with its errors caught."""
 

@@ -4,7 +4,8 @@ Each distinct word draws, step by step, a random permutation of the signature's
 value j plus a fraction. A slot keeps the least value. Because a word gives each slot another step, the slots of a signature
 are negatively correlated, which lowers the variance of the estimate; and since values of step j are at least j, a text
 is done as soon as all its slots lie below the step (early stopping). Texts that agree in all slots of a band meet;
-pairs that met are verified by their words; verified pairs are the links, and their components the groups.
+pairs that met are verified, first by bounds from 56-bit maps of their words, then by the words; verified pairs are the links,
+and their components the groups.
 
 Equal word sets are worked on once. The texts of a band that very many share are compared by the prefixes of their sets, an
 exact way that needs no band.
@@ -29,6 +30,12 @@ BANDS = 70
 ROWS = 7
 #: Sets compared with each other in one bucket of a band; a larger one is compared by the prefixes of its sets.
 BUCKET = 512
+#: Texts whose keys are packed together, bytes of keys of a part, and parts of a task.
+CHUNK = 8192
+PART_BYTES = 4 << 20
+PARTS = 8
+#: No value yet.
+NONE = 0xFFFFFFFF
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,101 +45,166 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _ranks(words: np.ndarray, slots: int, steps: int) -> np.ndarray:
+    """What each word offers each slot (words, slots) in the first ``steps`` steps of its permutation: the step above 22 random bits."""
+    out = np.full((len(words), slots), NONE, np.uint32)
+    for lo in range(0, len(words), 1024):  # a part that stays in the cache
+        seed, mine = _mix(words[lo : lo + 1024].view(np.uint64)), out[lo : lo + 1024]
+        order = np.broadcast_to(np.arange(slots, dtype=np.int16), mine.shape).copy()
+        rows = np.arange(len(seed))
+        for j in range(min(steps, slots)):
+            r = _mix(seed + np.uint64(j))
+            swap = j + ((r >> np.uint64(32)) * np.uint64(slots - j) >> np.uint64(32)).astype(np.int64)
+            slot = order[rows, swap]
+            order[rows, swap] = order[:, j]
+            mine[rows, slot] = np.uint32(j << 22) | (r & np.uint64(0x3FFFFF)).astype(np.uint32)
+    return out
+
+
 def signatures(words: np.ndarray, starts: np.ndarray, slots: int) -> np.ndarray:
-    """SuperMinHash values (texts, slots) of texts given as 64-bit word hashes, one after the other; no text is empty."""
+    """SuperMinHash values (texts, slots) of texts given as 64-bit word hashes, one after the other; no text is empty.
+
+    All texts take the first few steps of their words' permutations, most of them no more: once all slots of a text lie below
+    the next step nothing can change. The others take twice as many, and so on."""
     n = len(starts) - 1
-    out = np.full((n, slots), np.inf, np.float64)
-    distinct, word = np.unique(words, return_inverse=True)
-    text = np.repeat(np.arange(n), np.diff(starts))
-    order = np.broadcast_to(np.arange(slots, dtype=np.int32), (len(distinct), slots)).copy()
-    seed = _mix(distinct.view(np.uint64))
-    live_words = np.arange(len(distinct))
-    for j in range(slots):
-        r = _mix(seed[live_words] + np.uint64(j))
-        swap = j + ((r >> np.uint64(32)) % np.uint64(slots - j)).astype(np.int64)
-        value = j + (r & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2**32
-        mine, other = order[live_words, j].copy(), order[live_words, swap].copy()
-        order[live_words, j], order[live_words, swap] = other, mine
-        slot_of, value_of = np.zeros(len(distinct), np.int64), np.zeros(len(distinct))
-        slot_of[live_words], value_of[live_words] = other, value
-        np.minimum.at(out.reshape(-1), text * slots + slot_of[word], value_of[word])
-        # a text whose slots are all below the next step can't change any more
-        if j % 4 == 3:
-            live = out.max(axis=1) >= j + 1
-            if not live.all():
-                keep = live[text]
-                text, word = text[keep], word[keep]
-                if not len(text):
-                    break
-                live_words = np.unique(word)
+    out = np.empty((n, slots), np.uint32)
+    live, steps = np.arange(n), max(32, slots * 2 // 5)
+    while len(live):
+        size = np.diff(starts)[live]
+        first = np.concatenate([[0], np.cumsum(size)])
+        mine = words[np.repeat(starts[live] - first[:-1], size) + np.arange(first[-1])]
+        distinct, word = np.unique(mine, return_inverse=True)
+        ranks = _ranks(distinct, slots, steps)
+        for lo in range(0, len(live), 512):
+            hi = min(lo + 512, len(live))
+            out[live[lo:hi]] = np.minimum.reduceat(ranks[word[first[lo] : first[hi]]], first[lo:hi] - first[lo], axis=0)
+        if steps >= slots:
+            break
+        live, steps = live[out[live].max(axis=1) >= np.uint32(steps << 22)], 2 * steps
     return out
 
 
-def _bands(slots: int, rows: int):
-    """(key, id): one row per band; the key is a hash of the band's number and its slots' values."""
+def sketches(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each text the number of its words (at most 255) above a map of 56 bits, of which each word sets one."""
+    size = np.diff(starts)
+    bits = np.uint64(1) << (_mix(words.view(np.uint64)) % np.uint64(56))
+    return np.bitwise_or.reduceat(bits, starts[:-1]) | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether two texts of these sketches can be as similar as ``least``. A bit that differs comes from a word that only one of them has, so
+    a pair that is left out has too few words in common for sure."""
+    a, b = (x >> np.uint64(56)).astype(np.int64), (y >> np.uint64(56)).astype(np.int64)
+    differ = np.bitwise_count((x ^ y) & np.uint64((1 << 56) - 1)).astype(np.int64)
+    common = np.ceil(least / (1 + least) * (a + b) - 1e-9).astype(np.int64)
+    return (differ <= a + b - 2 * common) & (common <= np.minimum(a, b)) | (a == 255) | (b == 255)
+
+
+def _bands(slots: int, rows: int, groups: int, bucket: int, chunk: int):
+    """(part, keys, ids, sketches, hot): the band keys of up to ``chunk`` texts, packed into one row for each of ``groups`` parts of the keys. Of
+    a key that more than ``bucket`` texts of the chunk have only the key is sent, as hot, and the texts go on as they are: rows
+    without keys."""
+    bands = slots // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                words = part.column(1)
-                starts = words.offsets.to_numpy().astype(np.int64)
-                values = words.values.to_numpy()[starts[0] : starts[-1]]
-                sig = signatures(values, starts - starts[0], slots)
-                bits = sig.view(np.uint64).reshape(len(sig), slots // rows, rows)
-                key = np.zeros(bits.shape[:2], np.uint64) + np.arange(slots // rows, dtype=np.uint64)
-                for k in range(rows):
-                    key = _mix(key ^ bits[:, :, k])
-                ids = np.repeat(part.column(0).to_numpy(), slots // rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
+        for t in _chunks(batches, chunk):
+            words = t.column("w").combine_chunks()
+            starts = words.offsets.to_numpy().astype(np.int64)
+            values = words.values.to_numpy()[starts[0] : starts[-1]]
+            starts = starts - starts[0]
+            key = np.empty((len(starts) - 1, bands), np.uint64)
+            for lo in range(0, len(key), 2048):
+                hi = min(lo + 2048, len(key))
+                sig = signatures(values[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], slots).reshape(hi - lo, bands, rows).astype(np.uint64)
+                part = np.zeros((hi - lo, bands), np.uint64) + np.arange(bands, dtype=np.uint64)
+                for k in range(0, rows, 2):
+                    part = _mix(part ^ (sig[:, :, k] << np.uint64(32) | sig[:, :, min(k + 1, rows - 1)]))
+                key[lo:hi] = part
+            ids = np.repeat(t.column("id").to_numpy(), bands)
+            sketch = np.repeat(sketches(values, starts), bands)
+            key = key.ravel()
+            order = np.lexsort((key, key % np.uint64(groups)))
+            key, ids, sketch = key[order], ids[order], sketch[order]
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([new, [len(key)]]))
+            hot = size > bucket
+            alone = np.repeat(hot, size)
+            out: list[tuple] = []
+            marks = key[new[hot]]
+            if len(marks):
+                some = np.unique(ids[alone])
+                out += [(int(c[0] % groups), b"", c.tobytes(), b"", b"") for c in np.array_split(some, -(-len(some) // 4096))]
+                key, ids, sketch = key[~alone], ids[~alone], sketch[~alone]
+            part = (key % np.uint64(groups)).astype(np.int64)
+            cuts = np.searchsorted(part, np.arange(groups + 1))
+            to = (marks % np.uint64(groups)).astype(np.int64)
+            for g in np.union1d(np.flatnonzero(np.diff(cuts)), to):
+                a, b = cuts[g], cuts[g + 1]
+                out.append((int(g), key[a:b].tobytes(), ids[a:b].tobytes(), sketch[a:b].tobytes(), marks[to == g].tobytes()))
+            cells = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))]
+            yield from pa.Table.from_arrays(cells, names=["part", "keys", "ids", "sketches", "hot"]).to_batches(max_chunksize=64)
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: all pairs (a, b) of a key with at most BUCKET ids; of a larger one each id as (id, null). No key's
-    ids are held beyond BUCKET."""
-    held_key, held, flowing = None, np.empty(0, np.int64), False
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
-    def pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = np.triu_indices(len(ids), 1)
-        return ids[i], ids[j]
 
-    for batch in batches:
-        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([first, [len(key)]]))
-        a, b, alone = [], [], []
-        # the first run may go on from the batch before, the last one into the next
-        for at in sorted({0, len(first) - 1}):
-            k, part = int(key[first[at]]), ids[first[at] : first[at] + size[at]]
-            if held_key is not None and k != held_key:
-                if not flowing:
-                    x, y = pairs(held)
-                    a.append(x)
-                    b.append(y)
-                held, flowing = np.empty(0, np.int64), False
-            held_key, held = k, np.concatenate([held, part])
-            if flowing or len(held) > BUCKET:
-                alone.append(held)
-                held, flowing = np.empty(0, np.int64), True
-        inner, sizes = first[1:-1], size[1:-1]
-        for n in np.unique(sizes[(sizes > 1) & (sizes <= BUCKET)]):
-            i, j = np.triu_indices(n, 1)
-            at = inner[sizes == n][:, None]
-            a.append(ids[(at + i).ravel()])
-            b.append(ids[(at + j).ravel()])
-        for at, n in zip(inner[sizes > BUCKET], sizes[sizes > BUCKET]):
-            alone.append(ids[at : at + n])
-        one = np.concatenate([*a, *alone]) if a or alone else np.empty(0, np.int64)
-        two = np.concatenate(b) if b else np.empty(0, np.int64)
-        cells = [pa.array(one), pa.concat_arrays([pa.array(two, pa.int64()), pa.nulls(len(one) - len(two), pa.int64())])]
-        yield from pa.Table.from_arrays(cells, names=["a", "b"]).to_batches(max_chunksize=65536)
-    if not flowing and len(held) > 1:
-        x, y = pairs(held)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+def _met(least: float, bucket: int):
+    """Of packed keys sorted by part: the pairs (a, b) of a key with at most ``bucket`` ids whose sketches let them be similar enough; of
+    a larger or hot key, and of rows without keys, each id as (id, null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def out(a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(a), 65536):
+                x = pa.array(a[lo : lo + 65536])
+                yield pa.RecordBatch.from_arrays([x, pa.nulls(len(x), pa.int64()) if b is None else pa.array(b[lo : lo + 65536])], names=["a", "b"])
+
+        def part() -> Iterator[pa.RecordBatch]:
+            bare = [np.frombuffer(i, np.int64) for k, i, _, _ in held if not k and i]
+            if bare:
+                yield from out(np.unique(np.concatenate(bare)), None)
+            key, sketch, hot = (np.frombuffer(b"".join(h[c] for h in held), np.uint64) for c in (0, 2, 3))
+            ids = np.frombuffer(b"".join(h[1] for h in held if h[0]), np.int64)
+            order = np.lexsort((ids, key))
+            key, ids, sketch = key[order], ids[order], sketch[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([first, [len(key)]]))
+            large = (size > bucket) | np.isin(key[first], hot)
+            if large.any():
+                yield from out(np.unique(ids[np.repeat(large, size)]), None)
+            for n in np.unique(size[(size > 1) & ~large]):
+                i, j = np.triu_indices(n, 1)
+                begins = first[(size == n) & ~large]
+                for lo in range(0, len(begins), max(1, 1_000_000 // len(i))):
+                    at = begins[lo : lo + max(1, 1_000_000 // len(i))][:, None]
+                    x, y = (at + i).ravel(), (at + j).ravel()
+                    good = _may_link(sketch[x], sketch[y], least)
+                    yield from out(ids[x[good]], ids[y[good]])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != now:
+                    yield from part()
+                    held = []
+                now = row[0]
+                held.append(row[1:])
+        if held:
+            yield from part()
+
+    return run
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +237,8 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS):
         self.spark = df.sparkSession
         self.similarity, self.bands, self.rows = similarity, bands, rows
-        words = df.select(F.col(key).cast("long").alias("id"), F.array_distinct(runs(F.col(text))).alias("w")).where("id is not null")
-        words = words.where(F.size("w") >= min_words)
-        words = words.select("id", F.sort_array(F.transform("w", lambda w: F.xxhash64(w))).alias("w"))
+        words = df.select(F.col(key).cast("long").alias("id"), F.sort_array(F.array_distinct(F.transform(runs(F.col(text)), lambda w: F.xxhash64(w)))).alias("w"))
+        words = words.where("id is not null").where(F.size("w") >= min_words)
         sets = written(words.withColumn("digest", F.xxhash64("w")), "sets")
         # equal sets: the smallest key stands for all
         classes = sets.groupBy("digest", F.size("w").alias("n_words")).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
@@ -178,9 +249,12 @@ class NearDuplicates:
     def candidates(self) -> DataFrame:
         """(a, b), a < b: pairs that share a band."""
         slots = self.bands * self.rows
-        keys = self.sets.mapInArrow(_bands(slots, self.rows), "key long, id long")
-        keys = keys.repartition("key").sortWithinPartitions("key", "id")
-        met = written(keys.mapInArrow(_met, "a long, b long").distinct(), "met")
+        bytes_ = self.sets.count() * self.bands * 24
+        groups = max(64, -(-bytes_ // PART_BYTES))
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), groups // PARTS)
+        keys = self.sets.select("id", "w").mapInArrow(_bands(slots, self.rows, groups, BUCKET, CHUNK), "part int, keys binary, ids binary, sketches binary, hot binary")
+        keys = keys.repartition(tasks, "part").sortWithinPartitions("part")
+        met = written(keys.mapInArrow(_met(self.similarity, BUCKET), "a long, b long").distinct(), "met")
         hot = met.where("b is null").select(F.col("a").alias("id"))
         pairs = met.where("b is not null")
         return pairs.unionByName(self._by_prefix(hot)).distinct() if hot.limit(1).count() else pairs

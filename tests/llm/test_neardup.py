@@ -42,6 +42,12 @@ def test_against_all_pairs(spark, words):
 def test_hot_bucket_takes_the_exact_way(spark, words, monkeypatch):
     """A third of the rows are variants of one text."""
     monkeypatch.setattr(neardup, "BUCKET", 4)
+    for chunk in (8192, 16):  # hot in a chunk, and only over all of them
+        monkeypatch.setattr(neardup, "CHUNK", chunk)
+        hot_bucket(spark, words)
+
+
+def hot_bucket(spark, words):
     base = words[:30]
     data = rows(words) + [(1000 + i, " ".join([*base, words[100 + i]])) for i in range(60)]
     got = {tuple(r) for r in neardup.NearDuplicates(spark.createDataFrame(data, "entry_id long, caption string"), "entry_id", "caption").pairs().collect()}
@@ -53,12 +59,35 @@ def test_signatures_estimate_the_similarity(rng):
     base = rng.integers(0, 2**62, 60)
     sets = [np.unique(np.concatenate([base[: 60 - k], rng.integers(0, 2**62, k)])) for k in (0, 6, 15, 30)]
     sig = neardup.signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), 512)
-    assert np.isfinite(sig).all()
+    assert (sig < neardup.NONE).all()
     for s, v in zip(sets[1:], sig[1:]):
         true = len(np.intersect1d(sets[0], s)) / len(np.union1d(sets[0], s))
         assert abs((sig[0] == v).mean() - true) < 0.07
 
 
+def test_signatures_equal_the_definition(rng):
+    """Each word takes its whole permutation; early stopping changes nothing."""
+    sets = [rng.integers(0, 2**62, n) for n in (1, 2, 9, 40, 300)]
+    slots = 48
+    sig = neardup.signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), slots)
+    for s, v in zip(sets, sig):
+        whole = neardup._ranks(s, slots, slots)
+        assert (np.sort(whole >> 22, axis=1) == np.arange(slots)).all()  # a permutation
+        assert (whole.min(axis=0) == v).all()
+
+
+def test_the_bound_drops_no_link(rng):
+    pool = rng.integers(0, 2**62, 400)
+    for _ in range(300):
+        base = rng.choice(pool, rng.integers(8, 300), replace=False)
+        keep = rng.integers(len(base) // 2, len(base) + 1)
+        other = np.unique(np.concatenate([base[:keep], rng.choice(pool, rng.integers(0, 40), replace=False)]))
+        base = np.unique(base)
+        same = len(np.intersect1d(base, other)) / len(np.union1d(base, other))
+        x, y = (neardup.sketches(w, np.array([0, len(w)])) for w in (base, other))
+        assert neardup._may_link(x, y, 0.7)[0] or same < 0.7
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 102), (102, 101), (200, 200)]
     got = {r.id: r.root for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}

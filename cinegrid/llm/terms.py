@@ -1,14 +1,15 @@
 """How often every term occurs and in how many rows, by burst tries.
 
 A worker counts its terms in a burst trie: small tables of suffixes with two counters each hang on a tree of prefixes, and a
-table that outgrows its limit bursts into one table per next character. So the tree grows deep only where terms are many. The
-loads of all workers' prefixes are added up and give routes: prefixes so long that none carries more than its share of the
-distinct terms. Each worker sends its subtrees along the routes; who receives a route merges the subtrees of the same prefix
-and reads off the terms. Counters are added up before the shuffle, so a term in a third of all rows is one row per worker.
+table that outgrows its limit bursts into one table per next character. So the tree grows deep only where terms are many. A
+sample of the distinct terms gives the routes: prefixes, as long as need be, between which about equally many distinct terms
+lie, however many terms begin alike. Each worker sends its subtrees along the routes; who receives a route merges the
+subtrees and reads off the terms. Counters are added up before the shuffle, so a term in a third of all rows is one row per worker.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +23,11 @@ from cinegrid.scratch import written
 #: Suffixes in a table before it bursts; terms that a worker holds before it sends its trie on.
 LIMIT = 256
 HELD = 400_000
-#: Routes: at most so many, which bounds what is collected and broadcast.
-ROUTES = 2048
-DEPTH = 4
+#: Distinct terms of a route at most (about), and sampled terms per route, from which the routes are cut.
+ROUTE = 50_000
+SAMPLED = 16
+#: Above every character.
+TOP = "\U0010ffff"
 
 
 class BurstTrie:
@@ -122,45 +125,39 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cells, names=["prefix", "suffixes", "occurrences", "rows"])
 
 
-def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many suffixes hang under each prefix of up to DEPTH characters."""
-    loads: dict[str, int] = {}
-    for batch in batches:
-        for prefix, suffixes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for s in suffixes:
-                term = prefix + s
-                for n in range(min(DEPTH, len(term)) + 1):
-                    loads[term[:n]] = loads.get(term[:n], 0) + 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(loads), pa.string()), pa.array(list(loads.values()), pa.int64())], names=["prefix", "n"])
-
+def routes(sample: list[str], n: int) -> list[str]:
+    """At most ``n`` prefixes at which the sorted terms are cut, so that the sampled ones are spread evenly; each is as short as it can be
+    and still stand above the sampled term before it."""
+    sample, out = sorted(set(sample)), []
+    for at in np.linspace(0, len(sample), n + 1).astype(int)[1:-1].tolist():
+        if not 0 < at < len(sample):
+            continue
+        term, before = sample[at], sample[at - 1]
+        length = next(i for i in range(1, len(term) + 1) if term[:i] > before)
+        if not out or term[:length] > out[-1]:
+            out.append(term[:length])
+    return out
 
-def routes(loads: DataFrame, share: int) -> list[str]:
-    """Prefixes that together begin every term (the empty one catches the rest): a prefix with more than ``share`` suffixes gives way
-    to its continuations. Only prefixes whose parent is heavy are collected."""
-    heavy = loads.where(F.col("n") > share).select("prefix")
-    below = loads.withColumn("parent", F.expr("substring(prefix, 1, length(prefix) - 1)"))
-    found = below.join(heavy.withColumnRenamed("prefix", "parent"), "parent", "left_semi").where("prefix <> ''")
-    most = found.orderBy(F.desc("n"), "prefix").limit(ROUTES).select("prefix").collect()
-    return ["", *sorted(r[0] for r in most)]
 
+def _routed(cuts):
+    """(route, terms, occurrences, rows): a subtree that lies between two cuts goes on as a whole, another one in parts."""
 
-def _routed(paths):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {p: i for i, p in enumerate(paths.value)}
-        deepest = max(map(len, known))
+        at = cuts.value
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for prefix, suffixes, occurrences, rows in zip(*(c.to_pylist() for c in batch.columns)):
-                parts: dict[int, tuple[list, list, list]] = {}
-                for s, o, r in zip(suffixes, occurrences, rows):
-                    term = prefix + s
-                    n = min(deepest, len(term))
-                    while term[:n] not in known:
-                        n -= 1
-                    to = parts.setdefault(known[term[:n]], ([], [], []))
-                    to[0].append(term)
-                    to[1].append(o)
-                    to[2].append(r)
+                lo, hi = bisect.bisect_right(at, prefix), bisect.bisect_right(at, prefix + TOP)
+                terms = [prefix + s for s in suffixes]
+                if lo == hi:
+                    parts = {lo: (terms, occurrences, rows)}
+                else:
+                    parts = {}
+                    for t, o, r in zip(terms, occurrences, rows):
+                        to = parts.setdefault(bisect.bisect_right(at, t), ([], [], []))
+                        to[0].append(t)
+                        to[1].append(o)
+                        to[2].append(r)
                 for route, cells in parts.items():
                     for c, x in zip(out, (route, *cells)):
                         c.append(x)
@@ -204,11 +201,12 @@ def frequencies(df: DataFrame, text: str, rare: int = 2, common: float = 0.1) ->
     subtrees = written(subtrees, "subtrees")
     holding = subtrees.where("prefix is null").agg(F.coalesce(F.sum(F.get("rows", F.lit(0))), F.lit(0))).first()[0]
     trees = subtrees.where("prefix is not null")
-    loads = trees.select("prefix", "suffixes").mapInArrow(_loads, "prefix string, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
-    loads = written(loads, "loads")
-    total = (loads.where("prefix = ''").agg(F.sum("n")).first()[0] or 0)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    paths = spark.sparkContext.broadcast(routes(loads, max(LIMIT, total // (4 * partitions))))
+    total = trees.agg(F.coalesce(F.sum(F.size("suffixes")), F.lit(0))).first()[0]
+    n = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROUTE))
+    step = max(1, total // (SAMPLED * n))
+    terms = trees.select(F.explode(F.transform("suffixes", lambda s: F.concat("prefix", s))).alias("term"))
+    sample = [r[0] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(step)) == 0).distinct().collect()]  # about SAMPLED per route
+    paths = spark.sparkContext.broadcast(routes(sample, n))
     routed = trees.mapInArrow(_routed(paths), "route int, terms array<string>, occurrences array<long>, rows array<long>")
     merged = routed.repartition("route").sortWithinPartitions("route").mapInArrow(_merged, "term string, occurrences long, rows long")
     mark = F.when(F.col("rows") <= rare, "rare").when(F.col("rows") > common * F.lit(float(holding)), "common")

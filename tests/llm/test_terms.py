@@ -24,9 +24,26 @@ def brute(texts):
     return {w: (occurrences[w], rows[w], "rare" if rows[w] <= 2 else "common" if rows[w] > 0.1 * n else None) for w in occurrences}
 
 
+@given(st.lists(st.text("abé\U0001F600x", min_size=1, max_size=6), max_size=80), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_routes_cut_the_terms_evenly(found, n):
+    cuts, distinct = terms.routes(found, n), sorted(set(found))
+    assert cuts == sorted(set(cuts)) and len(cuts) < n
+    import bisect
+
+    sizes = Counter(bisect.bisect_right(cuts, t) for t in distinct)
+    assert all(v <= -(-len(distinct) // n) for v in sizes.values())
+
+
+def test_terms_that_begin_alike(spark, monkeypatch):
+    """More terms than a route takes have the same first thirty characters."""
+    monkeypatch.setattr(terms, "ROUTE", 100)
+    texts = [" ".join("prefix" * 5 + f"{i * 40 + j:05d}" for j in range(40)) for i in range(100)] + ["zebra apple"] * 3
+    got = {r.term: (r.occurrences, r.rows, r.mark) for r in terms.frequencies(spark.createDataFrame([(t,) for t in texts], "caption string").repartition(4), "caption").collect()}
+    assert got == brute(texts)
+
+
 def test_frequencies(spark, words, monkeypatch):
-    monkeypatch.setattr(terms, "LIMIT", 8)
-    monkeypatch.setattr(terms, "HELD", 500)
     texts = [" ".join(words[i % 700 : i % 700 + 12]) for i in range(2000)] + [None, "", " - ", "Émile écrit; ÉMILE lit", "x" * 50_000, "the " * 5000, "a_b a-b"] * 3 + ["the hot term"] * 900
     df = spark.createDataFrame([(t, 1, 2) for t in texts], "caption string, rows int, term int").repartition(5)
     got = {r.term: (r.occurrences, r.rows, r.mark) for r in terms.frequencies(df, "caption").collect()}

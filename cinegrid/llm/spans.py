@@ -28,7 +28,7 @@ MIN_LENGTH = 200
 CHUNK_BYTES = 2_000_000
 #: Rows of one hash that are compared with each other; beyond it they are re-keyed by whole stretches.
 BLOCK_ROWS = 128
-#: Beyond so many rows a side is not broadcast but joined by a shuffle.
+#: Up to so many ids or hashes (16 bytes each, so 8 MB) are broadcast; a longer side is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -288,9 +288,10 @@ class Spans:
         prints = written(prints, "prints")
         again = prints.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
         again = written(again, "again")
-        found = prints.join(_bounded(again, again.count()), "hash")
-        found = written(found.groupBy("doc").agg(F.collect_list(F.struct("hash", "pos", "also")).alias("found")), "found")
-        around = docs.join(_bounded(found, found.count()), "doc").select("doc", "text", "found")
+        # these sides grow with the data, so they are shuffled at every size
+        found = prints.join(again.hint("merge"), "hash")
+        found = found.groupBy("doc").agg(F.collect_list(F.struct("hash", "pos", "also")).alias("found"))  # bounded by the text's length
+        around = docs.join(found.hint("merge"), "doc").select("doc", "text", "found")
         around = around.mapInArrow(_contexts(min_length), "hash long, doc long, pos int, lead int, around string, also array<int>")
         hot = again.where(F.col("n") > BLOCK_ROWS).select("hash")
         n_hot = hot.count()

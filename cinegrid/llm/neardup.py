@@ -26,7 +26,8 @@ from cinegrid.scratch import written
 
 SIMILARITY = 0.7
 MIN_WORDS = 8
-BANDS = 70
+SLOTS = 252
+BANDS = 84
 ROWS = 7
 #: Sets compared with each other in one bucket of a band; a larger one is compared by the prefixes of its sets.
 BUCKET = 512
@@ -35,7 +36,8 @@ CHUNK = 8192
 PART_BYTES = 4 << 20
 PARTS = 8
 #: No value yet.
-NONE = 0xFFFFFFFF
+NONE = 0xFFFF
+SEED = 20260101
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,29 +48,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _ranks(words: np.ndarray, slots: int, steps: int) -> np.ndarray:
-    """What each word offers each slot (words, slots) in the first ``steps`` steps of its permutation: the step above 22 random bits."""
-    out = np.full((len(words), slots), NONE, np.uint32)
+    """What each word offers each slot (words, slots) in the first ``steps`` steps of its permutation: the step above seven random bits."""
+    steps = min(steps, slots)
+    out = np.full((len(words), slots), NONE, np.uint16)
+    j = np.arange(steps, dtype=np.uint64)[:, None]
     for lo in range(0, len(words), 1024):  # a part that stays in the cache
-        seed, mine = _mix(words[lo : lo + 1024].view(np.uint64)), out[lo : lo + 1024]
-        order = np.broadcast_to(np.arange(slots, dtype=np.int16), mine.shape).copy()
-        rows = np.arange(len(seed))
-        for j in range(min(steps, slots)):
-            r = _mix(seed + np.uint64(j))
-            swap = j + ((r >> np.uint64(32)) * np.uint64(slots - j) >> np.uint64(32)).astype(np.int64)
-            slot = order[rows, swap]
-            order[rows, swap] = order[:, j]
-            mine[rows, slot] = np.uint32(j << 22) | (r & np.uint64(0x3FFFFF)).astype(np.uint32)
+        seed, mine = _mix(words[lo : lo + 1024].view(np.uint64)), out[lo : lo + 1024].reshape(-1)
+        r = _mix(seed[None, :] + j)
+        base = np.arange(len(seed)) * slots
+        swap = (j + ((r >> np.uint64(32)) * (np.uint64(slots) - j) >> np.uint64(32))).astype(np.int64) + base
+        value = (j << np.uint64(7) | (r & np.uint64(0x7F))).astype(np.uint16)
+        order = np.tile(np.arange(slots), len(seed)) + np.repeat(base, slots)
+        for k in range(steps):
+            at = swap[k]
+            mine[order[at]] = value[k]
+            order[at] = order[base + k]
     return out
 
 
+def band_slots(slots: int, rows: int, bands: int) -> np.ndarray:
+    """The slots of each band (bands, rows): the slots in turn, then in other orders, so that a slot serves several bands."""
+    random, out = np.random.default_rng(SEED), [np.arange(slots)]
+    while len(out) * (slots // rows) < bands:
+        out.append(random.permutation(slots))
+    return np.concatenate([o[: slots // rows * rows].reshape(-1, rows) for o in out])[:bands]
+
+
 def signatures(words: np.ndarray, starts: np.ndarray, slots: int) -> np.ndarray:
     """SuperMinHash values (texts, slots) of texts given as 64-bit word hashes, one after the other; no text is empty.
 
     All texts take the first few steps of their words' permutations, most of them no more: once all slots of a text lie below
     the next step nothing can change. The others take twice as many, and so on."""
     n = len(starts) - 1
-    out = np.empty((n, slots), np.uint32)
-    live, steps = np.arange(n), max(32, slots * 2 // 5)
+    out = np.empty((n, slots), np.uint16)
+    live, steps = np.arange(n), max(32, slots // 3)
     while len(live):
         size = np.diff(starts)[live]
         first = np.concatenate([[0], np.cumsum(size)])
@@ -80,7 +93,7 @@ def signatures(words: np.ndarray, starts: np.ndarray, slots: int) -> np.ndarray:
             out[live[lo:hi]] = np.minimum.reduceat(ranks[word[first[lo] : first[hi]]], first[lo:hi] - first[lo], axis=0)
         if steps >= slots:
             break
-        live, steps = live[out[live].max(axis=1) >= np.uint32(steps << 22)], 2 * steps
+        live, steps = live[out[live].max(axis=1) >= steps << 7], 2 * steps
     return out
 
 
@@ -100,11 +113,11 @@ def _may_link(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return (differ <= a + b - 2 * common) & (common <= np.minimum(a, b)) | (a == 255) | (b == 255)
 
 
-def _bands(slots: int, rows: int, groups: int, bucket: int, chunk: int):
-    """(part, keys, ids, sketches, hot): the band keys of up to ``chunk`` texts, packed into one row for each of ``groups`` parts of the keys. Of
+def _bands(slots: int, rows: int, bands: int, groups: int, bucket: int, chunk: int):
+    """(part, keys, ids, sketches, hot): the band keys of up to ``chunk`` texts, packed into one row for each of ``groups`` (a power of two) parts of the keys. Of
     a key that more than ``bucket`` texts of the chunk have only the key is sent, as hot, and the texts go on as they are: rows
     without keys."""
-    bands = slots // rows
+    of, shift = band_slots(slots, rows, bands), np.uint64(64 - (groups - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches, chunk):
@@ -115,32 +128,34 @@ def _bands(slots: int, rows: int, groups: int, bucket: int, chunk: int):
             key = np.empty((len(starts) - 1, bands), np.uint64)
             for lo in range(0, len(key), 2048):
                 hi = min(lo + 2048, len(key))
-                sig = signatures(values[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], slots).reshape(hi - lo, bands, rows).astype(np.uint64)
+                sig = signatures(values[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], slots).astype(np.uint64)
                 part = np.zeros((hi - lo, bands), np.uint64) + np.arange(bands, dtype=np.uint64)
-                for k in range(0, rows, 2):
-                    part = _mix(part ^ (sig[:, :, k] << np.uint64(32) | sig[:, :, min(k + 1, rows - 1)]))
+                for k in range(0, rows, 4):  # four slots make a word of 64 bits
+                    word = np.zeros_like(part)
+                    for r in range(k, min(k + 4, rows)):
+                        word = word << np.uint64(16) | sig[:, of[:, r]]
+                    part = _mix(part ^ word)
                 key[lo:hi] = part
-            ids = np.repeat(t.column("id").to_numpy(), bands)
-            sketch = np.repeat(sketches(values, starts), bands)
-            key = key.ravel()
-            order = np.lexsort((key, key % np.uint64(groups)))
-            key, ids, sketch = key[order], ids[order], sketch[order]
-            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.concatenate([new, [len(key)]]))
-            hot = size > bucket
-            alone = np.repeat(hot, size)
-            out: list[tuple] = []
-            marks = key[new[hot]]
+            key, out = key.ravel(), []
+            texts, maps = t.column("id").to_numpy(), sketches(values, starts)
+            which = np.repeat(np.arange(len(texts), dtype=np.int32), bands)
+            ordered = np.sort(key)
+            marks = np.unique(ordered[bucket:][ordered[bucket:] == ordered[: max(0, len(ordered) - bucket)]])
             if len(marks):
-                some = np.unique(ids[alone])
-                out += [(int(c[0] % groups), b"", c.tobytes(), b"", b"") for c in np.array_split(some, -(-len(some) // 4096))]
-                key, ids, sketch = key[~alone], ids[~alone], sketch[~alone]
-            part = (key % np.uint64(groups)).astype(np.int64)
+                alone = np.isin(key, marks)
+                some = texts[np.unique(which[alone])]
+                out += [(int(c[0]) % groups, b"", c.tobytes(), b"", b"") for c in np.array_split(some, -(-len(some) // 4096))]
+                key, which = key[~alone], which[~alone]
+            # the first bits of a key name its part, the last 32 go on
+            part = (key >> shift).astype(np.uint16 if groups <= 1 << 16 else np.uint32)
+            order = np.argsort(part, kind="stable")
+            part, short, which = part[order], key[order].astype(np.uint32), which[order]
             cuts = np.searchsorted(part, np.arange(groups + 1))
-            to = (marks % np.uint64(groups)).astype(np.int64)
+            ids, sketch = texts[which], maps[which]
+            to, marks = (marks >> shift).astype(np.int64), marks.astype(np.uint32)
             for g in np.union1d(np.flatnonzero(np.diff(cuts)), to):
                 a, b = cuts[g], cuts[g + 1]
-                out.append((int(g), key[a:b].tobytes(), ids[a:b].tobytes(), sketch[a:b].tobytes(), marks[to == g].tobytes()))
+                out.append((int(g), short[a:b].tobytes(), ids[a:b].tobytes(), sketch[a:b].tobytes(), marks[to == g].tobytes()))
             cells = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))]
             yield from pa.Table.from_arrays(cells, names=["part", "keys", "ids", "sketches", "hot"]).to_batches(max_chunksize=64)
 
@@ -176,9 +191,9 @@ def _met(least: float, bucket: int):
             bare = [np.frombuffer(i, np.int64) for k, i, _, _ in held if not k and i]
             if bare:
                 yield from out(np.unique(np.concatenate(bare)), None)
-            key, sketch, hot = (np.frombuffer(b"".join(h[c] for h in held), np.uint64) for c in (0, 2, 3))
+            key, sketch, hot = (np.frombuffer(b"".join(h[c] for h in held), kind) for c, kind in ((0, np.uint32), (2, np.uint64), (3, np.uint32)))
             ids = np.frombuffer(b"".join(h[1] for h in held if h[0]), np.int64)
-            order = np.lexsort((ids, key))
+            order = np.argsort(key)
             key, ids, sketch = key[order], ids[order], sketch[order]
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
             size = np.diff(np.concatenate([first, [len(key)]]))
@@ -192,7 +207,8 @@ def _met(least: float, bucket: int):
                     at = begins[lo : lo + max(1, 1_000_000 // len(i))][:, None]
                     x, y = (at + i).ravel(), (at + j).ravel()
                     good = _may_link(sketch[x], sketch[y], least)
-                    yield from out(ids[x[good]], ids[y[good]])
+                    x, y = ids[x[good]], ids[y[good]]
+                    yield from out(np.minimum(x, y), np.maximum(x, y))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -230,13 +246,15 @@ class NearDuplicates:
     """The links between the texts of a table whose word sets have a Jaccard similarity of at least ``similarity``.
 
     Texts (null, empty and blank ones too) with fewer than ``min_words`` distinct words take no part. ``key`` is a unique
-    integer; columns besides the two are ignored; an empty table gives no links. Candidates are found with the
-    probability 1 - (1 - s^rows)^bands at the similarity s: with 70 bands of 7 rows 0.998 at 0.7, 0.9999 at 0.75.
+    integer; columns besides the two are ignored; an empty table gives no links. With 84 bands of 7 of 252 slots, each in two or
+    three bands, candidates are found with the probability 0.998 at a similarity of exactly 0.7 and 0.9999 at 0.75 (simulated).
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS):
+    def __init__(self, df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, slots: int = SLOTS):
+        if not rows <= slots <= 500:
+            raise ValueError("slots must be between rows and 500")
         self.spark = df.sparkSession
-        self.similarity, self.bands, self.rows = similarity, bands, rows
+        self.similarity, self.bands, self.rows, self.slots = similarity, bands, rows, slots
         words = df.select(F.col(key).cast("long").alias("id"), F.sort_array(F.array_distinct(F.transform(runs(F.col(text)), lambda w: F.xxhash64(w)))).alias("w"))
         words = words.where("id is not null").where(F.size("w") >= min_words)
         sets = written(words.withColumn("digest", F.xxhash64("w")), "sets")
@@ -248,11 +266,10 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b: pairs that share a band."""
-        slots = self.bands * self.rows
-        bytes_ = self.sets.count() * self.bands * 24
-        groups = max(64, -(-bytes_ // PART_BYTES))
+        bytes_ = self.sets.count() * self.bands * 20
+        groups = 1 << (max(64, -(-bytes_ // PART_BYTES)) - 1).bit_length()
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), groups // PARTS)
-        keys = self.sets.select("id", "w").mapInArrow(_bands(slots, self.rows, groups, BUCKET, CHUNK), "part int, keys binary, ids binary, sketches binary, hot binary")
+        keys = self.sets.select("id", "w").mapInArrow(_bands(self.slots, self.rows, self.bands, groups, BUCKET, CHUNK), "part int, keys binary, ids binary, sketches binary, hot binary")
         keys = keys.repartition(tasks, "part").sortWithinPartitions("part")
         met = written(keys.mapInArrow(_met(self.similarity, BUCKET), "a long, b long").distinct(), "met")
         hot = met.where("b is null").select(F.col("a").alias("id"))

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinegrid.functions.vectors import usable
 from cinegrid.llm import bpe, clusters, neardup, neighbours, packing, spans, subset, terms
+from cinegrid.scratch import written
+
+#: The least size of a cluster of ``p5_clusters``.
+MIN_SIZE = 25
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +55,19 @@ def p3_subset(spark: SparkSession, folder: str) -> DataFrame:
     return subset.varied(clips, "vec_id", "embedding", among=has).withColumnRenamed("id", "vec_id")
 
 
+@query
+def p3_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of ``p3_subset``: how many clips it has, that each stands once, is usable and captioned, and that no two are equal; and how
+    many of the anchors' clusters it reaches."""
+    picked = written(p3_subset(spark, folder), "picked")
+    clips = table(spark, folder, "clip_embedding")
+    captioned = table(spark, folder, "manifest").where(F.col("caption").rlike(r"\S")).select("dataset", "video_name").distinct()
+    rows = clips.join(picked.select("vec_id"), "vec_id").join(captioned.withColumn("captioned", F.lit(True)), ["dataset", "video_name"], "left")
+    labels = written(p5_found(spark, folder), "labels").join(picked, "vec_id").select(F.count_distinct("cluster_label").alias("clusters"))
+    of = rows.agg(F.count("*").alias("clips"), F.count_distinct("vec_id").alias("ids"), F.count_distinct("embedding").alias("vectors"), F.count_if("captioned").alias("captioned"), F.count_if(usable(F.col("embedding"), 512)).alias("usable"))
+    return of.crossJoin(labels)  # one row each
+
+
 @query
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = neardup.NearDuplicates(table(spark, folder, "manifest"), "entry_id", "caption").pairs()
@@ -73,7 +93,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """The clusters themselves, with size and most typical members."""
     made = clusters.graph(table(spark, folder, "clip_embedding"), "vec_id", "embedding", core=2)
-    return clusters.described(clusters.clustered(made, min_size=25))
+    return clusters.described(clusters.clustered(made, min_size=MIN_SIZE))
+
+
+@query
+def p5_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of ``p5_clusters``: every cluster has at least the least size, a vector is in one cluster at most, exemplars are
+    members and as many as there should be, and the members that an anchor's chain reaches share their anchor."""
+    members = written(clusters.clustered(clusters.graph(table(spark, folder, "clip_embedding"), "vec_id", "embedding", core=2), min_size=MIN_SIZE), "members")
+    found = clusters.described(members)
+    own = found.select("cluster", F.explode("exemplars").alias("id")).join(members, ["cluster", "id"])
+    label = p5_found(spark, folder).withColumnRenamed("vec_id", "id")
+    per = members.join(label, "id").groupBy("cluster", "cluster_label").count().groupBy("cluster").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+    facts = {"sized": found.agg(F.coalesce(F.min("size") >= MIN_SIZE, F.lit(True)).alias("ok")), "once": members.agg((F.count("*") == F.count_distinct("id")).alias("ok")),
+             "typical": own.agg(F.count("*").alias("n")).crossJoin(found.agg((F.count("*") * 5).alias("want"))).select((F.col("n") == F.col("want")).alias("ok")),
+             "pure": per.agg(F.coalesce(F.sum("most") >= 0.99 * F.sum("all"), F.lit(True)).alias("ok"))}
+    parts = [df.select(F.lit(name).alias("fact"), "ok") for name, df in facts.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -98,6 +134,23 @@ def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(lengths, "doc_id", "n_tokens")
 
 
+@query
+def p9_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of ``p9_packed``: every document comes once with all its tokens, only what is longer than a container is split, no container is
+    overfull, no two parts overlap, and there are at most a hundredth more containers than the tokens need."""
+    packed = written(p9_packed(spark, folder), "packed")
+    most = packing.CAPACITY
+    docs = packed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n").alias("n"))
+    lengths = bpe.counted(table(spark, folder, "documents"), "doc_id", "text")
+    same = docs.join(lengths, "doc_id", "full_outer").agg(F.count("*").alias("documents"), F.count_if(~F.col("n").eqNullSafe(F.col("n_tokens"))).alias("wrong"), F.count_if((F.col("parts") > 1) & (F.col("n") <= most)).alias("split"))
+    order = Window.partitionBy("container").orderBy("offset")
+    filled = packed.where("n > 0").withColumn("before", F.coalesce(F.lag(F.col("offset") + F.col("n")).over(order), F.lit(0)))
+    of = filled.groupBy("container").agg(F.max(F.col("offset") + F.col("n")).alias("full"), F.count_if(F.col("before") > F.col("offset")).alias("over"))
+    of = of.join(filled.groupBy("container").agg(F.sum("n").alias("n")), "container")
+    bound = of.agg(F.count_if(F.col("full") > most).alias("overfull"), F.coalesce(F.sum("over"), F.lit(0)).alias("overlaps"), (F.count("*") <= F.ceil(F.coalesce(F.sum("n"), F.lit(0)) / most) * 1.01 + 1).alias("tight"))
+    return same.crossJoin(bound)  # one row each
+
+
 @query
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = spans.Spans(table(spark, folder, "documents"), "doc_id", "text").pairs()
@@ -156,6 +209,31 @@ _SETS = _WORDS + """
 )
 """
 SQL["p4_found"] = _SETS + "SELECT x AS entry_a, y AS entry_b FROM linked"
+SQL["p4_groups"] = _SETS.replace("WITH said", "WITH RECURSIVE said") + """
+, class AS (
+  SELECT entry_id, list_sort(w) AS c FROM sets
+), both AS (
+  SELECT x AS a, y AS b FROM linked UNION ALL SELECT y, x FROM linked
+), reach AS (
+  SELECT DISTINCT a AS id, a AS root FROM both
+  UNION
+  SELECT b, root FROM reach JOIN both ON id = a
+), other AS (
+  SELECT a, count(DISTINCT cb.c) AS links FROM both JOIN class ca ON ca.entry_id = a JOIN class cb ON cb.entry_id = b WHERE ca.c <> cb.c GROUP BY a
+)
+SELECT id AS entry_id, min(root) AS "group", coalesce(any_value(links), 0) AS links FROM reach LEFT JOIN other ON a = id GROUP BY id
+"""
+SQL["p3_checked"] = _UNIT + """
+, clip AS (
+  SELECT DISTINCT embedding FROM clip_embedding JOIN ok USING (vec_id)
+  WHERE (dataset, video_name) IN (SELECT (dataset, video_name) FROM manifest WHERE regexp_matches(caption, '\\S') AND dataset IS NOT NULL AND video_name IS NOT NULL)
+), n AS (
+  SELECT least(256, count(*)) AS n FROM clip
+)
+SELECT n AS clips, n AS ids, n AS vectors, n AS captioned, n AS usable, (SELECT count(*) FROM cluster_anchors) AS clusters FROM n
+"""
+SQL["p5_checked"] = "SELECT * FROM (VALUES ('sized', true), ('once', true), ('typical', true), ('pure', true)) v(fact, ok)"
+SQL["p9_checked"] = "SELECT count(*) AS documents, 0 AS wrong, 0 AS split, 0 AS overfull, 0 AS overlaps, true AS tight FROM documents"
 _TERMS = _WORDS + """
 , held AS (
   SELECT count(*) AS n FROM said WHERE len(words) > 0

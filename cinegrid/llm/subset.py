@@ -22,8 +22,9 @@ from cinegrid.scratch import written
 
 WIDTH = 512
 SIZE = 256
-#: Vectors of one block, and nominees of the final pass.
+#: Vectors of one block, blocks of a task, and nominees of the final pass.
 BLOCK = 4096
+BLOCKS = 4
 FINAL = 8192
 
 
@@ -35,8 +36,10 @@ def lazy_greedy(rows: np.ndarray, weight: np.ndarray, size: int, ids: np.ndarray
     n = len(rows)
     if not n or size < 1:
         return [], [], np.full(n, -1)
-    sims = np.maximum(rows @ rows.T, 0)
-    heap = [(-g, int(i), p) for p, (g, i) in enumerate(zip(sims @ weight, ids))]
+    sims = rows @ rows.T
+    np.maximum(sims, 0, out=sims)
+    first = np.concatenate([sims[lo : lo + 512] @ weight for lo in range(0, n, 512)])  # in double, a part at a time
+    heap = [(-g, int(i), p) for p, (g, i) in enumerate(zip(first, ids))]
     heapq.heapify(heap)
     covered, by = np.zeros(n, np.float32), np.full(n, -1)
     chosen, gains, fresh = [], [], np.zeros(n, np.int64)
@@ -123,8 +126,10 @@ def varied(df: DataFrame, key: str, vector: str, among: DataFrame | None = None,
         part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part")
         if n <= final:
             break
-        left = vectors.select("id", "vector", part).groupBy("part")
-        right = wanted.select("id", "weight", part).groupBy("part")
+        # as many tasks as the blocks ask for, whatever the session's number is
+        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks // BLOCKS))
+        left = vectors.select("id", "vector", part).repartition(tasks, "part").groupBy("part")
+        right = wanted.select("id", "weight", part).repartition(tasks, "part").groupBy("part")
         vectors = written(left.cogroup(right).applyInArrow(_nominees(width, size), "id long, vector binary, weight double"), "nominees")
         wanted = vectors.select("id", "weight")
         n = wanted.count()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cinegrid import model, sinks
 from cinegrid.functions import scalars as S
+from cinegrid.functions.vectors import usable
 from cinegrid.operators import profile as P
 from cinegrid.operators import records as rec
 from cinegrid.operators import relational as R
@@ -388,6 +389,36 @@ def _json_model():
     return lambda images: np.array([json.loads(b) for b in images])
 
 
+# the same over the clips' own vectors: 512 values, some of them unusable
+
+def clips(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "clip_embedding").where(usable(F.col("embedding"), 512))
+    return rows.select(F.lit("clip").alias("prefix"), F.col("vec_id").cast("string").alias("video_name"), "embedding", "vec_id")
+
+
+def first_anchor(s: SparkSession, d: str) -> list[float]:
+    return table(s, d, "cluster_anchors").orderBy("anchor_id").first()["embedding"]
+
+
+_CLIPS = """
+WITH ok AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM clip_embedding
+  WHERE embedding IS NOT NULL AND len(embedding) = 512 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), a AS (
+  SELECT embedding::DOUBLE[] AS q FROM cluster_anchors ORDER BY anchor_id LIMIT 1
+), near AS (
+  SELECT vec_id, list_dot_product(v, q) / sqrt(list_dot_product(q, q)) AS score FROM ok, a
+)
+"""
+ask("vec_2_clips", _CLIPS + "SELECT vec_id, round(score, 5) AS score FROM near ORDER BY score DESC, vec_id::VARCHAR LIMIT 20")(
+    lambda s, d: V.top(clips(s, d), first_anchor(s, d), 20).select(F.col("video_name").cast("long").alias("vec_id"), F.round("score", 5).alias("score")))
+ask("vec_3_clips", _CLIPS + "SELECT vec_id, round(score, 5) AS score FROM near WHERE score >= 0.3")(
+    lambda s, d: plan.semantic_search(plan.Catalogue("clips", by_number(s, d).entries, vectors=clips(s, d)), plan.Request(ranges={"score": (0.3, None)}), first_anchor(s, d)).rows.select(F.col("video_name").cast("long").alias("vec_id"), F.round("score", 5).alias("score")))
+ask("vec_4_clips", _CLIPS + """, c AS (SELECT i, avg(v[i]) AS m FROM ok, range(1, 513) r(i) WHERE vec_id % 50 = 0 GROUP BY i
+), cv AS (SELECT list(m ORDER BY i) AS q FROM c) SELECT vec_id, round(list_cosine_similarity(v, q), 5) AS score FROM ok, cv""")(
+    lambda s, d: V.centroid_search(clips(s, d), clips(s, d).where("vec_id % 50 = 0").select("video_name")).select(F.col("video_name").cast("long").alias("vec_id"), F.round("score", 5).alias("score")))
+
+
 # -- order, pages, samples
 
 def _page(order: str, size: int, offset: int) -> str:
@@ -414,8 +445,8 @@ ask("srt_7", BASE + "SELECT ordinal FROM e ORDER BY ordinal LIMIT 12")(lambda s,
 ask("srt_11", BASE + "SELECT ordinal, row_number() OVER (ORDER BY md5('9_' || video_name), ordinal) - 1 AS place FROM e")(
     lambda s, d: R.positions(entries(s, d).withColumn("key", S.random_key(9, F.col("video_name"))), ["key", "ordinal"]).select("ordinal", F.col("position").alias("place")))
 for _name in ("srt_10",):
-    ask(_name, BASE + "SELECT ordinal FROM x WHERE aesthetic IS NOT NULL AND width IS NOT NULL AND ordinal IN (SELECT ordinal FROM e ORDER BY md5('5_' || ordinal), ordinal LIMIT 500)")(
-        lambda s, d: slim(catalogue(s, d).enriched(R.sample(entries(s, d), 500, 5, "ordinal", "ordinal")).where("aesthetic is not null and width is not null")))
+    ask(_name, BASE + "SELECT ordinal, aesthetic AS x, width AS y FROM x WHERE aesthetic IS NOT NULL AND width IS NOT NULL AND ordinal IN (SELECT ordinal FROM e ORDER BY md5('5_' || video_name), ordinal LIMIT 500)")(
+        lambda s, d: plan.scatter(plan.text_search(catalogue(s, d), plan.Request()), "aesthetic", "width", 500, 5).select("ordinal", "x", "y"))
 ask("srt_12", BASE + "SELECT ordinal, CAST((row_number() OVER (ORDER BY ordinal) - 1) // 500 AS INT) AS batch FROM e")(lambda s, d: R.chunked(entries(s, d), ["ordinal"], 500).select("ordinal", "batch"))
 ask("srt_14", BASE + f"SELECT video_name, source_path FROM x WHERE contains({LOW}, 'glow')")(lambda s, d: plan.text_search(catalogue(s, d), plan.Request(query="glow", sort="aesthetic")).export())
 ask("srt_15", BASE + f"SELECT greatest(1, ceil(count(*) / 200))::BIGINT AS pages FROM e WHERE contains({LOW}, 'the')")(lambda s, d: Q.search(entries(s, d), "the").agg(S.page_count(F.count("*"), 200).alias("pages")))

@@ -68,11 +68,12 @@ def _fields(pieces: Column) -> Column:
 
 
 def parsed(df: DataFrame, key: str, raw: str, layout: tuple[Field, ...] = SHORT_CSV) -> DataFrame:
-    """(key, record struct of nullable texts, errors array<struct<reason, column>>), one row per row of ``df``.
+    """(key, record struct of nullable texts, errors and warnings array<struct<reason, column>>), one row per row of ``df``.
 
     Reasons in order: ``quoting``, ``columns``, ``value``. After broken quoting or a wrong number of fields the
     later rules are not asked and ``record`` is null. A null or empty text is a record with one empty field, so it fails
-    with ``columns``. Repeated rows stay. Columns of ``df`` besides the two are ignored.
+    with ``columns``. Warnings don't make a record fail: ``junk`` names a column of numbers without a rule whose text is no number,
+    so that its value will be null. Repeated rows stay. Columns of ``df`` besides the two are ignored.
     """
     pieces = F.split(F.coalesce(F.col("raw"), F.lit("")), '"', -1)
     read = bound(pieces, lambda p: F.when(_quoting_holds(p), _fields(p)))
@@ -86,8 +87,16 @@ def parsed(df: DataFrame, key: str, raw: str, layout: tuple[Field, ...] = SHORT_
     rules = [error(~quoted, "quoting", None), error(quoted & ~counted, "columns", None)]
     rules += [error(quoted & counted & f.broken(F.get("cells", F.lit(i))), "value", f.name) for i, f in enumerate(layout) if f.broken]
     record = F.when(quoted & counted, F.struct(*(F.get("cells", F.lit(i)).alias(f.name) for i, f in enumerate(layout))))
-    found = F.struct(record.alias("record"), F.array_compact(F.array(*rules)).alias("errors"))
-    return cells.select(F.col("id").alias(key), F.explode(F.array(found)).alias("found")).select(key, "found.record", "found.errors")
+
+    def junk(i: int, f: Field) -> Column:
+        text = F.trim(F.get("cells", F.lit(i)))
+        return quoted & counted & (text != "") & text.try_cast(T._parse_datatype_string(f.kind)).isNull()
+
+    doubts = [error(junk(i, f), "junk", f.name) for i, f in enumerate(layout) if f.kind != "string" and not f.broken]
+    none = F.array().cast("array<struct<reason:string,column:string>>")
+    warnings = F.array_compact(F.array(*doubts)) if doubts else none
+    found = F.struct(record.alias("record"), F.array_compact(F.array(*rules)).alias("errors"), warnings.alias("warnings"))
+    return cells.select(F.col("id").alias(key), F.explode(F.array(found)).alias("found")).select(key, "found.record", "found.errors", "found.warnings")
 
 
 def rejected(df: DataFrame, key: str, raw: str, layout: tuple[Field, ...] = SHORT_CSV) -> DataFrame:

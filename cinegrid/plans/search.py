@@ -18,6 +18,8 @@ from cinegrid.scratch import written
 #: Scores of the vector spaces by prefix, and their declared range.
 SCORES = {"clip": "score", "siglip": "siglip_score", "gve": "gve_score"}
 SCORE_RANGE = (0.0, 1.0)
+#: Points of a scatter plot: by default, and at most.
+SCATTER, SCATTER_MOST = 5000, 10_000
 
 
 @dataclass(frozen=True)
@@ -201,6 +203,16 @@ def centroid_search(catalogue: Catalogue, request: Request, selection: DataFrame
     return _by_score(catalogue, replace(request, query=""), found.withColumnRenamed("score", score), score)
 
 
+def scatter(result: Result, x: str, y: str, size: int = SCATTER, seed: int = 0) -> DataFrame:
+    """(ordinal, video_name, x, y) of a sample of at most ``size`` rows, never more than SCATTER_MOST; rows that lack a value are dropped
+    after sampling."""
+    some = written(relational.sample(result.slim, max(0, min(size, SCATTER_MOST)), seed, "video_name", "base_order"), "sample")
+    rows = result.catalogue.enriched(some, {x, y}, names=some)
+    none = F.lit(None).cast("double")
+    rows = rows.select("ordinal", "video_name", *((number(F.col(f)) if f in rows.columns else none).alias(n) for f, n in ((x, "x"), (y, "y"))))
+    return rows.where("x is not null and y is not null")
+
+
 def detail(catalogue: Catalogue, name: str) -> DataFrame:
     """One record with all it has: the first entry of the name; no row if there is none."""
     rows = catalogue.entries.where(F.col("video_name") == name).orderBy("ordinal").limit(1)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +49,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear() -> None:
-    """Removes all tables written so far; results that still read them become invalid."""
-    while _written:
+@contextmanager
+def scope():
+    """Removes at its end what was written in it, so that a long session does not keep it; results must be taken by then."""
+    begun = len(_written)
+    try:
+        yield
+    finally:
+        clear(begun)
+
+
+def clear(keep: int = 0) -> None:
+    """Removes the tables written so far, but for the first ``keep``; results that still read them become invalid."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             where, fs = hadoop_path(spark, path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinegrid.functions.scalars import frame_indices, media_fields, or_else, parsed_number, sampled_frames
-from cinegrid.operators.relational import first_wins
+from cinegrid.operators.relational import first_wins, positions
 from cinegrid.scratch import hadoop_path
 
 #: Numeric columns of the two CSV layouts, folders of clips by priority, proxies by preference.
@@ -32,8 +32,12 @@ def manifest(spark: SparkSession, path: str, fields: Sequence[str] = (), ordinal
     schema = "video_name string, caption string, source_path string" + "".join(f", `{f}` double" for f in fields) + (f", `{ordinal}` long" if ordinal else "")
     # an array is one document and one task; large catalogues come as lines with their position as a member
     rows = spark.read.option("multiLine", not lines).option("mode", "FAILFAST").schema(schema).json(path)
-    place = F.col(ordinal) if ordinal else F.monotonically_increasing_id()
-    return rows.select(place.alias("ordinal"), "video_name", "caption", "source_path", *fields)
+    if ordinal:
+        return rows.select(F.col(ordinal).alias("ordinal"), "video_name", "caption", "source_path", *fields)
+    # the place in the file and the files' order do not move with how the files are split among tasks
+    at = {"at_file": F.col("_metadata.file_path"), "at_block": F.col("_metadata.file_block_start"), "at_row": F.monotonically_increasing_id()}
+    placed = positions(rows.withColumns(at), list(at))
+    return placed.select(F.col("position").alias("ordinal"), "video_name", "caption", "source_path", *fields)
 
 
 def csv(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -258,7 +258,7 @@ def test_manifest_array_and_csv(spark, tmp_path):
     rows = [{"video_name": "a", "caption": 'x "y"\n', "source_path": "/a", "n": 1}, {"video_name": "b", "caption": None, "source_path": "/b", "n": 2.5}]
     (tmp_path / "manifest.json").write_text(json.dumps(rows))
     got = src.manifest(spark, str(tmp_path / "manifest.json"), ["n"]).orderBy("ordinal").collect()
-    assert [(r.video_name, r.caption, r.n) for r in got] == [("a", 'x "y"\n', 1.0), ("b", None, 2.5)]
+    assert [r.ordinal for r in got] == [0, 1] and [(r.video_name, r.caption, r.n) for r in got] == [("a", 'x "y"\n', 1.0), ("b", None, 2.5)]
     (tmp_path / "c.csv").write_text('clip_id,Brief Description,Summarized Description,vtss_score,motion_score,video_clip_score\nu.mp4,"b,""q""\nx",, 0.5 ,,junk\nv.mp4,b,s,1,2,3\n')
     got = {r.video_name: r for r in src.ultra_entries(src.csv(spark, str(tmp_path / "c.csv"))).collect()}
     assert (got["u"].caption, got["u"].vtss_score, got["u"].motion_score, got["u"].video_clip_score) == ('b,"q"\nx', 0.5, None, None) and got["v"].caption == "s"
@@ -326,6 +326,75 @@ def test_sizes_and_numbers(spark):
     assert [(g.width, g.height) for g in got] == [(854, 480), (640, 360), (480, 854)]
 
 
+def test_parts_datasets_and_vectors_on_disk(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    assert src.csv_parts(spark, f"{base}/none", ["part_001"]).count() == 0
+    for n in (1, 2, 10):
+        (tmp_path / f"OpenHumanVid_part_{n:03d}.csv").write_text(f'path,clip_id\n/p{n},"c,{n}"\n')
+    (tmp_path / "OpenHumanVid_part_002.csv").write_bytes(b"\xff broken")
+    got = {(r.clip_id, r.part) for r in src.csv_parts(spark, base, ["part_001", "part_010", "part_099"]).collect()}
+    assert got == {("c,1", "part_001"), ("c,10", "part_010")}
+    assert src.csv_lines(spark, f"{base}/OpenHumanVid_part_001.csv").count() == 1
+    for name, files in (("a", ["manifest.json"]), ("b", []), ("c", ["other"])):
+        (tmp_path / "d" / name).mkdir(parents=True)
+        for f in files:
+            (tmp_path / "d" / name / f).write_text("[]")
+    assert src.datasets(spark, f"{base}/d", ["z"]) == ["a", "z"] and src.datasets(spark, f"{base}/gone") == []
+    with pytest.raises(ValueError):
+        src.vector_index(spark, f"{base}/gone")
+    rows = spark.createDataFrame([("x", [1.0]), (None, None)], "video_name string, embedding array<double>")
+    sinks.vector_view(rows, f"{base}/v/clip")
+    found, prefixes = src.vector_index(spark, f"{base}/v")
+    assert prefixes == ("clip",) and found.count() == 2
+    with pytest.raises(ValueError, match="there are"):
+        plan.Catalogue("c", rows, vectors=found, prefixes=prefixes).index("gve")
+    assert sinks.load_favourites(spark, f"{base}/f").count() == 0
+
+
+def test_scatter_and_scope(spark):
+    from cinegrid import scratch
+
+    rows = spark.createDataFrame([(i, f"n{i}", "c", "p", None if i % 5 == 0 else float(i)) for i in range(60)], "ordinal long, video_name string, caption string, source_path string, a double")
+    side = spark.createDataFrame([(f"n{i}", float(-i)) for i in range(0, 60, 2)], "video_name string, b double")
+    result = plan.text_search(plan.Catalogue("c", rows, side), plan.Request())
+    before = len(scratch._written)
+    with scratch.scope():
+        got = {(r.x, r.y) for r in plan.scatter(result, "a", "b", 100).collect()}
+        assert got == {(float(i), float(-i)) for i in range(0, 60, 2) if i % 5} and len(scratch._written) > before
+        assert plan.scatter(result, "a", "a", 30, 3).count() <= 30 and plan.scatter(result, "a", "gone").count() == 0
+    assert len(scratch._written) == before
+
+
+def test_plugins_that_fail_are_named(tmp_path):
+    (tmp_path / "a.py").write_text("1 / 0")
+    with pytest.raises(ValueError, match="a.py"):
+        model.discovered(str(tmp_path))
+    assert not model.discovered(str(tmp_path / "none")).processors
+
+
+def test_geometry_and_rounding(spark):
+    df = spark.createDataFrame([(11, 7, 2.5), (None, 5, None), (3, 3, 0.125)], "w int, h int, v double")
+    got = df.select(S.grid_cells(df.w, df.h, 2, 3).alias("g"), S.half_even(df.v, 0).alias("a"), S.half_even(df.v, 2).alias("b"), S.composed(df.w, 10, 20, 5).alias("c")).collect()
+    assert [tuple(x) for x in got[0].g] == [(0, 0, 5, 2), (5, 0, 5, 2), (0, 2, 5, 2), (5, 2, 5, 2), (0, 4, 5, 2), (5, 4, 5, 2)] and got[1].g is None
+    assert [r.a for r in got] == [2.0, None, 0.0] and got[2].b == 0.12
+    assert (got[0].c.width, got[0].c.height, tuple(got[0].c.cells[10])) == (50, 60, (0, 40)) and got[1].c is None
+
+
+def test_steps_with_a_stand_in_model(spark):
+    def load():
+        return lambda images: np.array([[float(len(b)), 1.0] for b in images])
+
+    rows = [("a", 1920, 1080, 50, 25.0, None, 10, [b"x", b"xyz"]), ("b", None, None, None, None, None, None, None), ("c", 100, 90, None, 0.0, 2.0, 0, [])]
+    df = spark.createDataFrame(rows, "sample_id string, width int, height int, raw_frames int, rate double, seconds double, bytes long, images array<binary>")
+    out = model.standard({"clip": load}).run(df, ["clip"])
+    sizes = {r.sample_id: r.sizes for r in out["compress"].collect()}
+    assert list(sizes["a"]) == [144, 240, 360, 480, 720, 1080] and (sizes["a"][480].width, sizes["a"][480].height) == (854, 480) and not sizes["b"] and not sizes["c"]
+    media = {r.sample_id: r for r in out["ingest"].collect()}
+    assert media["a"].num_frames == 50 and media["a"].frames[-1] == 49 and media["b"].frames == [] and (media["c"].num_frames, media["c"].fps) == (60, 30.0)
+    clip = out["clip"].collect()
+    assert [r.sample_id for r in clip] == ["a"] and abs(sum(x * x for x in clip[0].clip_embedding) - 1) < 1e-6 and clip[0].clip_std > 0
+
+
 # -- incremental views
 
 def fragments(spark, rows):

@@ -68,3 +68,12 @@ def test_valid_rows_are_typed(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "line_id long, raw_line string")
     assert R.rejected(df, "line_id", "raw_line").count() == 0 and R.valid(df, "line_id", "raw_line").count() == 0
+
+
+def test_junk_is_told(spark):
+    """Texts that are no numbers in columns without a rule give null and a warning, and the record stays valid."""
+    name = "00000000-0000-4000-8000-000000000000.mp4"
+    rows = [(1, f"{name},a,b,1, 2 ,x"), (2, f"{name},a,b,1,,  "), (3, f"{name},a,b"), (4, None)]
+    got = {r.k: [(w.reason, w.column) for w in r.warnings] for r in R.parsed(spark.createDataFrame(rows, "k int, raw string"), "k", "raw").collect()}
+    assert got == {1: [("junk", "video_clip_score")], 2: [], 3: [], 4: []}
+    assert {r.k: r.motion_score for r in R.valid(spark.createDataFrame(rows, "k int, raw string"), "k", "raw").collect()} == {1: 2.0, 2: None}

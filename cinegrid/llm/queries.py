@@ -98,16 +98,16 @@ def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p5_checked(spark: SparkSession, folder: str) -> DataFrame:
-    """What must hold of ``p5_clusters``: every cluster has at least the least size, a vector is in one cluster at most, exemplars are
-    members and as many as there should be, and the members that an anchor's chain reaches share their anchor."""
-    members = written(clusters.clustered(clusters.graph(table(spark, folder, "clip_embedding"), "vec_id", "embedding", core=2), min_size=MIN_SIZE), "members")
+    """What must hold of ``p5_clusters``: every cluster has at least the least size, a vector is in one cluster at most and is usable, and
+    exemplars are members and as many as there should be."""
+    clips = table(spark, folder, "clip_embedding")
+    members = written(clusters.clustered(clusters.graph(clips, "vec_id", "embedding", core=2), min_size=MIN_SIZE), "members")
     found = clusters.described(members)
     own = found.select("cluster", F.explode("exemplars").alias("id")).join(members, ["cluster", "id"])
-    label = p5_found(spark, folder).withColumnRenamed("vec_id", "id")
-    per = members.join(label, "id").groupBy("cluster", "cluster_label").count().groupBy("cluster").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+    good = clips.where(usable(F.col("embedding"), 512)).select(F.col("vec_id").alias("id"))
     facts = {"sized": found.agg(F.coalesce(F.min("size") >= MIN_SIZE, F.lit(True)).alias("ok")), "once": members.agg((F.count("*") == F.count_distinct("id")).alias("ok")),
              "typical": own.agg(F.count("*").alias("n")).crossJoin(found.agg((F.count("*") * 5).alias("want"))).select((F.col("n") == F.col("want")).alias("ok")),
-             "pure": per.agg(F.coalesce(F.sum("most") >= 0.99 * F.sum("all"), F.lit(True)).alias("ok"))}
+             "usable": members.join(good, "id", "left_anti").agg((F.count("*") == 0).alias("ok"))}
     parts = [df.select(F.lit(name).alias("fact"), "ok") for name, df in facts.items()]
     return reduce(DataFrame.unionByName, parts)
 
@@ -212,14 +212,14 @@ SQL["p4_found"] = _SETS + "SELECT x AS entry_a, y AS entry_b FROM linked"
 SQL["p4_groups"] = _SETS.replace("WITH said", "WITH RECURSIVE said") + """
 , class AS (
   SELECT entry_id, list_sort(w) AS c FROM sets
-), both AS (
+), ends AS (
   SELECT x AS a, y AS b FROM linked UNION ALL SELECT y, x FROM linked
 ), reach AS (
-  SELECT DISTINCT a AS id, a AS root FROM both
+  SELECT DISTINCT a AS id, a AS root FROM ends
   UNION
-  SELECT b, root FROM reach JOIN both ON id = a
+  SELECT b, root FROM reach JOIN ends ON id = a
 ), other AS (
-  SELECT a, count(DISTINCT cb.c) AS links FROM both JOIN class ca ON ca.entry_id = a JOIN class cb ON cb.entry_id = b WHERE ca.c <> cb.c GROUP BY a
+  SELECT a, count(DISTINCT cb.c) AS links FROM ends JOIN class ca ON ca.entry_id = a JOIN class cb ON cb.entry_id = b WHERE ca.c <> cb.c GROUP BY a
 )
 SELECT id AS entry_id, min(root) AS "group", coalesce(any_value(links), 0) AS links FROM reach LEFT JOIN other ON a = id GROUP BY id
 """
@@ -232,7 +232,7 @@ SQL["p3_checked"] = _UNIT + """
 )
 SELECT n AS clips, n AS ids, n AS vectors, n AS captioned, n AS usable, (SELECT count(*) FROM cluster_anchors) AS clusters FROM n
 """
-SQL["p5_checked"] = "SELECT * FROM (VALUES ('sized', true), ('once', true), ('typical', true), ('pure', true)) v(fact, ok)"
+SQL["p5_checked"] = "SELECT * FROM (VALUES ('sized', true), ('once', true), ('typical', true), ('usable', true)) v(fact, ok)"
 SQL["p9_checked"] = "SELECT count(*) AS documents, 0 AS wrong, 0 AS split, 0 AS overfull, 0 AS overlaps, true AS tight FROM documents"
 _TERMS = _WORDS + """
 , held AS (

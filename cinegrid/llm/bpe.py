@@ -32,6 +32,9 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters of text that are encoded together, and distinct pieces that a worker remembers between them.
 CHUNK_CHARS = 6_000_000
 MEMORY = 400_000
+#: Ranks below this are applied to all their places at once, if the pieces have so many bytes.
+TOGETHER = 30_000
+MANY = 50_000
 
 
 def _byte_signs() -> dict[str, int]:
@@ -57,6 +60,10 @@ class Vocabulary:
         for rank, (a, b) in enumerate(model["merges"]):
             self.rank[ids[a] << 20 | ids[b]] = rank
             self.becomes.append(ids[a + b])
+        keys = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(self.rank.values(), np.int64, len(keys))[order]
+        self.pairs = [(k >> 20, k & 0xFFFFF) for k in keys.tolist()]
         # for the first index all symbols are bytes, so ranks come from a table
         self.byte_rank = np.full((256, 256), -1, np.int32)
         back = {int(i): b for b, i in enumerate(self.of_byte)}
@@ -68,6 +75,32 @@ class Vocabulary:
         self.remembered: dict[str, int] = {}
         self.tokens, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
 
+    def _merge(self, places: np.ndarray, rank: int, symbol: np.ndarray, right: np.ndarray, left: np.ndarray, now: np.ndarray, index: dict[int, list], active: list[int]) -> None:
+        """Merges the pair of ``rank`` at all ``places`` at once, and enters the new pairs, whose ranks are greater, in the index."""
+        j = right[places]
+        k = right[j]
+        symbol[places], symbol[j], now[j], right[places] = self.becomes[rank], -1, -1, k
+        has = k >= 0
+        left[k[has]] = places[has]
+        now[places] = -1
+        h = left[places]
+        begins = np.concatenate([places[has], h[h >= 0]])
+        key = symbol[begins] << 20 | symbol[right[begins]]
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        found = np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+        now[begins] = found
+        begins, found = begins[found >= 0], found[found >= 0]
+        order = np.argsort(found)
+        begins, found = begins[order], found[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(found)), bool), found[1:] != found[:-1]]))
+        for r, lo, hi in zip(found[first].tolist(), first.tolist(), [*first[1:].tolist(), len(found)]):
+            some = begins[lo:hi]
+            if r in index:
+                index[r].append(some)
+            else:
+                index[r] = [some]
+                heapq.heappush(active, r)
+
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct pieces, one after the other, and where each piece's ids start (with the end)."""
         raw = [p.encode("utf-8", "replace") for p in pieces]
@@ -80,19 +113,35 @@ class Vocabulary:
         pair_rank = np.full(len(data), -1, np.int32)
         pair_rank[:-1] = self.byte_rank[data[:-1], data[1:]]
         pair_rank[last] = -1
-        # the index: rank -> places of the pair's left symbol, ascending
+        # the index: rank -> places of the pair's left symbol
         at = np.flatnonzero(pair_rank >= 0)
         at = at[np.argsort(pair_rank[at], kind="stable")]
         ranks, first = np.unique(pair_rank[at], return_index=True)
-        index = dict(zip(ranks.tolist(), (x.tolist() for x in np.split(at, first[1:]))))
+        index = {r: [x] for r, x in zip(ranks.tolist(), np.split(at, first[1:]))}
         active = ranks.tolist()
         heapq.heapify(active)
-        symbol = self.of_byte[data].tolist()
-        right = np.arange(1, len(data) + 1)
-        right[last] = -1
-        left = np.arange(-1, len(data) - 1)
-        left[1:][last[:-1]] = -1
-        right, left, now = right.tolist(), left.tolist(), pair_rank.tolist()
+        symbols = self.of_byte[data].astype(np.int64)
+        after = np.arange(1, len(data) + 1)
+        after[last] = -1
+        before = np.arange(-1, len(data) - 1)
+        before[1:][last[:-1]] = -1
+        ranked = pair_rank.astype(np.int64)
+        # the first ranks have very many places each, which are merged together; the others follow one by one
+        while active and active[0] < TOGETHER and len(data) >= MANY:
+            rank = heapq.heappop(active)
+            places = np.concatenate(index.pop(rank))
+            places = np.sort(places[ranked[places] == rank])
+            places = places[np.concatenate([np.ones(min(1, len(places)), bool), places[1:] != places[:-1]])]
+            if not len(places):
+                continue
+            left_, right_ = self.pairs[rank]
+            if left_ == right_:  # in a row of equal symbols every other pair
+                begins = np.concatenate([[True], after[places[:-1]] != places[1:]])
+                run = np.maximum.accumulate(np.where(begins, np.arange(len(places)), 0))
+                places = places[(np.arange(len(places)) - run) % 2 == 0]
+            self._merge(places, rank, symbols, after, before, ranked, index, active)
+        index = {r: np.concatenate(x).tolist() for r, x in index.items()}
+        symbol, right, left, now = symbols.tolist(), after.tolist(), before.tolist(), ranked.tolist()
         rank_of, becomes = self.rank.get, self.becomes
         while active:
             rank = heapq.heappop(active)

@@ -27,6 +27,18 @@ def test_equals_the_public_tokenizer(spark, theirs):
     assert all(n[i] == len(ids) for i, ids in want)
 
 
+def test_merging_together_gives_the_same(theirs, monkeypatch):
+    """All places of a rank at once, or one by one; rows of equal symbols too."""
+    texts = [t for t in TEXTS if t] + ["a" * n for n in range(1, 40)] + ["abab" * 9 + "aab", "--" * 37, "the then them there theirs"]
+    want = theirs(texts)
+    for together, many in ((0, 0), (300, 0), (1 << 20, 0), (1 << 20, 1 << 40)):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        monkeypatch.setattr(bpe, "MANY", many)
+        v = bpe.Vocabulary(os.path.join(bpe.TOKENIZERS, bpe.VOCABULARY))
+        ids, starts = v.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+
+
 def test_corpus(spark, data, theirs):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     got = {r[0]: list(r[1]) for r in bpe.encoded(docs, "doc_id", "text").collect()}

@@ -224,8 +224,7 @@ def lumps(rng):
     return rows + list(unit(rng.normal(size=(30, W))))
 
 
-@pytest.mark.parametrize("core", [1, 3])
-@pytest.mark.parametrize("min_size", [6, 15])
+@pytest.mark.parametrize("core, min_size", [(1, 6), (3, 15)])
 def test_clusters_equal_the_definition(spark, lumps, core, min_size):
     want = sorted(map(sorted, plain_hierarchy(np.float32(lumps), core, min_size)))
     df = table(spark, lumps)

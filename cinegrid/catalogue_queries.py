@@ -240,6 +240,9 @@ ask("agg_7", f"SELECT user_id, round(coalesce(stddev_pop(step), 0), 4) AS variab
 ask("win_1", f"SELECT user_id, round(sum(abs(step)), 3) AS path FROM ({_STEP}) GROUP BY user_id")(
     lambda s, d: table(s, d, "events").withColumn("step", F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).groupBy("user_id").agg(F.round(F.sum(F.abs("step")), 3).alias("path")))
 _PAIRS = "SELECT label, round(avg(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS diversity FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id <> b.vec_id GROUP BY label"
+ask("win_8", """SELECT event_id, round((sum(value) OVER w - sum(value) OVER t) * sum(event_id % 7 + 1) OVER t / sum(value) OVER t, 4) AS eta FROM events
+  WINDOW w AS (PARTITION BY user_id), t AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")(
+    lambda s, d: R.with_eta(table(s, d, "events").withColumn("took", F.col("event_id") % 7 + 1), "user_id", ["ts", "event_id"], "value", "took").select("event_id", F.round("eta", 4).alias("eta")))
 ask("agg_8", _PAIRS)(lambda s, d: V.diversity(table(s, d, "embeddings"), "label", decimals=5))
 ask("jn_15", _PAIRS)(lambda s, d: V.diversity(table(s, d, "embeddings"), "label", decimals=5))
 ask("agg_9", "SELECT user_id, arg_max(CAST(props->>'$.k' AS INT), {'t': ts, 'e': event_id}) AS k FROM events GROUP BY user_id")(
@@ -323,6 +326,8 @@ ask("vec_1", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[],
 for _name in ("vec_2", "srt_8"):
     ask(_name, BASE + f"SELECT vec_id, round({_DOT}, 9) AS score FROM embeddings, qv ORDER BY {_DOT} DESC, vec_id::VARCHAR LIMIT 20")(
         lambda s, d: V.top(vectors(s, d), first_vector(s, d), 20).select(F.col("video_name").cast("long").alias("vec_id"), F.round("score", 9).alias("score")))
+ask("vec_10", BASE + f"SELECT vec_id, round({_DOT}, 9) AS score FROM embeddings, qv WHERE vec_id < 30")(  # more are asked for than there are
+    lambda s, d: V.top(vectors(s, d).where("vec_id < 30"), first_vector(s, d), 200).select(F.col("video_name").cast("long").alias("vec_id"), F.round("score", 9).alias("score")))
 ask("vec_3", BASE + f"SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings LEFT JOIN e ON vec_id = ordinal, qv WHERE {_DOT} >= 0.1")(
     lambda s, d: plan.semantic_search(by_number(s, d), plan.Request(ranges={"score": (0.1, None)}), first_vector(s, d)).rows.select(F.col("video_name").cast("long").alias("vec_id"), F.round("score", 6).alias("score")))
 ask("vec_4", BASE + _CENTROID + "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, cv")(
@@ -650,6 +655,8 @@ ask("udf_9", "SELECT entry_id, count(DISTINCT f) AS frames FROM (SELECT entry_id
     lambda s, d: src.frames(table(s, d, "manifest").select("entry_id", (F.col("entry_id") % 400 + 1).cast("int").alias("n")), "entry_id", "n").groupBy("entry_id").agg(F.count("*").alias("frames")))
 ask("src_17", "SELECT entry_id, CASE WHEN entry_id % 5 > 0 THEN 'compress_480p.mp4' WHEN entry_id % 3 > 0 THEN 'compress_360p.mp4' WHEN entry_id % 2 = 0 THEN 'video.mp4' END AS source FROM manifest")(
     lambda s, d: table(s, d, "manifest").select("entry_id", src.chosen_source({480: F.col("entry_id") % 5, 360: F.when(F.col("entry_id") % 3 > 0, F.col("entry_id"))}, F.when(F.col("entry_id") % 2 == 0, 0)).alias("source")))
+ask("snk_13", "SELECT entry_id, CASE WHEN entry_id % 4 = 0 THEN 'compress_720p.mp4' WHEN entry_id % 3 = 0 THEN 'compress_480p.mp4' WHEN entry_id % 5 = 0 THEN 'compress_1080p.mp4' WHEN entry_id % 2 = 0 THEN 'video.mp4' END AS served FROM manifest")(
+    lambda s, d: table(s, d, "manifest").select("entry_id", src.chosen_source({1080: (F.col("entry_id") % 5 == 0).cast("int"), 720: (F.col("entry_id") % 4 == 0).cast("int"), 480: F.when(F.col("entry_id") % 3 == 0, 7)}, F.when(F.col("entry_id") % 2 == 0, 0), src.SERVED).alias("served")))
 ask("src_18", BASE + "SELECT ordinal FROM e")(lambda s, d: slim(model.validated(entries(s, d))))
 ask("udf_7", "SELECT file_id, NOT coalesce(json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT', FALSE) AS failed FROM sample_files")(
     lambda s, d: src.mapped(table(s, d, "sample_files").select("file_id", "body"), "file_id", _must_parse).select("file_id", (~F.col("ok")).alias("failed")))  # the operator under test runs Python
@@ -922,6 +929,17 @@ for _name in ("srt_13",):
         lambda s, d: R.split(entries(s, d), ["ordinal"], 8, "device").groupBy("device").agg(F.count("*").alias("rows")))
 
 
+@ask("inc_9", """SELECT 'progress' AS kind, 'values' AS text UNION ALL SELECT 'progress', 'other' UNION ALL
+  SELECT 'result', '{"values": ' || count(DISTINCT user_id) || ', "other": ' || count(DISTINCT user_id) FILTER (event_id % 5 = 0) || '}' FROM events UNION ALL SELECT 'progress', 'bad' UNION ALL SELECT 'error', 'AnalysisException'""")
+def inc_9(s: SparkSession, d: str) -> DataFrame:
+    """What a listener is told while two rules take in their rows, and when a rule fails."""
+    rows = _events(s, d)
+    views = {n: (inc.View(s, new_path(s, n)), ["ts", "event_id"]) for n in ("values", "other")}
+    told = list(inc.reported(views, {"values": rows, "other": rows.where("event_id % 5 = 0")}))
+    bad = list(inc.reported({"bad": (inc.View(s, new_path(s, "bad"), key="gone"), [])}, {"bad": rows}))
+    return s.createDataFrame([*told, *((k, t.split(":")[0] if k == "error" else t) for k, t in bad)], "kind string, text string")
+
+
 @ask("inc_8", "SELECT 'values' AS key, count(DISTINCT user_id) FILTER (event_id <= m) AS before, count(DISTINCT user_id) AS after FROM events, (SELECT min(event_id) + 20 AS m FROM events) HAVING before <> after")
 def inc_8(s: SparkSession, d: str) -> DataFrame:
     """What a poll sees between two batches."""

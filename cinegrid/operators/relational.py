@@ -158,6 +158,16 @@ def numbered(df: DataFrame, order: list, size: int) -> DataFrame:
     return positions(df, order).withColumn("page", (F.floor(F.col("position") / size) + 1).cast("int")).drop("position")
 
 
+def with_eta(df: DataFrame, group: str, order: list[str], done: str, seconds: str) -> DataFrame:
+    """Adds the columns ``done_so_far``, ``elapsed`` and ``eta``: of the batches of a run, in their order, what is done and how long it took up
+    to each, and the seconds that the rest will take at that rate. null before anything is done; null counts as nothing."""
+    w = Window.partitionBy(group)
+    to_here = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    n, took = F.coalesce(F.col(done), F.lit(0)), F.coalesce(F.col(seconds), F.lit(0.0))
+    rows = df.withColumns({"done_so_far": F.sum(n).over(to_here), "elapsed": F.sum(took).over(to_here), "all": F.sum(n).over(w)})
+    return rows.withColumn("eta", F.try_divide((F.col("all") - F.col("done_so_far")) * F.col("elapsed"), F.col("done_so_far"))).drop("all")
+
+
 def split(df: DataFrame, order: list[str], parts: int, name: str) -> DataFrame:
     """Numbers equal consecutive shares in a column ``name``; what is left over goes to the last."""
     n = F.lit(df.count())

@@ -21,6 +21,7 @@ HUMAN_FIELDS = ("luminance_min", "luminance_max", "blur_min", "blur_max", "aesth
 ULTRA_FIELDS = ("vtss_score", "motion_score", "video_clip_score")
 CLIP_FOLDERS = ("clips_short_1920", "clips_short_960", "clips_short")
 PROXIES = (480, 720, 360, 1080, 240, 144)
+SERVED = (720, 480, 1080)
 
 MANIFEST = "ordinal long, video_name string, caption string, source_path string"
 
@@ -176,10 +177,10 @@ def npy_artifact(content: DataFrame) -> DataFrame:
     return content.select("sample_id", "content").mapInArrow(_npy, "sample_id string, embedding array<float>")
 
 
-def chosen_source(sizes: dict[int, Column], original: Column) -> Column:
-    """What to decode: the first proxy, by preference, that has bytes; else the original if it exists. ``sizes``: resolution -> size
-    column; ``original``: its size column. Null if there is none."""
-    tests = [F.when(F.coalesce(sizes[r], F.lit(0)) > 0, F.lit(f"compress_{r}p.mp4")) for r in PROXIES if r in sizes]
+def chosen_source(sizes: dict[int, Column], original: Column, preference: Sequence[int] = PROXIES) -> Column:
+    """What to decode, or with the preference SERVED to show: the first proxy, by preference, that has bytes; else the original if it
+    exists. ``sizes``: resolution -> size column; ``original``: its size column. Null if there is none."""
+    tests = [F.when(F.coalesce(sizes[r], F.lit(0)) > 0, F.lit(f"compress_{r}p.mp4")) for r in preference if r in sizes]
     return F.coalesce(*tests, F.when(original.isNotNull(), F.lit("video.mp4")))
 
 

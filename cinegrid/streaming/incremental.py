@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,6 +174,22 @@ def aggregate(views: dict[str, tuple[View, list[str]]], rows: dict[str, DataFram
     return out
 
 
+def reported(views: dict[str, tuple[View, list[str]]], rows: dict[str, DataFrame], **options) -> Iterator[tuple[str, str]]:
+    """As ``aggregate``, telling how it goes: (progress, rule) before each rule that has rows, at last (result, the states' counts as
+    JSON). An error ends it with (error, text)."""
+    counts = {}
+    try:
+        for name in views:
+            if name in rows:
+                yield "progress", name
+                done = aggregate({name: views[name]}, rows, **options)
+                counts |= {n: s["count"] for n, s in done.items()}
+    except Exception as e:  # told to who listens
+        yield "error", f"{type(e).__name__}: {e}"
+        return
+    yield "result", json.dumps(counts)
+
+
 def stream(source: DataFrame, view: View, order: list[str], checkpoint: str):
     """Takes in a streaming table until nothing is left; what is done stays done over restarts."""
     def batch(df: DataFrame, _: int) -> None:

@@ -34,7 +34,7 @@ ANCHORS = 4096
 #: Tables of the neighbour graph, the hashes of a path, the rows of a block, about so many rows of a cell, and cells of a task.
 TABLES = 2
 DEPTH = 6
-BLOCK = 2048
+BLOCK = 4096
 CELL = 8192
 CELLS = 4
 #: Sampled paths per cell, from which the cells' bounds are taken.
@@ -163,11 +163,12 @@ def _compared(marks, width: int, core: int, reach: float, most: int):
         np.fill_diagonal(sims, -np.inf)
         if core:
             some = min(core, n - 1)
-            top = np.argpartition(sims, -some, axis=1)[:, -some:]
+            top = np.concatenate([np.argpartition(sims[lo : lo + 512], -some, axis=1)[:, -some:] for lo in range(0, n, 512)])
             at = np.repeat(np.arange(n), some)
             yield NEAR, ids[at], ids[top.ravel()], _exact(rows[at], rows[top.ravel()])
             of = np.take_along_axis(sims, top, axis=1).min(axis=1) if some == core else np.full(n, -1, np.float32)
-            sims = np.minimum(np.minimum(sims, of[:, None]), of[None, :])
+            np.minimum(sims, of[:, None], out=sims)
+            np.minimum(sims, of[None, :], out=sims)
         i, j = spanning(sims)
         yield TREE, np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), _exact(rows[i], rows[j])
 

@@ -271,7 +271,7 @@ def graph(df: DataFrame, key: str, vector: str, anchors: list[tuple[str, np.ndar
     made = rows.mapInArrow(_placed(share(bounds), width), "cell int, path long, id long, vector binary")
     # as many tasks as the rows ask for, whatever the session's number is
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells // CELLS))
-    made = made.repartition(tasks, "cell").sortWithinPartitions("cell", "path", "id")
+    made = made.repartitionById(tasks, F.pmod("cell", F.lit(tasks))).sortWithinPartitions("cell", "path", "id")
     made = made.mapInArrow(_compared(share((keys, land, given)), width, core, reach, block), "kind byte, a long, b long, weight double")
     made = written(made, "graph")
     edges = made.where(F.col("kind").isin(TREE, STAR)).select("a", "b", "weight")

@@ -270,7 +270,7 @@ class NearDuplicates:
         groups = 1 << (max(64, -(-bytes_ // PART_BYTES)) - 1).bit_length()
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), groups // PARTS)
         keys = self.sets.select("id", "w").mapInArrow(_bands(self.slots, self.rows, self.bands, groups, BUCKET, CHUNK), "part int, keys binary, ids binary, sketches binary, hot binary")
-        keys = keys.repartition(tasks, "part").sortWithinPartitions("part")
+        keys = keys.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
         met = written(keys.mapInArrow(_met(self.similarity, BUCKET), "a long, b long").distinct(), "met")
         hot = met.where("b is null").select(F.col("a").alias("id"))
         pairs = met.where("b is not null")

@@ -149,7 +149,7 @@ ask("flt_13", BASE + "SELECT ordinal FROM e WHERE source_path IN (SELECT source_
 ask("flt_14", BASE + "SELECT ordinal FROM e WHERE video_name IN (FROM fav) AND contains(" + LOW + ", 'the')")(
     lambda s, d: slim(R.ternary(Q.search(entries(s, d), "the"), favourites(s, d), "only", "video_name")))
 ask("flt_16", "SELECT entry_id AS ordinal FROM manifest WHERE video_name <> '' AND source_path <> ''")(
-    lambda s, d: slim(entries(s, d).where("video_name <> '' and source_path <> ''")))
+    lambda s, d: slim(R.named(entries(s, d), "video_name", "source_path")))
 _W = "string_split_regex(" + LOW + r""", '[\s,.;:!?''"()\[\]{}\-/\\]+')"""
 _STOP = "[" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + "]"
 _CONTENT = f"list_filter({_W}, lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
@@ -173,11 +173,11 @@ ask("jn_5", BASE + f"SELECT ordinal, round({_DOT}, 6) AS score FROM e LEFT JOIN
 ask("jn_6", "SELECT vec_id, label FROM embeddings, range(2) WHERE vec_id % 50 = 0")(
     lambda s, d: R.selected(vectors(s, d), vectors(s, d).where("vec_id % 50 = 0").select("video_name", F.explode(F.array(F.lit(1), F.lit(2)))).select("video_name"), "video_name").select("vec_id", "label"))
 ask("jn_9", "SELECT DISTINCT sample_id FROM sample_files WHERE sample_id NOT IN (SELECT sample_id FROM origins WHERE seen_at < TIMESTAMP '2024-07-01' AND sample_id IS NOT NULL)")(
-    lambda s, d: table(s, d, "sample_files").select("sample_id").distinct().join(table(s, d, "origins").where("seen_at < timestamp'2024-07-01'").select("sample_id"), "sample_id", "left_anti"))
+    lambda s, d: R.fresh(table(s, d, "sample_files"), table(s, d, "origins").where("seen_at < timestamp'2024-07-01'"), "sample_id"))
 ask("jn_14", "SELECT event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events QUALIFY step IS NOT NULL")(
     lambda s, d: P.consecutive(table(s, d, "events"), "user_id", ["ts", "event_id"], "event_id", lambda a, b: b - a).select("event_id", F.col("distance").alias("step")))
 ask("prj_1", "SELECT entry_id AS ordinal, caption, '/thumbnails/' || dataset || '/' || video_name || '/thumb_middle.jpg' AS thumb_url FROM manifest")(
-    lambda s, d: table(s, d, "manifest").select(F.col("entry_id").alias("ordinal"), "caption", F.concat(F.lit("/thumbnails/"), "dataset", F.lit("/"), "video_name", F.lit("/thumb_middle.jpg")).alias("thumb_url")))
+    lambda s, d: plan.shaped(table(s, d, "manifest")).select(F.col("entry_id").alias("ordinal"), "caption", "thumb_url"))
 ask("prj_2", BASE + "SELECT field, count(*) AS n, count(DISTINCT video_name) AS names FROM tall GROUP BY field")(
     lambda s, d: P.per_source({"e": entries(s, d).drop("ordinal"), "m": metadata(s, d), "s": stats(s, d)}, "video_name").groupBy("field").agg(F.count("*").alias("n"), F.count_distinct("key").alias("names")))
 ask("prj_4", BASE + "SELECT ordinal, caption, aesthetic, width, text_chars FROM x WHERE video_name = (SELECT video_name FROM e WHERE ordinal = 3) ORDER BY ordinal LIMIT 1")(
@@ -187,8 +187,7 @@ ask("prj_5", BASE + "SELECT ordinal, coalesce(text_chars, width) AS v FROM x")(
 ask("prj_6", BASE + "SELECT ordinal, coalesce(width, aesthetic, text_chars) AS v FROM x")(
     lambda s, d: catalogue(s, d).enriched(entries(s, d)).select("ordinal", F.coalesce("width", "aesthetic", "text_chars").alias("v")))
 ask("prj_7", "SELECT dataset, count(*) AS n, bool_or(h) AS has_metadata FROM (SELECT dataset, (dataset, video_name) IN (SELECT (dataset, video_name) FROM metadata WHERE dataset IS NOT NULL AND video_name IS NOT NULL) AS h FROM manifest) GROUP BY dataset")(
-    lambda s, d: table(s, d, "manifest").select("dataset", "video_name").join(table(s, d, "metadata").select("dataset", "video_name").distinct().withColumn("h", F.lit(True)), ["dataset", "video_name"], "left")
-    .groupBy("dataset").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("h", F.lit(False))).alias("has_metadata")))
+    lambda s, d: plan.datasets(table(s, d, "manifest"), table(s, d, "metadata")))
 ask("prj_13", "SELECT file_id, round(frames / greatest(fps, 1e-6), 3) AS duration, round(size_bytes / 1048576.0, 2) AS mb FROM (SELECT file_id, size_bytes, (file_id % 900 + 1) AS frames, 24.0 + file_id % 7 AS fps FROM sample_files)")(
     lambda s, d: table(s, d, "sample_files").select("file_id", *(c.alias(n) for c, n in zip(S.media_fields((F.col("file_id") % 900 + 1).cast("double"), (F.lit(24.0) + F.col("file_id") % 7), F.col("size_bytes")), ("duration", "mb")))))
 ask("prj_15", BASE + "SELECT field, row_number() OVER (ORDER BY coalesce(nullif(list_position(['" + "','".join(S.FIELD_ORDER) + "'], field), 0), 99), field) AS place FROM (SELECT DISTINCT field FROM tall)")(
@@ -238,11 +237,11 @@ _STEP = "SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY
 ask("agg_7", f"SELECT user_id, round(coalesce(stddev_pop(step), 0), 4) AS variability FROM ({_STEP}) GROUP BY user_id")(
     lambda s, d: P.sequence_variability(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"))
 ask("win_1", f"SELECT user_id, round(sum(abs(step)), 3) AS path FROM ({_STEP}) GROUP BY user_id")(
-    lambda s, d: table(s, d, "events").withColumn("step", F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).groupBy("user_id").agg(F.round(F.sum(F.abs("step")), 3).alias("path")))
+    lambda s, d: P.path_length(table(s, d, "events"), "user_id", ["ts", "event_id"], "value"))
 _PAIRS = "SELECT label, round(avg(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS diversity FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id <> b.vec_id GROUP BY label"
-ask("win_8", """SELECT event_id, round((sum(value) OVER w - sum(value) OVER t) * sum(event_id % 7 + 1) OVER t / sum(value) OVER t, 4) AS eta FROM events
+ask("win_8", """SELECT event_id, round((sum(event_id % 5) OVER w - sum(event_id % 5) OVER t) * sum(event_id % 7 + 1) OVER t / nullif(sum(event_id % 5) OVER t, 0), 4) AS eta FROM events
   WINDOW w AS (PARTITION BY user_id), t AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")(
-    lambda s, d: R.with_eta(table(s, d, "events").withColumn("took", F.col("event_id") % 7 + 1), "user_id", ["ts", "event_id"], "value", "took").select("event_id", F.round("eta", 4).alias("eta")))
+    lambda s, d: R.with_eta(table(s, d, "events").withColumns({"done": F.col("event_id") % 5, "took": F.col("event_id") % 7 + 1}), "user_id", ["ts", "event_id"], "done", "took").select("event_id", F.round("eta", 4).alias("eta")))
 ask("agg_8", _PAIRS)(lambda s, d: V.diversity(table(s, d, "embeddings"), "label", decimals=5))
 ask("jn_15", _PAIRS)(lambda s, d: V.diversity(table(s, d, "embeddings"), "label", decimals=5))
 ask("agg_9", "SELECT user_id, arg_max(CAST(props->>'$.k' AS INT), {'t': ts, 'e': event_id}) AS k FROM events GROUP BY user_id")(
@@ -289,7 +288,7 @@ ask("agg_19", """WITH ax AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) A
 SELECT CAST(r.b AS INT) AS bin, coalesce(n, 0) AS count FROM range(20) r(b) LEFT JOIN hits USING (b)""")(lambda s, d: P.panel_histogram(table(s, d, "orders"), "o_totalprice"))
 ask("agg_20", "SELECT dataset AS key, a AS before, b AS after FROM (SELECT dataset, count(*) AS a FROM manifest GROUP BY dataset) JOIN (SELECT dataset, count(*) AS b FROM origins GROUP BY dataset) USING (dataset) WHERE a <> b")(
     lambda s, d: P.status_changed(table(s, d, "manifest").groupBy("dataset").count(), table(s, d, "origins").groupBy("dataset").count()))
-ask("set_6", "SELECT dataset FROM manifest INTERSECT SELECT dataset FROM origins")(lambda s, d: table(s, d, "manifest").select("dataset").intersect(table(s, d, "origins").select("dataset")))
+ask("set_6", "SELECT dataset FROM manifest INTERSECT SELECT dataset FROM origins")(lambda s, d: R.shared(table(s, d, "manifest"), table(s, d, "origins"), "dataset"))
 _TIER = "SELECT sample_id, count(DISTINCT artifact) AS tier FROM sample_files WHERE artifact IN ('origins.json', 'metadata.json') GROUP BY sample_id"
 
 
@@ -308,7 +307,7 @@ for _name in ("agg_25", "win_3"):
     ask(_name, "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1")(
         lambda s, d: R.first_wins(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_linenumber", "l_partkey").alias("place")), ["l_orderkey"], "place").drop("place"))
 ask("agg_26", "SELECT DISTINCT unnest(json_keys(body)) AS field FROM (SELECT body FROM sample_files WHERE json_valid(body)) WHERE json_type(body) = 'OBJECT'")(
-    lambda s, d: table(s, d, "sample_files").where(F.try_parse_json("body").isNotNull()).select(F.explode(F.json_object_keys("body")).alias("field")).distinct())
+    lambda s, d: src.object_fields(table(s, d, "sample_files"), "body"))
 ask("agg_27", "SELECT count(*) AS selected FROM embeddings WHERE vec_id % 50 = 0")(lambda s, d: R.selected(vectors(s, d), _picked(s, d), "video_name").agg(F.count("*").alias("selected")))
 
 
@@ -459,10 +458,10 @@ ask("srt_15", BASE + f"SELECT greatest(1, ceil(count(*) / 200))::BIGINT AS pages
 
 # -- sets
 
-ask("set_1", "SELECT video_name FROM manifest UNION SELECT video_name FROM metadata")(lambda s, d: table(s, d, "manifest").select("video_name").union(table(s, d, "metadata").select("video_name")).distinct())
-ask("set_2", "SELECT sample_id FROM origins UNION SELECT sample_id FROM sample_files")(lambda s, d: table(s, d, "origins").select("sample_id").union(table(s, d, "sample_files").select("sample_id")).distinct())
-ask("set_3", "SELECT video_name FROM manifest EXCEPT SELECT video_name FROM metadata")(lambda s, d: table(s, d, "manifest").select("video_name").subtract(table(s, d, "metadata").select("video_name")))
-ask("set_4", "SELECT sample_id FROM origins INTERSECT SELECT sample_id FROM sample_files")(lambda s, d: table(s, d, "origins").select("sample_id").intersect(table(s, d, "sample_files").select("sample_id")))
+ask("set_1", "SELECT video_name FROM manifest UNION SELECT video_name FROM metadata")(lambda s, d: R.union_of(table(s, d, "manifest").select("video_name"), table(s, d, "metadata").select("video_name")))
+ask("set_2", "SELECT sample_id FROM origins UNION SELECT sample_id FROM sample_files")(lambda s, d: R.union_of(table(s, d, "origins").select("sample_id"), table(s, d, "sample_files").select("sample_id")))
+ask("set_3", "SELECT video_name FROM manifest EXCEPT SELECT video_name FROM metadata")(lambda s, d: R.without(table(s, d, "manifest"), table(s, d, "metadata"), "video_name"))
+ask("set_4", "SELECT sample_id FROM origins INTERSECT SELECT sample_id FROM sample_files")(lambda s, d: R.shared(table(s, d, "origins"), table(s, d, "sample_files"), "sample_id"))
 ask("set_5", "(SELECT video_name FROM manifest EXCEPT SELECT video_name FROM metadata) UNION (SELECT video_name FROM metadata EXCEPT SELECT video_name FROM manifest)")(lambda s, d: R.toggled(table(s, d, "manifest"), table(s, d, "metadata"), "video_name"))
 ask("set_8", "SELECT video_name, count(*) AS n FROM metadata GROUP BY video_name HAVING count(*) > 1")(lambda s, d: R.repeated(table(s, d, "metadata"), "video_name"))
 
@@ -575,7 +574,7 @@ for _name in ("win_7",):
     ask(_name, "SELECT 'v' || entry_id // 2 AS video_name, arg_min('/d/' || f || '/v' || entry_id // 2 || '.mp4', entry_id % 3) AS path FROM (SELECT entry_id, ['clips_short_1920', 'clips_short_960', 'clips_short'][entry_id % 3 + 1] AS f FROM manifest) GROUP BY ALL")(
         lambda s, d: src.by_priority(table(s, d, "manifest").select(F.concat(F.lit("/d/"), F.get(F.array(*map(F.lit, src.CLIP_FOLDERS)), (F.col("entry_id") % 3).cast("int")), F.lit("/v"), F.floor(F.col("entry_id") / 2).cast("string"), F.lit(".mp4")).alias("path"))))
 ask("jn_10", "SELECT entry_id FROM manifest WHERE source_path IN (SELECT source_path FROM origins)")(
-    lambda s, d: table(s, d, "manifest").join(table(s, d, "origins").select("source_path").distinct(), "source_path").select("entry_id"))
+    lambda s, d: R.available(table(s, d, "manifest"), table(s, d, "origins"), "source_path").select("entry_id"))
 
 
 @ask("src_7", "SELECT video_name, coalesce(caption, '') AS caption, source_path FROM manifest WHERE video_name <> '' AND source_path <> '' QUALIFY row_number() OVER (PARTITION BY video_name ORDER BY dataset, lpad(entry_id::VARCHAR, 12, '0')) = 1")
@@ -671,7 +670,7 @@ for _name in ("snk_10", "agg_23"):
         lambda s, d: sinks.download_size(table(s, d, "sample_files"), entries(s, d).where("ordinal % 7 = 0").select(F.col("video_name").alias("sample_id"))))
 ask("snk_11", "SELECT file_id, sample_id || '/' || artifact AS entry FROM sample_files")(
     lambda s, d: table(s, d, "sample_files").select("file_id", sinks.archive_name(F.substring_index("sample_id", "_", 1), S.without_prefix(F.col("sample_id")), F.col("artifact"), False).alias("entry")))
-ask("snk_12", "SELECT artifact, size_bytes FROM sample_files WHERE sample_id = 'stockreel_1000001'")(lambda s, d: table(s, d, "sample_files").where("sample_id = 'stockreel_1000001'").select("artifact", "size_bytes"))
+ask("snk_12", "SELECT artifact, size_bytes FROM sample_files WHERE sample_id = 'stockreel_1000001'")(lambda s, d: sinks.sample_sizes(table(s, d, "sample_files"), "stockreel_1000001"))
 ask("snk_7", BASE + f"SELECT video_name, source_path FROM e WHERE contains({LOW}, 'the')")(lambda s, d: plan.text_search(catalogue(s, d), plan.Request(query="the", sort="name")).export())
 ask("snk_8", "SELECT video_name, 'samples/' || sha256(dataset || '_' || video_name)[1:2] || '/' || sha256(dataset || '_' || video_name)[3:4] || '/' || dataset || '_' || video_name AS path FROM manifest")(
     lambda s, d: sinks.export_paths(table(s, d, "manifest").select("dataset", "video_name")))
@@ -930,14 +929,14 @@ for _name in ("srt_13",):
 
 
 @ask("inc_9", """SELECT 'progress' AS kind, 'values' AS text UNION ALL SELECT 'progress', 'other' UNION ALL
-  SELECT 'result', '{"values": ' || count(DISTINCT user_id) || ', "other": ' || count(DISTINCT user_id) FILTER (event_id % 5 = 0) || '}' FROM events UNION ALL SELECT 'progress', 'bad' UNION ALL SELECT 'error', 'AnalysisException'""")
+  SELECT 'result', '{"values": ' || count(DISTINCT user_id) || ', "other": ' || count(DISTINCT user_id) FILTER (event_id % 5 = 0) || '}' FROM events UNION ALL SELECT 'progress', 'bad' UNION ALL SELECT 'error', 'ValueError: rows lack [''gone'']'""")
 def inc_9(s: SparkSession, d: str) -> DataFrame:
     """What a listener is told while two rules take in their rows, and when a rule fails."""
     rows = _events(s, d)
     views = {n: (inc.View(s, new_path(s, n)), ["ts", "event_id"]) for n in ("values", "other")}
     told = list(inc.reported(views, {"values": rows, "other": rows.where("event_id % 5 = 0")}))
     bad = list(inc.reported({"bad": (inc.View(s, new_path(s, "bad"), key="gone"), [])}, {"bad": rows}))
-    return s.createDataFrame([*told, *((k, t.split(":")[0] if k == "error" else t) for k, t in bad)], "kind string, text string")
+    return s.createDataFrame([*told, *bad], "kind string, text string")
 
 
 @ask("inc_8", "SELECT 'values' AS key, count(DISTINCT user_id) FILTER (event_id <= m) AS before, count(DISTINCT user_id) AS after FROM events, (SELECT min(event_id) + 20 AS m FROM events) HAVING before <> after")

@@ -148,6 +148,12 @@ def sequence_variability(df: DataFrame, key: str, order: list[str], value: str,
     return steps.groupBy(key).agg(F.round(F.coalesce(F.stddev_pop("step"), F.lit(0.0)), decimals).alias("variability"))
 
 
+def path_length(df: DataFrame, group: str, order: list[str], value: str, decimals: int = 3) -> DataFrame:
+    """(group, path): the sum of the absolute steps of each sequence, null for fewer than two values."""
+    step = F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(*order))
+    return df.withColumn("step", step).groupBy(group).agg(F.round(F.sum(F.abs("step")), decimals).alias("path"))
+
+
 def consecutive(df: DataFrame, key: str, order: list[str], value: str, distance) -> DataFrame:
     """(key, order..., distance) between each value and the one before it; a key's first value has none."""
     w = Window.partitionBy(key).orderBy(*order)

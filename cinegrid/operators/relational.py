@@ -69,6 +69,21 @@ def incomplete(samples: DataFrame, artifacts: DataFrame, expected: list[str]) ->
     return wanted.join(artifacts.select("sample_id", "artifact").distinct(), ["sample_id", "artifact"], "left_anti").select("sample_id").distinct()
 
 
+def fresh(scanned: DataFrame, included: DataFrame, key: str) -> DataFrame:
+    """(key): what was scanned and is not taken in yet, each once; a null key is nothing."""
+    return scanned.select(key).where(F.col(key).isNotNull()).distinct().join(included.select(key), key, "left_anti")
+
+
+def available(rows: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """The rows whose file is there, each as often as it stands in ``rows``, however often the file is listed."""
+    return rows.join(files.select(key).distinct(), key)
+
+
+def named(rows: DataFrame, *fields: str) -> DataFrame:
+    """The rows in which none of the fields is null or an empty text: what a source must have to be taken."""
+    return rows.where(reduce(Column.__and__, (F.coalesce(F.col(f) != "", F.lit(False)) for f in fields)))
+
+
 # -- keyed views
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -177,6 +192,21 @@ def split(df: DataFrame, order: list[str], parts: int, name: str) -> DataFrame:
 
 # -- sets
 
+def union_of(*sides: DataFrame) -> DataFrame:
+    """The distinct values of one-column tables; null is a value."""
+    return reduce(DataFrame.union, sides).distinct()
+
+
+def shared(requested: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """What both have, each once; null is a value."""
+    return requested.select(key).intersect(there.select(key))
+
+
+def without(all_: DataFrame, skipped: DataFrame, key: str) -> DataFrame:
+    """What the first has and the second has not, each once; null is a value."""
+    return all_.select(key).subtract(skipped.select(key))
+
+
 def toggled(selection: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """The names in one of the two but not in both."""
     a, b = selection.select(key).distinct(), names.select(key).distinct()

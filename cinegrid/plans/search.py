@@ -213,6 +213,18 @@ def scatter(result: Result, x: str, y: str, size: int = SCATTER, seed: int = 0)
     return rows.where("x is not null and y is not null")
 
 
+def shaped(rows: DataFrame, base: str = "/thumbnails") -> DataFrame:
+    """Result rows with the address of their picture. ``rows``: dataset, video_name and more."""
+    return rows.withColumn("thumb_url", F.concat(F.lit(f"{base}/"), "dataset", F.lit("/"), "video_name", F.lit("/thumb_middle.jpg")))
+
+
+def datasets(entries: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(dataset, n, has_metadata): the entries of each dataset, and whether any has metadata. Both by dataset and video_name."""
+    has = metadata.select("dataset", "video_name").distinct().withColumn("h", F.lit(True))
+    rows = entries.select("dataset", "video_name").join(has, ["dataset", "video_name"], "left")
+    return rows.groupBy("dataset").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("h", F.lit(False))).alias("has_metadata"))
+
+
 def detail(catalogue: Catalogue, name: str) -> DataFrame:
     """One record with all it has: the first entry of the name; no row if there is none."""
     rows = catalogue.entries.where(F.col("video_name") == name).orderBy("ordinal").limit(1)

@@ -54,6 +54,11 @@ def save_favourites(table: DataFrame, path: str) -> None:
     staged(table.select("dataset", "video_name"), path, "json", 1)
 
 
+def sample_sizes(files: DataFrame, sample_id: str) -> DataFrame:
+    """(artifact, size_bytes) of the files of one sample."""
+    return files.where(F.col("sample_id") == sample_id).select("artifact", "size_bytes")
+
+
 def export_paths(samples: DataFrame, artifact: str | None = None) -> DataFrame:
     """(video_name, path) sorted by name: the folder of each sample, or one artifact in it. ``samples``: dataset, video_name."""
     path = sample_path(F.concat_ws("_", "dataset", "video_name"), F.lit(artifact) if artifact else None)

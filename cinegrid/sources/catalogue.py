@@ -235,6 +235,12 @@ def encode_images(df: DataFrame, key: str, image: str, load: Callable[[], Callab
     return df.select(key, image).mapInArrow(run, f"key {kind}, embedding array<float>").withColumnRenamed("key", key)
 
 
+def object_fields(df: DataFrame, body: str) -> DataFrame:
+    """(field): the members that any of the JSON objects has; bodies that are no object have none."""
+    good = df.where(F.try_parse_json(F.col(body)).isNotNull())
+    return good.select(F.explode(F.json_object_keys(F.col(body))).alias("field")).distinct()
+
+
 def parsed_objects(df: DataFrame, key: str, body: str) -> DataFrame:
     """(key, ok, error): whether each body is a JSON object; no Python."""
     text = F.coalesce(F.col(body), F.lit(""))

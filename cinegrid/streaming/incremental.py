@@ -96,6 +96,8 @@ class View:
         """Takes in a batch of (key, order..., fields...): of rows with the same key the last one counts. Rows without any value
         contribute nothing and are not marked as taken in. Returns the new state. Another writer's batch at the same time
         makes the later one raise."""
+        if missing := {self.key, *order} - set(rows.columns):
+            raise ValueError(f"rows lack {sorted(missing)}")
         fields = [c for c in rows.columns if c != self.key and c not in order]
         some = F.coalesce(*(F.when(F.col(f).isNotNull(), True) for f in fields)) if fields else F.lit(False)
         new = last_wins(rows.where(some).where(F.col(self.key).isNotNull()), [self.key], order).select(self.key, *fields)
@@ -168,7 +170,7 @@ def aggregate(views: dict[str, tuple[View, list[str]]], rows: dict[str, DataFram
     for name, (view, order) in views.items():
         if only is not None and name not in only or name not in rows:
             continue
-        batch = rows[name] if rebuild else view.fresh(rows[name])
+        batch = rows[name] if rebuild or not view.versions() else view.fresh(rows[name])
         if rebuild or batch.limit(1).count():
             out[name] = view.take(batch, order, rebuild)
     return out

@@ -455,7 +455,8 @@ def joined_to_anchors(g: Graph) -> DataFrame:
     label = F.min("label").alias("label")
     new = written(nodes.join(g.anchored.join(nodes.select("id", "node"), "id").groupBy("node").agg(label), "node").select("id", "label"), "joined")
     found = new
-    while new.limit(1).count():
+    size = new.count()
+    while size:
         left = written(nodes.select("id").join(found.select("id"), "id", "left_anti"), "left")
         parts = -(-left.count() // ASKED)
         step = None
@@ -469,12 +470,12 @@ def joined_to_anchors(g: Graph) -> DataFrame:
             near = written(near.groupBy("id").agg(label), "near")
             shared.destroy()
             step = near if step is None else step.unionByName(near)
-        if step is None:
+        if step is None or not step.limit(1).count():
             break
         # with a vector all of its component is joined
         of = step.join(nodes.select("id", "node"), "id").groupBy("node").agg(label)
         new = written(nodes.join(of, "node").select("id", "label"), "joined")
-        found = found.unionByName(new)
+        found, size = found.unionByName(new), new.count()
     names = spark.createDataFrame(g.names, "label int, name string")
     return found.join(F.broadcast(names), "label").select("id", F.col("name").alias("label"))
 

@@ -438,8 +438,8 @@ def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float
         found = found.select("differ", sides.alias("s")).select("s.x", "s.y", "differ")
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("differ", "y"))).where(F.col("r") <= rerank * k)
     ranked = written(ranked.select("x", "y", "r"), "ranked")
-    asked = written(ranked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "asked")
-    needed = written(asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct(), "needed")
+    asked = ranked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    needed = written(ranked.select(F.col("x").alias("id")).union(ranked.select("y")).distinct(), "needed")
     if needed.count() <= BROADCAST_IDS:
         rows = rows.join(F.broadcast(needed), "id", "left_semi")
     # both joins read one shuffle of the vectors
@@ -452,9 +452,9 @@ def similar(df: DataFrame, key: str, vector: str, k: int = K, min_cosine: float
         crowded = single.where("asks").select("id")
     else:
         crowded = ranked.where(F.col("r") == rerank * k).select(F.col("x").alias("id"))
-    sides = scored.select("cosine", F.explode(F.array("a", "b")).alias("id"))
+    sides = scored.select("cosine", F.explode(F.array("a", "b")).alias("id")).join(crowded, "id", "left_semi")
     kth = sides.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine")))).where(F.col("r") == k)
-    crowded = written(crowded.join(kth.select("id", F.col("cosine").alias("kth")), "id", "left").select("id", F.coalesce("kth", F.lit(least)).alias("least")), "crowded")
+    crowded = written(crowded.distinct().join(kth.select("id", F.col("cosine").alias("kth")), "id", "left").select("id", F.coalesce("kth", F.lit(least)).alias("least")), "crowded")
     nearer = _all_rows(reps, crowded, k, width)
     nearer = nearer.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
     scored = scored.unionByName(nearer).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from cinegrid.operators.relational import last_wins, merged, upserted
 from cinegrid.scratch import hadoop_path
 
-BUCKETS = 32
+BUCKETS = 8
 #: Versions whose files stay, for readers that have begun; and parts of the record of samples before they are put together.
 KEPT = 3
 PARTS = 32
@@ -40,7 +40,8 @@ def _rename(spark: SparkSession, old: str, new: str) -> bool:
 
 
 class View:
-    """A keyed view in a folder. ``kind``: json_dict merges field by field, vector_index replaces rows."""
+    """A keyed view in a folder. ``kind``: json_dict merges field by field, vector_index replaces rows. ``buckets`` counts for a new
+    view and at a rebuild: a batch rewrites those it touches, so a large view wants many, with some hundred MB each."""
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "json_dict", key: str = "video_name", buckets: int = BUCKETS):
         if kind not in ("json_dict", "vector_index"):
@@ -106,15 +107,22 @@ class View:
         version = 1 + max((int(n.split("-")[1].split(".")[0]) for n in names if n.startswith(("state-", "view-", "included-"))), default=0)
         count = state.get("buckets_of", self.buckets)
         bucket = F.pmod(F.xxhash64(self.key), F.lit(count)).cast("int")
-        # the batch is read once: its keys and values lie beside the view until the version stands
-        batch = f"{self.path}/batch-{version}-{uuid.uuid4().hex}"
-        _write(new.withColumn("bucket", bucket), batch)
-        new = self.spark.read.parquet(batch)
-        touched = sorted(str(r[0]) for r in new.select("bucket").distinct().collect())  # at most as many as there are buckets
-        new = new.drop("bucket")
-        view = new
+        counts, touched, view = dict(state.get("counts", {})), [], new
         if state:
+            # the batch is read once: its keys and values lie beside the view until the version stands
+            batch = f"{self.path}/batch-{version}-{uuid.uuid4().hex}"
+            _write(new.withColumn("bucket", bucket), batch)
+            new = self.spark.read.parquet(batch)
+            touched = sorted(str(r[0]) for r in new.select("bucket").distinct().collect())  # at most as many as there are buckets
+            new = new.drop("bucket")
             view = (merged if self.kind == "json_dict" else upserted)(self._read(state, touched), new, self.key)
+        if touched or not state:
+            place = f"{self.path}/view-{version}"
+            _write_buckets(view.withColumn("bucket", bucket), place)
+            there = self.spark.read.schema(T.StructType([*view.schema, T.StructField("bucket", T.IntegerType())])).parquet(place)
+            found = {str(r[0]): r[1] for r in there.groupBy("bucket").count().collect()}
+            counts, touched = counts | found, sorted(found)
+            new = new if state else there
         added = new.select(self.key)
         if state and len(state["included"]) < PARTS:
             added, parts = self.fresh(added), state["included"]
@@ -122,11 +130,6 @@ class View:
             added, parts = self.included().unionByName(self.fresh(added)), []
         else:
             parts = []
-        counts = dict(state.get("counts", {}))
-        if touched:
-            _write_buckets(view.withColumn("bucket", bucket), f"{self.path}/view-{version}")
-            there = self.spark.read.parquet(f"{self.path}/view-{version}").groupBy("bucket").count()
-            counts |= {str(r[0]): r[1] for r in there.collect()}
         _write(added, f"{self.path}/included-{version}")
         out = {"version": version, "count": sum(counts.values()), "time": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "schema": json.loads(view.schema.json()),
                "buckets_of": count, "buckets": state.get("buckets", {}) | dict.fromkeys(touched, version), "counts": counts, "included": [*parts, version]}

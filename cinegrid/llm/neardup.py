@@ -4,8 +4,9 @@ Each distinct word draws, step by step, a random permutation of the signature's
 value j plus a fraction. A slot keeps the least value. Because a word gives each slot another step, the slots of a signature
 are negatively correlated, which lowers the variance of the estimate; and since values of step j are at least j, a text
 is done as soon as all its slots lie below the step (early stopping). Texts that agree in all slots of a band meet;
-pairs that met are verified, first by bounds from 56-bit maps of their words, then by the words; verified pairs are the links,
-and their components the groups.
+pairs that met are verified, first by bounds from 120-bit maps of their words, then by the words; verified pairs are the links,
+and their components the groups. The bands are gone through in passes with signatures of their own, and what a pass
+moved is removed after it, so that the disk holds the keys of one pass only.
 
 Equal word sets are worked on once. The texts of a band that very many share are compared by the prefixes of their sets, an
 exact way that needs no band.
@@ -14,6 +15,7 @@ exact way that needs no band.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +24,23 @@ from pyspark.sql import functions as F
 
 from cinegrid.functions.words import runs
 from cinegrid.operators.copies import class_pairs
-from cinegrid.scratch import written
+from cinegrid.scratch import discard, written
 
 SIMILARITY = 0.7
 MIN_WORDS = 8
-SLOTS = 252
-BANDS = 84
+SLOTS = 336
+BANDS = 90
 ROWS = 7
+#: Parts of the bands whose keys are moved one after the other, each with its share of the slots.
+PASSES = 6
 #: Sets compared with each other in one bucket of a band; a larger one is compared by the prefixes of its sets.
 BUCKET = 512
 #: Texts whose keys are packed together, bytes of keys of a part, and parts of a task.
 CHUNK = 8192
 PART_BYTES = 4 << 20
 PARTS = 8
+#: Candidates verified together, or two for each text where that is more.
+PAIRS = 1 << 20
 #: No value yet.
 NONE = 0xFFFF
 SEED = 20260101
@@ -81,7 +87,7 @@ def signatures(words: np.ndarray, starts: np.ndarray, slots: int) -> np.ndarray:
     the next step nothing can change. The others take twice as many, and so on."""
     n = len(starts) - 1
     out = np.empty((n, slots), np.uint16)
-    live, steps = np.arange(n), max(32, slots // 3)
+    live, steps = np.arange(n), max(16, slots // 3)
     while len(live):
         size = np.diff(starts)[live]
         first = np.concatenate([[0], np.cumsum(size)])
@@ -98,26 +104,40 @@ def signatures(words: np.ndarray, starts: np.ndarray, slots: int) -> np.ndarray:
 
 
 def sketches(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Of each text the number of its words (at most 255) above a map of 56 bits, of which each word sets one."""
+    """Of each text (texts, 2) a map of 120 bits, of which each word turns one over, and above it the number of its words (at most 255)."""
     size = np.diff(starts)
-    bits = np.uint64(1) << (_mix(words.view(np.uint64)) % np.uint64(56))
-    return np.bitwise_or.reduceat(bits, starts[:-1]) | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    at = _mix(words.view(np.uint64)) % np.uint64(120)
+    bit = np.uint64(1) << at % np.uint64(60)
+    low = np.bitwise_xor.reduceat(np.where(at < 60, bit, np.uint64(0)), starts[:-1])
+    high = np.bitwise_xor.reduceat(np.where(at < 60, np.uint64(0), bit), starts[:-1])
+    n = np.minimum(size, 255).astype(np.uint64)
+    return np.stack([low | (n & np.uint64(15)) << np.uint64(60), high | n >> np.uint64(4) << np.uint64(60)], axis=1)
 
 
 def _may_link(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     """Whether two texts of these sketches can be as similar as ``least``. A bit that differs comes from a word that only one of them has, so
     a pair that is left out has too few words in common for sure."""
-    a, b = (x >> np.uint64(56)).astype(np.int64), (y >> np.uint64(56)).astype(np.int64)
-    differ = np.bitwise_count((x ^ y) & np.uint64((1 << 56) - 1)).astype(np.int64)
+    a, b = ((z[:, 0] >> np.uint64(60) | z[:, 1] >> np.uint64(60) << np.uint64(4)).astype(np.int64) for z in (x, y))
+    differ = np.bitwise_count((x ^ y) & np.uint64((1 << 60) - 1)).sum(axis=1, dtype=np.int64)
     common = np.ceil(least / (1 + least) * (a + b) - 1e-9).astype(np.int64)
     return (differ <= a + b - 2 * common) & (common <= np.minimum(a, b)) | (a == 255) | (b == 255)
 
 
-def _bands(slots: int, rows: int, bands: int, groups: int, bucket: int, chunk: int):
-    """(part, keys, ids, sketches, hot): the band keys of up to ``chunk`` texts, packed into one row for each of ``groups`` (a power of two) parts of the keys. Of
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers byte by byte, all first bytes before all second ones: equal high bytes stand together and are compressed away."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _whole(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _bands(slots: int, rows: int, bands: int, groups: int, bucket: int, chunk: int, nth: int = 0):
+    """(part, keys, ids, sketches, hot): the band keys of pass ``nth`` of up to ``chunk`` texts, packed into one row for each of ``groups`` (a power of two) parts of the keys. Of
     a key that more than ``bucket`` texts of the chunk have only the key is sent, as hot, and the texts go on as they are: rows
     without keys."""
     of, shift = band_slots(slots, rows, bands), np.uint64(64 - (groups - 1).bit_length())
+    salt = _mix(np.array([SEED + nth], np.uint64)).view(np.int64)[0]  # each pass has its own permutations
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches, chunk):
@@ -128,7 +148,7 @@ def _bands(slots: int, rows: int, bands: int, groups: int, bucket: int, chunk: i
             key = np.empty((len(starts) - 1, bands), np.uint64)
             for lo in range(0, len(key), 2048):
                 hi = min(lo + 2048, len(key))
-                sig = signatures(values[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], slots).astype(np.uint64)
+                sig = signatures(values[starts[lo] : starts[hi]] ^ salt, starts[lo : hi + 1] - starts[lo], slots).astype(np.uint64)
                 part = np.zeros((hi - lo, bands), np.uint64) + np.arange(bands, dtype=np.uint64)
                 for k in range(0, rows, 4):  # four slots make a word of 64 bits
                     word = np.zeros_like(part)
@@ -155,7 +175,7 @@ def _bands(slots: int, rows: int, bands: int, groups: int, bucket: int, chunk: i
             to, marks = (marks >> shift).astype(np.int64), marks.astype(np.uint32)
             for g in np.union1d(np.flatnonzero(np.diff(cuts)), to):
                 a, b = cuts[g], cuts[g + 1]
-                out.append((int(g), short[a:b].tobytes(), ids[a:b].tobytes(), sketch[a:b].tobytes(), marks[to == g].tobytes()))
+                out.append((int(g), short[a:b].tobytes(), _planes(ids[a:b]), sketch[a:b].tobytes(), marks[to == g].tobytes()))
             cells = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))]
             yield from pa.Table.from_arrays(cells, names=["part", "keys", "ids", "sketches", "hot"]).to_batches(max_chunksize=64)
 
@@ -192,7 +212,8 @@ def _met(least: float, bucket: int):
             if bare:
                 yield from out(np.unique(np.concatenate(bare)), None)
             key, sketch, hot = (np.frombuffer(b"".join(h[c] for h in held), kind) for c, kind in ((0, np.uint32), (2, np.uint64), (3, np.uint32)))
-            ids = np.frombuffer(b"".join(h[1] for h in held if h[0]), np.int64)
+            sketch = sketch.reshape(-1, 2)
+            ids = np.concatenate([np.empty(0, np.int64), *(_whole(h[1], np.int64) for h in held if h[0])])
             order = np.argsort(key)
             key, ids, sketch = key[order], ids[order], sketch[order]
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
@@ -246,8 +267,8 @@ class NearDuplicates:
     """The links between the texts of a table whose word sets have a Jaccard similarity of at least ``similarity``.
 
     Texts (null, empty and blank ones too) with fewer than ``min_words`` distinct words take no part. ``key`` is a unique
-    integer; columns besides the two are ignored; an empty table gives no links. With 84 bands of 7 of 252 slots, each in two or
-    three bands, candidates are found with the probability 0.998 at a similarity of exactly 0.7 and 0.9999 at 0.75 (simulated).
+    integer; columns besides the two are ignored; an empty table gives no links. With 90 bands of 7 slots in six passes, each with 56
+    slots in two bands, candidates are found with the probability 0.999 at a similarity of exactly 0.7 (simulated).
     """
 
     def __init__(self, df: DataFrame, key: str, text: str, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, slots: int = SLOTS):
@@ -257,56 +278,79 @@ class NearDuplicates:
         self.similarity, self.bands, self.rows, self.slots = similarity, bands, rows, slots
         words = df.select(F.col(key).cast("long").alias("id"), F.sort_array(F.array_distinct(F.transform(runs(F.col(text)), lambda w: F.xxhash64(w)))).alias("w"))
         words = words.where("id is not null").where(F.size("w") >= min_words)
-        sets = written(words.withColumn("digest", F.xxhash64("w")), "sets")
+        sets = written(words.withColumn("digest", F.xxhash64("w")), "texts")
         # equal sets: the smallest key stands for all
         classes = sets.groupBy("digest", F.size("w").alias("n_words")).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
         same = sets.select("id", "digest", F.size("w").alias("n_words")).join(classes, ["digest", "n_words"])
-        self.members = written(same.select("rep", "id"), "members")
-        self.sets = sets.join(self.members.where("id <> rep").select("id"), "id", "left_anti").select("id", "w")
+        self.members = written(same.select("rep", "id"), "members", tidy=True)
+        others = self.members.where("id <> rep").select("id")
+        self.sets = written(sets.join(others, "id", "left_anti").select("id", "w"), "sets", tidy=True)
+        discard(sets)
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b: pairs that share a band."""
-        bytes_ = self.sets.count() * self.bands * 20
-        groups = 1 << (max(64, -(-bytes_ // PART_BYTES)) - 1).bit_length()
-        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), groups // PARTS)
-        keys = self.sets.select("id", "w").mapInArrow(_bands(self.slots, self.rows, self.bands, groups, BUCKET, CHUNK), "part int, keys binary, ids binary, sketches binary, hot binary")
-        keys = keys.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
-        met = written(keys.mapInArrow(_met(self.similarity, BUCKET), "a long, b long").distinct(), "met")
-        hot = met.where("b is null").select(F.col("a").alias("id"))
-        pairs = met.where("b is not null")
-        return pairs.unionByName(self._by_prefix(hot)).distinct() if hot.limit(1).count() else pairs
+        passes = max(1, min(PASSES, self.bands, self.slots // self.rows))
+        slots, n = self.slots // passes, self.sets.count()
+        met = []
+        for nth in range(passes):
+            bands = (self.bands + nth) // passes  # their sum over the passes is self.bands
+            groups = 1 << (max(64, -(-n * bands * 28 // PART_BYTES)) - 1).bit_length()
+            tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), groups // PARTS)
+            keys = self.sets.select("id", "w").mapInArrow(_bands(slots, self.rows, bands, groups, BUCKET, CHUNK, nth), "part int, keys binary, ids binary, sketches binary, hot binary")
+            keys = keys.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
+            met.append(written(keys.mapInArrow(_met(self.similarity, BUCKET), "a long, b long").distinct(), "met", tidy=True))
+        every = reduce(DataFrame.unionByName, met)
+        hot = every.where("b is null").select(F.col("a").alias("id")).distinct()
+        pairs = every.where("b is not null")
+        if hot.limit(1).count():
+            pairs = pairs.unionByName(written(self._by_prefix(hot), "prefixed", tidy=True))
+        pairs = written(pairs.distinct(), "candidates", tidy=True)
+        for m in met:
+            discard(m)
+        return pairs
 
     def _by_prefix(self, ids: DataFrame) -> DataFrame:
         """The exact way for the texts of hot buckets: two sets of n words that share the fraction s must share one of the
         first n - ceil(s n) + 1 words in the order of rarity. Such prefixes are short and made of rare words, and only sets
-        of like size meet."""
+        of like size meet whose word maps let them be similar enough, see ``_may_link``."""
         sets = self.sets.join(ids, "id", "left_semi")
         flat = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
         rarity = flat.groupBy("word").agg(F.count("*").alias("df"))
         order = flat.join(rarity, "word").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
         length = F.col("n") - F.ceil(F.lit(self.similarity) * F.col("n") - 1e-9).cast("int") + 1
-        prefix = order.select("id", "n", F.explode(F.slice("w", F.lit(1), length)).alias("p")).select("id", "n", "p.word")
-        x, y = prefix.toDF("a", "n_a", "word"), prefix.toDF("b", "n_b", "word")
+        low, high = (F.expr(f"aggregate(w.word, 0L, (m, x) -> m ^ if(pmod(x, 120) {half}, shiftleft(1L, cast(pmod(x, 60) as int)), 0L))") for half in ("< 60", ">= 60"))
+        prefix = order.select("id", "n", low.alias("low"), high.alias("high"), F.explode(F.slice("w", F.lit(1), length)).alias("p")).select("id", "n", "low", "high", "p.word")
+        x, y = prefix.toDF("a", "n_a", "low_a", "high_a", "word"), prefix.toDF("b", "n_b", "low_b", "high_b", "word")
         fits = (F.col("n_a") >= F.lit(self.similarity) * F.col("n_b") - 1e-9) & (F.col("n_b") >= F.lit(self.similarity) * F.col("n_a") - 1e-9)
+        differ = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
+        both = F.col("n_a") + F.col("n_b")
+        fits = fits & (differ <= both - 2 * F.ceil(F.lit(self.similarity / (1 + self.similarity)) * both - 1e-9))
         return x.join(y, "word").where(F.col("a") < F.col("b")).where(fits).select("a", "b")
 
     def links(self) -> DataFrame:
-        """(a, b, similarity) between representatives of different word sets, verified by the words."""
-        pairs = self.candidates()
-        pairs = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(self.sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-        scored = pairs.select("a", "b", "wa", "wb").mapInArrow(_similarity, "a long, b long, similarity double")
-        return scored.where(F.col("similarity") >= self.similarity - 1e-12)
+        """(a, b, similarity) between representatives of different word sets, verified by the words; many candidates a part at a time, so
+        that the words beside them don't stand on disk for all at once."""
+        pairs, found = self.candidates(), []
+        parts = max(1, -(-pairs.count() // max(PAIRS, 2 * self.sets.count())))
+        a, b = (self.sets.select(F.col("id").alias(x), F.col("w").alias(f"w{x}")) for x in "ab")
+        for k in range(parts):
+            mine = F.pmod(F.xxhash64("a"), F.lit(parts)) == k if parts > 1 else F.lit(True)
+            some = pairs.where(mine).join(a.where(mine), "a").join(b, "b")
+            scored = some.select("a", "b", "wa", "wb").mapInArrow(_similarity, "a long, b long, similarity double")
+            found.append(written(scored.where(F.col("similarity") >= self.similarity - 1e-12), "links", tidy=True))
+        discard(pairs)
+        return reduce(DataFrame.unionByName, found)
 
     def pairs(self, expand: int | None = None) -> DataFrame:
         """(a, b), a < b: rows linked, each pair once. Equal word sets may be different texts, so all their pairs come out unless
         ``expand`` is given: see ``class_pairs``."""
-        links = written(self.links(), "links")
+        links = self.links()
         return class_pairs(self.members, links.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b")), expand)
 
     def groups(self) -> DataFrame:
         """(id, group, links): every row that is in a group of two or more; ``group`` is the smallest key in it, ``links`` the number
         of other word sets that the row's is linked with."""
-        links = written(self.links(), "links")
+        links = self.links()
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = both.groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "id")
         root = components(links.select("a", "b"))

@@ -13,6 +13,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark removes the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -42,11 +45,28 @@ def hadoop_path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and returns the written table."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Writes ``df`` once and returns the written table. ``tidy``: what the write shuffled is removed when it is over, not only when
+    the driver happens to collect its garbage."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    if tidy:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``written`` gave; nothing may read it afterwards."""
+    files = df.inputFiles()
+    for entry in [e for e in _written if files and e[1].rpartition("/cinegrid/")[2] in files[0]]:
+        where, fs = hadoop_path(*entry)
+        fs.delete(where.getParent(), True)
+        _written.remove(entry)
 
 
 @contextmanager

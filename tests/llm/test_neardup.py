@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 
@@ -106,3 +108,49 @@ def test_all_pairs_of_equal_word_sets(spark, words):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = neardup.NearDuplicates(df, "id", "text").pairs()
     assert got.count() == got.distinct().count() == 721 * 720 // 2
+
+
+def test_no_step_leaves_its_shuffle_on_disk(spark, words, monkeypatch):
+    """After each written table, the shuffle files that are left are less than the texts; the keys of all bands would be several times as much."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice(words) for _ in range(26)) for _ in range(3000)]
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffles():
+        return {str(f): f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data") if f.exists()}
+
+    before, left, write = shuffles(), {}, neardup.written
+
+    def watched(df, name, *a, **k):
+        out = write(df, name, *a, **k)
+        for _ in range(20):  # the files go a little later
+            left[name] = sum(n for f, n in shuffles().items() if f not in before)
+            if left[name] == 0:
+                break
+            time.sleep(0.1)
+        return out
+
+    monkeypatch.setattr(neardup, "written", watched)
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "id long, text string")
+    assert [tuple(p) for p in neardup.NearDuplicates(df, "id", "text").pairs().collect()] == [(0, 3000)]
+    assert max(left.values()) < sum(map(len, texts)), left
+
+
+def test_candidates_are_verified_in_parts(spark, words, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS", 1)
+    names, write = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name, *a, **k: names.append(name) or write(df, name, *a, **k))
+    data = [(i, " ".join([*words[:30], words[100 + i]])) for i in range(8)]
+    got = neardup.NearDuplicates(spark.createDataFrame(data, "entry_id long, caption string"), "entry_id", "caption").pairs()
+    assert sorted(tuple(r) for r in got.collect()) == [(a, b) for a in range(8) for b in range(a + 1, 8)]
+    assert names.count("links") == 2  # 28 pairs of 8 texts
+
+
+def test_prefixes_give_no_pairs_too_unlike(spark, words):
+    """Pairs that share a rare word and little else are no candidates; one that is near stays."""
+    r = random.Random(6)
+    data = [(i, " ".join([f"rare{i // 2}", *r.sample(words[:60], 12)])) for i in range(80)]
+    data += [(80, " ".join(words[100:120])), (81, " ".join(words[100:121]))]
+    near = neardup.NearDuplicates(spark.createDataFrame(data, "id long, text string"), "id", "text")
+    got = {tuple(p) for p in near._by_prefix(near.sets.select("id")).collect()}
+    assert brute(data) <= got and len(got) < 20
